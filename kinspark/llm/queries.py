@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinspark.llm import bpe, crf, mil, packing, rules, samples
+from kinspark.llm import bpe, crf, mil, neardup, packing, rules, samples, suffixes
 from kinspark.scratch import Scratch
 
 
@@ -41,6 +41,11 @@ def op2_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.score_toxicity(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +58,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, Scratch(spark))
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over 4-word shingles at a similarity of 0.8."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=4)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of every document's ids and decoded text."""
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -60,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_quality_crf, op2_toxicity_mil, op4_quality_rules, op5_packing, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_toxicity_mil, op3_suffix_dedup, op4_quality_rules, op5_packing, op8_minhash_neardup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
