@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinspark.llm import bpe, crf, mil, neardup, packing, rules, samples, suffixes
+from kinspark.llm import bpe, crf, imatch, mil, neardup, packing, rules, samples, suffixes
 from kinspark.scratch import Scratch
 
 
@@ -63,6 +63,12 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=4)
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    docs = table(spark, sf_dir, "documents")
+    return imatch.fingerprint_documents(docs, imatch.build_lexicon(docs))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of every document's ids and decoded text."""
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -70,7 +76,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_quality_crf, op2_toxicity_mil, op3_suffix_dedup, op4_quality_rules, op5_packing, op8_minhash_neardup, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_toxicity_mil, op3_suffix_dedup, op4_quality_rules, op5_packing, op8_minhash_neardup, op9_imatch, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
