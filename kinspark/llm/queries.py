@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinspark.llm import bpe, crf, imatch, mil, neardup, packing, rules, samples, suffixes
+from kinspark.llm import bpe, crf, imatch, licenses, mil, neardup, packing, rules, samples, suffixes, urls
 from kinspark.scratch import Scratch
 
 
@@ -58,6 +58,50 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, Scratch(spark))
 
 
+BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), BASE_PHRASES)
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Hosts with a name that has one of these words are taken for listed sites.
+LISTED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page; the block list holds the pages of the listed sites."""
+    pages = table(spark, sf_dir, "pages")
+    host, _ = urls.host_and_path(F.col("url"))
+    listed = pages.select("url").where(host.rlike(r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"))
+    return urls.judge_urls(pages, listed, URL_RULES).drop("possible")
+
+
+OP7_SQL = r"""
+WITH a AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a
+), c AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') END AS k,
+    CASE WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM b
+), l AS (
+  SELECT DISTINCT k FROM c WHERE k IS NOT NULL AND regexp_matches(host, '(^|[.-])(casino|bets|pills|adult|spam|ads)([.-]|$)')
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN l.k IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  l.k IS NOT NULL AS listed
+FROM c LEFT JOIN l ON c.k = l.k
+""".replace("\\\\", "\\")
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 4-word shingles at a similarity of 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=4)
@@ -76,9 +120,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_quality_crf, op2_toxicity_mil, op3_suffix_dedup, op4_quality_rules, op5_packing, op8_minhash_neardup, op9_imatch, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_toxicity_mil, op3_suffix_dedup, op4_quality_rules, op5_packing, op6_license_scan, op7_url_filter, op8_minhash_neardup, op9_imatch, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name, for those that SQL can express."""
-    return {}
+    return {"op7_url_filter": OP7_SQL}
