@@ -99,7 +99,7 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN l.k IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   l.k IS NOT NULL AS listed
 FROM c LEFT JOIN l ON c.k = l.k
-""".replace("\\\\", "\\")
+"""
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

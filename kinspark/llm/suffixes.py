@@ -31,7 +31,6 @@ ignored.  Results are in bytes: what is kept may split a code point.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,18 +127,19 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text (hash and size) and the compressed text."""
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("t"), F.octet_length("text").cast("bigint").alias("n"), "text")
-    kind = read.schema["doc_id"].dataType.simpleString()
+    """The columns but the text as a struct, the key of the text (hash and size) and the compressed text."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    read = docs.select(others.alias("row"), F.coalesce("text", F.lit("")).alias("text")).select("row", F.xxhash64("text").alias("t"), F.octet_length("text").cast("bigint").alias("n"), "text")
+    kind = read.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i, j, views in T.parts(batch.column(3)):
                 packed = pa.array([squeeze.compress(v.tobytes()) for v in views], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), packed], names=["doc_id", "t", "n", "packed"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), packed], names=["row", "t", "n", "packed"])
 
-    return read.mapInArrow(run, f"doc_id {kind}, t bigint, n bigint, packed binary")
+    return read.mapInArrow(run, f"row {kind}, t bigint, n bigint, packed binary")
 
 
 def find_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200) -> Data
     whole = shared.where("not mixed").select("t", "place").unionAll(whole.select("t", "place")).select("t", size.alias("n"), start.alias("start"), end.alias("end"))
     edges = classes.groupBy("gram").agg(F.min("c").alias("least"), F.count("*").alias("k")).where("least = 1").select("gram", (F.col("k") > HOT).alias("hot"))
     wanted = classes.join(edges, "gram").groupBy(F.col("one.t").alias("t")).agg(F.collect_list(F.struct("one.place", "gram", "hot")).alias("w"))
-    texts = _keyed(docs).select("t", "packed").join(wanted, "t").select("t", "packed", "w.place", "w.gram", "w.hot")
+    texts = _keyed(docs.select("doc_id", "text")).select("t", "packed").join(wanted, "t").select("t", "packed", "w.place", "w.gram", "w.hot")
     contexts = scratch.keep(_contexts(texts, length), "contexts")
     parts = [whole, _refined(contexts.where("not hot").select("gram", "t", "place", "bytes"), length)]
     if not contexts.where("hot").isEmpty():
@@ -282,32 +282,42 @@ def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     return _keyed(docs).join(found.withColumnRenamed("n", "_n").withColumnRenamed("t", "_t"), (F.col("t") == F.col("_t")) & (F.col("n").bitwiseAND(0xFFFFF) == F.col("_n")), "left")
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200, kept: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256; with ``kept`` the bytes kept and the ranges too."""
-    read = _with_spans(docs, repeated_spans(docs, scratch, length)).select("doc_id", "n", "packed", "spans")
-    kind = read.schema["doc_id"].dataType.simpleString()
+def _apply(docs: DataFrame, scratch: Scratch, length: int, as_text: bool = False) -> DataFrame:
+    """The columns but the text as a struct, n_bytes, ranges (removed) and kept (bytes left, or their text)."""
+    read = _with_spans(docs, repeated_spans(docs, scratch, length)).select("row", "n", "packed", "spans")
+    kind = read.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for big in batches:
             for i in range(0, big.num_rows, 512):
                 batch = big.slice(i, 512)
-                removed, count, digest, rest, ranges = [], [], [], [], []
+                rest, ranges = [], []
                 for n, packed, listed in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                     text = expand.decompress(packed) if n else b""
                     gone = merge(listed, n)
                     edges = [0, *(x for r in gone for x in r), n]
                     left = b"".join([text[a:b] for a, b in zip(edges[0::2], edges[1::2])]) if gone else text
-                    removed.append(n - len(left))
-                    count.append(len(gone))
-                    digest.append(hashlib.sha256(left).hexdigest())
-                    rest.append(left)
+                    rest.append(left.decode(errors="ignore") if as_text else left)
                     ranges.append([list(r) for r in gone])
-                made = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if kept:
-                    made += [pa.array(rest, pa.binary()), pa.array(ranges, pa.list_(pa.list_(pa.int64())))]
-                    names += ["kept_bytes", "ranges"]
-                yield pa.RecordBatch.from_arrays(made, names=names)
-
-    return read.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary, ranges array<array<bigint>>" * kept)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(rest, pa.string() if as_text else pa.binary())], names=["row", "n_bytes", "ranges", "kept"])
+
+    return read.mapInArrow(run, f"row {kind}, n_bytes bigint, ranges array<array<bigint>>, kept " + ("string" if as_text else "binary"))
+
+
+def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200, kept: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256; with ``kept`` the bytes kept and the ranges too."""
+    made = _apply(docs.select("doc_id", "text"), scratch, length)
+    columns = ["row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("ranges").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return made.select(*columns, *(["kept", "ranges"] if kept else []))
+
+
+def strip_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataFrame:
+    """``docs`` with what is kept of each text, and n_chars (if there) to match.
+
+    Bytes of a code point that was cut in two are left out; a null text becomes
+    an empty one.
+    """
+    made = _apply(docs, scratch, length, as_text=True)
+    out = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return made.select(*out)
