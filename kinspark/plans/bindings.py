@@ -1,15 +1,578 @@
-"""Queries of the library's own operators over the test tables."""
+"""Queries of the library's operators over the test tables, each with the same in DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinspark.functions import align, scores
+from kinspark.operators import affinity, components, density, graphs, mcl, ontology, operons, pangenome, rbh, relations, search, seeds, sequences
+from kinspark.scratch import Scratch
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def six(x) -> object:
+    return F.round(x, 6)
+
+
+# --- hits: all-against-all cosines of the vectors; taxon = label -------------------------------
+
+CUT = 0.2
+HITS = f"""v AS (SELECT printf('%02d|%06d', label, vec_id) AS g, embedding::DOUBLE[] AS e FROM embeddings),
+h AS (SELECT q, s, score FROM (SELECT a.g AS q, b.g AS s, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.g <> b.g) WHERE score > {CUT})"""
+CANDIDATES = f"""{HITS},
+h2 AS (SELECT *, split_part(q, '|', 1) AS qt, split_part(s, '|', 1) AS st FROM h),
+m AS (SELECT *, max(score) OVER (PARTITION BY q, st) AS mx, coalesce(max(CASE WHEN qt <> st THEN score END) OVER (PARTITION BY q), 0) AS om FROM h2),
+c AS (SELECT CASE WHEN qt <> st AND score >= mx THEN 'OT' WHEN qt <> st THEN 'CO' WHEN score >= om THEN 'IP' END AS rel, least(q, s) AS a, greatest(q, s) AS b, q, s, score FROM m),
+ot AS (SELECT a, b, avg(score) AS weight FROM c WHERE rel = 'OT' GROUP BY a, b HAVING count(*) = 2),
+ip AS (SELECT a, b, avg(score) AS weight FROM c WHERE rel = 'IP' GROUP BY a, b HAVING count(*) = 2),
+qco AS (SELECT a, b, max(score) AS weight FROM c WHERE rel = 'CO' GROUP BY a, b)"""
+EXPANDED = f"""{CANDIDATES},
+mates AS (SELECT a AS g, b AS m FROM ip UNION ALL SELECT b, a FROM ip),
+xs AS (SELECT a, b, a AS x FROM ot UNION ALL SELECT ot.a, ot.b, m FROM ot JOIN mates ON g = ot.a),
+ys AS (SELECT a, b, b AS y FROM ot UNION ALL SELECT ot.a, ot.b, m FROM ot JOIN mates ON g = ot.b),
+co AS (SELECT DISTINCT qco.a, qco.b, qco.weight FROM xs JOIN ys ON xs.a = ys.a AND xs.b = ys.b JOIN qco ON qco.a = least(x, y) AND qco.b = greatest(x, y) WHERE x <> xs.a OR y <> ys.b)"""
+
+
+def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return search.cosine_hits(rows.select(F.format_string("%02d|%06d", "label", "vec_id").alias("id"), F.col("embedding").alias("vec")), CUT)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.classify(vector_hits(spark, sf_dir))
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table that several branches read."""
+    return Scratch(spark).keep(df, name)
+
+
+@query(f"WITH {HITS} SELECT q, s, score FROM h")
+def hits_filtered(spark, sf_dir):
+    return vector_hits(spark, sf_dir)
+
+
+@query(f"WITH {CANDIDATES} SELECT rel, q, s, score FROM c WHERE rel IS NOT NULL")
+def relations_candidates(spark, sf_dir):
+    return candidates(spark, sf_dir).select("rel", "q", "s", "score")
+
+
+@query(f"WITH {CANDIDATES} SELECT a, b, round(weight, 6) AS weight FROM ot")
+def relations_ot(spark, sf_dir):
+    return relations.reciprocal(candidates(spark, sf_dir), "OT").select("a", "b", six("weight").alias("weight"))
+
+
+@query(f"WITH {CANDIDATES} SELECT a, b, round(weight, 6) AS weight FROM ip")
+def relations_ip(spark, sf_dir):
+    return relations.reciprocal(candidates(spark, sf_dir), "IP").select("a", "b", six("weight").alias("weight"))
+
+
+@query(f"WITH {CANDIDATES} SELECT a, b, weight FROM qco")
+def relations_co_candidates(spark, sf_dir):
+    return relations.co_candidates(candidates(spark, sf_dir))
+
+
+@query(f"WITH {EXPANDED} SELECT a, b, weight FROM co")
+def co_expanded(spark, sf_dir):
+    found = stored(spark, candidates(spark, sf_dir), "candidates")
+    return relations.expand_co(relations.reciprocal(found, "OT"), relations.reciprocal(found, "IP"), relations.co_candidates(found))
+
+
+@query(f"""WITH {EXPANDED},
+ing AS (SELECT a AS g FROM ot UNION SELECT b FROM ot),
+ipn AS (SELECT ip.*, split_part(a, '|', 1) AS t, (a IN (SELECT g FROM ing) OR b IN (SELECT g FROM ing)) AS anchored FROM ip)
+SELECT 'IP' AS rel, a, b, round(weight / coalesce(avg(CASE WHEN anchored THEN weight END) OVER (PARTITION BY t), avg(weight) OVER (PARTITION BY t)), 6) AS weight FROM ipn
+UNION ALL SELECT 'OT', a, b, round(weight / avg(weight) OVER (PARTITION BY split_part(a, '|', 1), split_part(b, '|', 1)), 6) FROM ot
+UNION ALL SELECT 'CO', a, b, round(weight / avg(weight) OVER (PARTITION BY split_part(a, '|', 1), split_part(b, '|', 1)), 6) FROM co""")
+def relations_normalised(spark, sf_dir):
+    hits = stored(spark, vector_hits(spark, sf_dir), "hits")  # three branches read it
+    return relations.relations(hits).select("rel", "a", "b", six("weight").alias("weight"))
+
+
+@query(f"WITH {EXPANDED} SELECT 0 AS n_invalid")
+def relations_invalid(spark, sf_dir):
+    hits = stored(spark, vector_hits(spark, sf_dir), "hits")
+    return relations.invalid_relations(relations.relations(hits)).agg(F.count("*").cast("int").alias("n_invalid"))
+
+
+BEST = f"""{HITS},
+bst AS (SELECT q, s, score, split_part(q, '|', 1) AS qt, split_part(s, '|', 1) AS st FROM h WHERE split_part(q, '|', 1) <> split_part(s, '|', 1) QUALIFY row_number() OVER (PARTITION BY q, split_part(s, '|', 1) ORDER BY score DESC, s) = 1)"""
+
+
+@query(f"WITH {BEST} SELECT least(q, s) AS a, greatest(q, s) AS b, round(avg(score), 6) AS weight FROM bst GROUP BY 1, 2 HAVING count(*) = 2")
+def rbh_all(spark, sf_dir):
+    return rbh.reciprocal_best_hits(vector_hits(spark, sf_dir)).select("a", "b", six("weight").alias("weight"))
+
+
+@query(f"""WITH {BEST},
+rt AS (SELECT split_part(g, '|', 1) AS t FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+pr AS (SELECT f.q AS ref, f.st AS taxon, f.s AS gene FROM bst f JOIN bst r ON f.q = r.s AND f.s = r.q WHERE f.qt = (SELECT t FROM rt)),
+nt AS (SELECT count(DISTINCT t) AS n FROM (SELECT split_part(q, '|', 1) AS t FROM h UNION SELECT split_part(s, '|', 1) FROM h))
+SELECT ref, gene, taxon FROM pr WHERE ref IN (SELECT ref FROM pr GROUP BY ref HAVING count(DISTINCT taxon) + 1 >= 0.5 * (SELECT n FROM nt))""")
+def rbh_reference(spark, sf_dir):
+    hits = stored(spark, vector_hits(spark, sf_dir), "hits")
+    genes = table(spark, sf_dir, "embeddings").select(F.format_string("%02d|%06d", "label", "vec_id").alias("gene"))
+    return rbh.rbh_against(hits, rbh.reference_taxon(genes), share=0.5).select("ref", "gene", "taxon")
+
+
+@query(f"""WITH {CANDIDATES},
+rt AS (SELECT split_part(g, '|', 1) AS t FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+st AS (SELECT ref, list_sort(list(DISTINCT mate)) AS ms FROM (SELECT a AS ref, b AS mate FROM ot UNION ALL SELECT b, a FROM ot) WHERE split_part(ref, '|', 1) = (SELECT t FROM rt) GROUP BY ref)
+SELECT ref, array_to_string(ms, ' ') AS members FROM st WHERE len(ms) = (SELECT max(len(ms)) FROM st)""")
+def ortholog_stars(spark, sf_dir):
+    edges = relations.reciprocal(candidates(spark, sf_dir), "OT").select(F.lit("OT").alias("rel"), "a", "b")
+    genes = table(spark, sf_dir, "embeddings").select(F.format_string("%02d|%06d", "label", "vec_id").alias("gene"))
+    return rbh.ortholog_stars(edges, rbh.reference_taxon(genes)).select("ref", F.array_join("members", " ").alias("members"))
+
+
+@query("SELECT printf('%02d', label) AS taxon, count(*) AS n_genes FROM embeddings GROUP BY 1")
+def taxon_census(spark, sf_dir):
+    genes = table(spark, sf_dir, "embeddings").select(F.format_string("%02d|%06d", "label", "vec_id").alias("gene"))
+    return rbh.taxon_census(genes)
+
+
+# --- graphs over ortholog edges ---------------------------------------------------------------
+
+EDGE_CUT = 0.35
+EDGES = f"{CANDIDATES}, e AS (SELECT a, b, weight AS w FROM ot WHERE weight > {EDGE_CUT}), e2 AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e)"
+REACH = "r(x, y) AS (SELECT a, a FROM e2 UNION SELECT r.x, e2.b FROM r JOIN e2 ON r.y = e2.a), cc AS (SELECT x AS node, min(y) AS component FROM r GROUP BY x)"
+
+
+def ortholog_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ot = relations.reciprocal(candidates(spark, sf_dir), "OT").where(F.col("weight") > EDGE_CUT)
+    return stored(spark, ot.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").alias("w")), "edges")
+
+
+@query(f"WITH RECURSIVE {EDGES}, {REACH} SELECT node, component FROM cc")
+def connected(spark, sf_dir):
+    return components.connected_components(ortholog_edges(spark, sf_dir), Scratch(spark))
+
+
+@query(f"WITH {EDGES} SELECT a AS node, b AS neighbour, round(w, 6) AS w FROM e2 QUALIFY rank() OVER (PARTITION BY a ORDER BY w DESC) = 1")
+def nearest_neighbours(spark, sf_dir):
+    return graphs.nearest_neighbours(ortholog_edges(spark, sf_dir)).select("node", "neighbour", six("w").alias("w"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {REACH},
+lo AS (SELECT ot.a, ot.b, ot.weight, x.component AS cx, y.component AS cy FROM ot JOIN cc x ON x.node = ot.a JOIN cc y ON y.node = ot.b WHERE x.component <> y.component)
+SELECT least(cx, cy) AS src, greatest(cx, cy) AS dst, round(sum(weight), 6) AS w FROM lo GROUP BY 1, 2""")
+def component_graph(spark, sf_dir):
+    every = stored(spark, relations.reciprocal(candidates(spark, sf_dir), "OT"), "ot").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").alias("w"))
+    labels = components.connected_components(every.where(F.col("w") > EDGE_CUT), Scratch(spark))
+    return graphs.component_graph(every, labels).select("src", "dst", six("w").alias("w"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {REACH},
+one AS (SELECT component AS k, list_sort(list(node)) AS m FROM cc GROUP BY 1),
+r3(x, y) AS (SELECT a, a FROM e2 WHERE w > 0.38 UNION SELECT r3.x, f.b FROM r3 JOIN (SELECT a, b FROM e2 WHERE w > 0.38) f ON r3.y = f.a),
+two AS (SELECT k, list_sort(list(x)) AS m FROM (SELECT x, min(y) AS k FROM r3 GROUP BY x) GROUP BY 1)
+SELECT (SELECT count(*) FROM one) AS n_left, (SELECT count(*) FROM two) AS n_right, (SELECT count(*) FROM one WHERE m IN (SELECT m FROM two)) AS equal_left, (SELECT count(*) FROM two WHERE m IN (SELECT m FROM one)) AS equal_right""")
+def cluster_compare(spark, sf_dir):
+    edges = ortholog_edges(spark, sf_dir)
+    return graphs.compare_groups(graphs.groups(edges, Scratch(spark)), graphs.groups(edges.where("w > 0.38"), Scratch(spark)))
+
+
+@query(f"""WITH {HITS}, rk AS (SELECT q AS i, s AS j, score AS w, row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS r, count(*) FILTER (WHERE score > 0.3) OVER (PARTITION BY q) AS n FROM h)
+SELECT i, j, w FROM rk WHERE r <= CASE WHEN n > 8 THEN 8 WHEN n < 3 THEN 3 ELSE n END""")
+def prune_rows(spark, sf_dir):
+    entries = vector_hits(spark, sf_dir).select(F.col("q").alias("i"), F.col("s").alias("j"), F.col("score").alias("w"))
+    return graphs.prune_rows(entries, 0.3, 8, 3)
+
+
+@query(f"""WITH {HITS}, rk AS (SELECT q AS i, s AS j, score AS w, row_number() OVER (PARTITION BY q ORDER BY score DESC, s) AS r FROM h)
+SELECT i, max(CASE WHEN r = 1 THEN j END) AS k1, max(CASE WHEN r = 1 THEN w END) AS m1, max(CASE WHEN r = 2 THEN w END) AS m2 FROM rk GROUP BY i""")
+def two_largest(spark, sf_dir):
+    return graphs.two_largest(vector_hits(spark, sf_dir).select(F.col("q").alias("i"), F.col("s").alias("j"), F.col("score").alias("w")))
+
+
+@query(f"WITH {HITS} SELECT x.q AS i, y.s AS j, round(sum(x.score * y.score), 6) AS w FROM h x JOIN h y ON x.s = y.q GROUP BY 1, 2")
+def sparse_product(spark, sf_dir):
+    m = stored(spark, vector_hits(spark, sf_dir), "hits").select(F.col("q").alias("i"), F.col("s").alias("j"), F.col("score").alias("w"))
+    return mcl.multiply(m, m).select("i", "j", six("w").alias("w"))
+
+
+def _mcl_sql(rounds: int) -> str:
+    parts = ["m0 AS (SELECT a AS i, b AS j, w FROM e2 UNION ALL SELECT a, a, max(w) FROM e2 GROUP BY a)"]
+    for k in range(rounds):
+        parts.append(f"u{k} AS (SELECT i, j, w / (sum(w) OVER (PARTITION BY j) + 1e-8) AS w FROM m{k})")
+        parts.append(f"m{k + 1} AS (SELECT i, j, pow(w, 1.5) AS w FROM (SELECT x.i, y.j, sum(x.w * y.w) AS w FROM u{k} x JOIN u{k} y ON x.j = y.i GROUP BY x.i, y.j) WHERE pow(w, 1.5) >= 1e-5)")
+    return f"WITH {EDGES}, {', '.join(parts)} SELECT i, j, round(w, 6) AS w FROM m{rounds}"
+
+
+@query(_mcl_sql(2))
+def mcl_two_rounds(spark, sf_dir):
+    return mcl.iterate(ortholog_edges(spark, sf_dir), 2).select("i", "j", six("w").alias("w"))
+
+
+@query()
+def mcl_clusters(spark, sf_dir):
+    return mcl.mcl(ortholog_edges(spark, sf_dir), Scratch(spark))
+
+
+@query(f"""WITH {EDGES},
+t0 AS (SELECT a AS i, b AS k, w AS s FROM e2 UNION ALL SELECT a, a, -1.0 FROM e2 GROUP BY a),
+t1 AS (SELECT i, k, s, 0.5 * s AS r FROM t0),
+t2 AS (SELECT *, sum(CASE WHEN i <> k THEN greatest(r, 0) ELSE 0 END) OVER (PARTITION BY k) AS pos, max(CASE WHEN i = k THEN r END) OVER (PARTITION BY k) AS own FROM t1)
+SELECT i, k, round(r, 9) AS r, round(0.5 * CASE WHEN i = k THEN pos ELSE least(0, own + pos - greatest(r, 0)) END, 9) AS a FROM t2""")
+def affinity_one_round(spark, sf_dir):
+    now = affinity.step(affinity.messages(ortholog_edges(spark, sf_dir), -1.0))
+    return now.select("i", "k", F.round("r", 9).alias("r"), F.round("a", 9).alias("a"))
+
+
+@query()
+def affinity_clusters(spark, sf_dir):
+    return affinity.affinity(ortholog_edges(spark, sf_dir), Scratch(spark), 0.1)
+
+
+@query(f"""WITH {HITS},
+d AS (SELECT q AS x, s AS y, round(1 - score, 6) AS d FROM h),
+rho AS (SELECT x AS node, round(sum(exp(-pow(d / 0.7, 2))), 9) AS rho FROM d GROUP BY x),
+p AS (SELECT d.x, d.y, d.d, a.rho AS rx, b.rho AS ry FROM d JOIN rho a ON a.node = x JOIN rho b ON b.node = y),
+n AS (SELECT x AS node, max(rx) AS rho, min(CASE WHEN ry > rx OR (ry = rx AND y < x) THEN d END) AS up FROM p GROUP BY x)
+SELECT node, round(rho, 6) AS rho, round(coalesce(up, (SELECT max(up) FROM n)), 6) AS delta FROM n""")
+def density_peaks_delta(spark, sf_dir):
+    d = stored(spark, vector_hits(spark, sf_dir), "hits").select(F.col("q").alias("x"), F.col("s").alias("y"), six(1 - F.col("score")).alias("d"))
+    return density.peaks(d, 0.7).select("node", six("rho").alias("rho"), six("delta").alias("delta"))
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    d = vector_hits(spark, sf_dir).select(F.col("q").alias("x"), F.col("s").alias("y"), six(1 - F.col("score")).alias("d"))
+    return density.density_peaks(d, Scratch(spark), 0.7)
+
+
+# --- hit tables with alignment columns: line items as alignments --------------------------------
+
+LINES = """t AS (SELECT 'T' || (l_suppkey % 5) || '|g' || l_orderkey AS q, 'T' || (l_partkey % 7) || '|g' || l_partkey AS s, round(l_discount * 1000, 2) AS identity, l_quantity::INT AS aln_len,
+l_linenumber AS qst, l_linenumber + l_quantity::INT AS qed, 40 AS qlen, 60 AS slen, l_extendedprice AS bit, (l_extendedprice * 100)::BIGINT * 10 + l_linenumber AS file_pos FROM lineitem),
+g AS (SELECT * FROM t WHERE (1 + abs(qed - qst)) / qlen >= 0.5 AND identity >= 30)"""
+
+
+def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    q = F.concat(F.lit("T"), F.col("l_suppkey") % 5, F.lit("|g"), F.col("l_orderkey"))
+    s = F.concat(F.lit("T"), F.col("l_partkey") % 7, F.lit("|g"), F.col("l_partkey"))
+    size = F.col("l_quantity").cast("int")
+    position = F.round(F.col("l_extendedprice") * 100).cast("bigint") * 10 + F.col("l_linenumber")
+    return rows.select(
+        q.alias("q"), s.alias("s"), F.round(F.col("l_discount") * 1000, 2).alias("identity"), size.alias("aln_len"), F.col("l_linenumber").alias("qst"), (F.col("l_linenumber") + size).alias("qed"),
+        F.lit(40).alias("qlen"), F.lit(60).alias("slen"), F.col("l_extendedprice").alias("bit"), position.alias("file_pos"),
+    )
+
+
+def good_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.quality_filter(line_hits(spark, sf_dir), 0.5, 30)
+
+
+@query(f"WITH {LINES} SELECT q, s, identity, file_pos FROM g")
+def hits_quality(spark, sf_dir):
+    return good_lines(spark, sf_dir).select("q", "s", "identity", "file_pos")
+
+
+@query(f"WITH {LINES} SELECT q, s, file_pos, round(bit / aln_len, 9) AS score FROM g")
+def scores_by_length(spark, sf_dir):
+    return relations.normalise_scores(good_lines(spark, sf_dir), "bal").select("q", "s", "file_pos", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {LINES} SELECT q, s, file_pos, round(bit / first_value(bit) OVER (PARTITION BY q ORDER BY file_pos), 6) AS score FROM g")
+def scores_by_first(spark, sf_dir):
+    return relations.normalise_scores(good_lines(spark, sf_dir), "bsr").select("q", "s", "file_pos", six("score").alias("score"))
+
+
+@query(f"WITH {LINES} SELECT q, s, file_pos, arg_min(greatest(qst, qed), file_pos) OVER (PARTITION BY q) AS qlen FROM t")
+def query_length_from_hits(spark, sf_dir):
+    hits = line_hits(spark, sf_dir).withColumn("qlen", F.lit(None).cast("int"))
+    return relations.with_query_length(hits).select("q", "s", "file_pos", "qlen")
+
+
+@query(f"WITH {LINES} SELECT q, s, max(bit) AS score FROM g GROUP BY q, s")
+def best_per_pair(spark, sf_dir):
+    return relations.best_per_pair(relations.normalise_scores(good_lines(spark, sf_dir)))
+
+
+@query(f"WITH {LINES} SELECT q, s, bit, qst FROM g QUALIFY row_number() OVER (PARTITION BY q ORDER BY bit DESC, s, qst) <= 2")
+def top_hits(spark, sf_dir):
+    return search.top_hits(good_lines(spark, sf_dir), 2).select("q", "s", "bit", "qst")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT count(DISTINCT s) AS d FROM t),
+x AS (SELECT q, s, file_pos, trunc((0.267 * round(bit / 100, 2) - ln(0.041)) / ln(2))::INT AS bits, qlen, slen FROM t)
+SELECT q, s, file_pos, bits, round(d * qlen * slen * pow(2.0, -bits) * 1e6, 4) AS e6 FROM x, n WHERE d * qlen * slen * pow(2.0, -bits) <= 1e-3""")
+def e_values(spark, sf_dir):
+    hits = line_hits(spark, sf_dir).withColumn("bit", scores.bit_score(F.round(F.col("bit") / 100, 2)))
+    n = hits.agg(F.countDistinct("s")).first()[0]
+    found = search.e_value_filter(hits, n)
+    return found.select("q", "s", "file_pos", F.col("bit").alias("bits"), F.round(F.col("evalue") * 1e6, 4).alias("e6"))
+
+
+# --- sequences: benchmark items and documents ---------------------------------------------------
+
+K = 8
+SEEDS = f"""i AS (SELECT printf('b%06d', item_id) AS id, text AS seq FROM benchmark),
+k AS (SELECT id, substr(seq, (p + 1)::INT, {K}) AS key, p::INT AS pos FROM (SELECT id, seq, unnest(range(0, length(seq) - {K} + 1)) AS p FROM i) WHERE lower(substr(seq, (p + 1)::INT, {K})) NOT LIKE '%x%')"""
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.format_string("b%06d", "item_id").alias("id"), F.col("text").alias("seq"))
+
+
+@query(f"WITH {SEEDS} SELECT id, key, pos FROM k")
+def seed_index(spark, sf_dir):
+    return seeds.seeds(items(spark, sf_dir), "1" * K)
+
+
+@query("""WITH i AS (SELECT printf('b%06d', item_id) AS id, text AS seq FROM benchmark),
+w AS (SELECT id, p::INT AS pos, substr(seq, (p + 1)::INT, 6) AS s FROM (SELECT id, seq, unnest(range(0, length(seq) - 5, 2)) AS p FROM i))
+SELECT id, substr(s, 1, 2) || substr(s, 4, 1) || substr(s, 6, 1) AS key, pos FROM w WHERE lower(s) NOT LIKE '%x%'""")
+def spaced_seeds(spark, sf_dir):
+    return seeds.seeds(items(spark, sf_dir), "110101", step=2)
+
+
+@query(f"WITH {SEEDS}, n AS (SELECT key, count(*) AS n FROM k GROUP BY key), a AS (SELECT sum(n)::DOUBLE / (count(*) + 1) AS m FROM n) SELECT round(m, 6) AS mean, round(sqrt(sum((n - m) * (n - m)) / (count(*) + 1)), 6) AS sd FROM n, a GROUP BY m")
+def seed_statistics(spark, sf_dir):
+    limit = seeds.frequency_limit(seeds.histogram(seeds.seeds(items(spark, sf_dir), "1" * K)))
+    return limit.select(six("mean").alias("mean"), six("sd").alias("sd"))
+
+
+@query(f"""WITH {SEEDS}, n AS (SELECT key, count(*) AS n FROM k GROUP BY key),
+u AS (SELECT k.id, k.key, k.pos, coalesce(sum(n) OVER (PARTITION BY k.id ORDER BY length(k.key) - k.pos % 7 DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k JOIN n USING (key))
+SELECT u.id, key, pos FROM u JOIN i ON i.id = u.id WHERE used <= 0.75 * length(seq)""")
+def seed_threshold(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    own = seeds.seeds(rows, "1" * K)
+    weighted = own.join(rows.select("id", F.length("seq").alias("size")), "id").withColumn("weight", F.length("key") - F.col("pos") % 7)
+    limit = spark.createDataFrame([(0.75,)], "top double")
+    return seeds.accept_seeds(weighted, seeds.histogram(own), limit).select("id", "key", "pos")
+
+
+@query(f"WITH {SEEDS} SELECT a.id AS q, b.id AS s, a.pos AS qpos, b.pos AS spos FROM k a JOIN k b USING (key)")
+def seed_hits(spark, sf_dir):
+    index = seeds.seeds(items(spark, sf_dir), "1" * K)
+    return seeds.seed_hits(index, index)
+
+
+@query(f"""WITH {SEEDS}, d AS (SELECT a.id AS q, b.id AS s, floor((a.pos - b.pos) / 16)::BIGINT AS diagonal, count(*) AS n FROM k a JOIN k b USING (key) GROUP BY 1, 2, 3)
+SELECT q, s, diagonal, n FROM d QUALIFY row_number() OVER (PARTITION BY q, s ORDER BY n DESC, diagonal) = 1""")
+def best_diagonals(spark, sf_dir):
+    index = seeds.seeds(items(spark, sf_dir), "1" * K)
+    return seeds.best_diagonal(seeds.diagonals(seeds.seed_hits(index, index), 16))
+
+
+@query()
+def search_all(spark, sf_dir):
+    own = stored(spark, items(spark, sf_dir).select("id", F.upper(F.regexp_replace("seq", "[^A-Za-z]", "")).alias("seq")), "items")
+    return search.search(own, own, pattern="1" * K, masked=False)
+
+
+@query()
+def low_complexity_mask(spark, sf_dir):
+    rows = search.mask(items(spark, sf_dir))
+    return rows.select("id", "seq", F.length(F.regexp_replace("seq", "[^x]", "")).alias("n_masked"))
+
+
+@query()
+def banded_alignment(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.upper(F.regexp_replace("p_name", " ", "")).alias("a"), F.upper("p_type").alias("b")).distinct()
+
+    def run(parts):
+        for part in parts:
+            got = align.align_batch([(align.codes(x), align.codes(y)) for x, y in zip(part["a"], part["b"])])
+            yield pd.DataFrame({"a": part["a"], "b": part["b"], "raw": [g.raw for g in got], "aln_len": [g.length for g in got]})
+
+    return rows.mapInPandas(run, "a string, b string, raw int, aln_len int")
+
+
+@query("SELECT string_agg(printf('d%07d', doc_id), ';;;' ORDER BY printf('d%07d', doc_id)) AS id, md5(text) AS digest FROM documents GROUP BY text")
+def dedupe_sequences(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.format_string("d%07d", "doc_id").alias("id"), F.col("text").alias("seq"))
+    return sequences.dedupe(rows).select("id", F.md5("seq").alias("digest"))
+
+
+@query("SELECT printf('d%07d', doc_id) AS q, printf('d%07d', min(doc_id) OVER (PARTITION BY text)) AS s, 1.0::DOUBLE AS score FROM documents")
+def expand_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.format_string("d%07d", "doc_id").alias("id"), F.col("text").alias("seq"))
+    joined = sequences.dedupe(rows).select(F.col("id").alias("q"), F.substring_index("id", sequences.JOINER, 1).alias("s"), F.lit(1.0).alias("score"))
+    return sequences.expand_hits(joined)
+
+
+@query("SELECT (dense_rank() OVER (ORDER BY source) - 1) || '|d' || doc_id AS id, source FROM documents")
+def label_by_file(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "source")
+    return sequences.label_by_file(rows, "source").select("id", "source")
+
+
+@query("SELECT row_number() OVER (ORDER BY lang, doc_id) - 1 AS ordinal, doc_id FROM documents")
+def dense_ordinals(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id")
+    return sequences.add_ordinals(rows, Scratch(spark), ["lang", "doc_id"]).select("ordinal", "doc_id")
+
+
+# --- pan-genome: words of four letters or more as families, sources as taxa ----------------------
+
+WORDS = """w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS group_id, source || '|' || doc_id AS gene FROM documents),
+p AS (SELECT group_id, split_part(gene, '|', 1) AS taxon, count(*) AS n FROM w GROUP BY 1, 2),
+nt AS (SELECT count(DISTINCT taxon) AS n FROM p),
+pc AS (SELECT group_id, count(*) AS n_taxa, sum(n)::BIGINT AS n_genes FROM p GROUP BY 1),
+cl AS (SELECT *, CASE WHEN n_taxa <= greatest(0.05 * (SELECT n FROM nt), 1) THEN 'Specific' WHEN n_taxa < 0.95 * (SELECT n FROM nt) THEN 'Share' ELSE 'Core' END AS class FROM pc)"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))))
+    return rows.select(found.alias("group_id"), F.concat_ws("|", "source", F.col("doc_id").cast("string")).alias("gene"))
+
+
+@query(f"WITH {WORDS} SELECT group_id, taxon, n FROM p")
+def pan_presence(spark, sf_dir):
+    return pangenome.presence(words(spark, sf_dir))
+
+
+@query(f"WITH {WORDS} SELECT group_id, n_taxa, n_genes, class FROM cl")
+def pan_classes(spark, sf_dir):
+    return pangenome.classify(stored(spark, pangenome.presence(words(spark, sf_dir)), "profile"))
+
+
+@query(f"WITH {WORDS} SELECT class, count(*) AS n_groups FROM cl GROUP BY 1")
+def pan_totals(spark, sf_dir):
+    return pangenome.totals(pangenome.classify(stored(spark, pangenome.presence(words(spark, sf_dir)), "profile")))
+
+
+@query(f"WITH {WORDS} SELECT group_id, min(gene) AS gene FROM w WHERE group_id IN (SELECT group_id FROM cl WHERE class = 'Core') GROUP BY 1")
+def core_representatives(spark, sf_dir):
+    grouped = stored(spark, words(spark, sf_dir), "groups")
+    return pangenome.core_representatives(grouped, pangenome.classify(pangenome.presence(grouped)))
+
+
+@query(f"WITH {WORDS} SELECT group_id, taxon, n FROM p WHERE taxon IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 1)")
+def pan_restricted(spark, sf_dir):
+    allowed = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("src"), "n_nationkey").alias("taxon"))
+    return pangenome.restrict(pangenome.presence(words(spark, sf_dir)), allowed).select("group_id", "taxon", "n")
+
+
+@query("""SELECT 'q' || coalesce(l.quality::VARCHAR, '') AS class, count(*) AS n FROM (SELECT doc_id, CASE WHEN quality IS NULL THEN 'd' || doc_id ELSE 'q' || quality END AS g, quality FROM documents LEFT JOIN labels USING (doc_id)) l GROUP BY 1""")
+def singletons(spark, sf_dir):
+    genes = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("gene"))
+    grouped = table(spark, sf_dir, "labels").select(F.concat(F.lit("q"), "quality").alias("group_id"), F.concat(F.lit("d"), "doc_id").alias("gene"))
+    every = pangenome.with_singletons(grouped, genes)
+    return every.groupBy(F.when(F.col("group_id").startswith("q"), F.col("group_id")).otherwise("q").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {WORDS},
+gc AS (SELECT w.gene, cl.class FROM w JOIN cl USING (group_id))
+SELECT class, count(*) AS n FROM (SELECT d.gene, coalesce(gc.class, 'unknown') AS class FROM (SELECT source || '|' || doc_id AS gene FROM documents) d LEFT JOIN gc USING (gene)) GROUP BY 1""")
+def gene_classes(spark, sf_dir):
+    grouped = stored(spark, words(spark, sf_dir), "groups")
+    genes = table(spark, sf_dir, "documents").select(F.concat_ws("|", "source", F.col("doc_id").cast("string")).alias("gene"))
+    return pangenome.gene_classes(genes, grouped, pangenome.classify(pangenome.presence(grouped))).groupBy("class").agg(F.count("*").alias("n"))
+
+
+ROTATIONS = 6
+
+
+def rotations(spark: SparkSession, profile: DataFrame) -> DataFrame:
+    """Orders of the taxa that SQL can repeat: rotations of their sorted list."""
+    taxa = sorted(r["taxon"] for r in profile.select("taxon").distinct().collect())  # taxa are few
+    n = len(taxa)
+    return spark.createDataFrame([(p, (k - p) % n + 1, t) for p in range(ROTATIONS) for k, t in enumerate(taxa)], "perm int, place int, taxon string")
+
+
+RAREFACTION = f"""{WORDS},
+tx AS (SELECT taxon, row_number() OVER (ORDER BY taxon) - 1 AS k FROM (SELECT DISTINCT taxon FROM p)),
+o AS (SELECT r::INT AS perm, ((k - r + (SELECT n FROM nt)) % (SELECT n FROM nt) + 1)::INT AS place, taxon FROM tx, range({ROTATIONS}) x(r)),
+z AS (SELECT perm, place, group_id, row_number() OVER (PARTITION BY perm, group_id ORDER BY place) AS y, coalesce(lead(place) OVER (PARTITION BY perm, group_id ORDER BY place), 1000000) AS nx FROM p JOIN o USING (taxon)),
+j AS (SELECT DISTINCT perm, place AS n FROM o WHERE place >= 2),
+f AS (SELECT j.perm, j.n, count(*) FILTER (WHERE z.y >= 0.95 * j.n) AS core, count(*) FILTER (WHERE z.place = j.n AND z.y <= greatest(0.05 * j.n, 1)) AS specific, count(*) AS pan FROM j JOIN z ON z.perm = j.perm AND z.place <= j.n AND z.nx > j.n GROUP BY 1, 2)"""
+
+
+@query(f"WITH {RAREFACTION} SELECT perm, n, core, specific, pan FROM f")
+def pan_rarefaction(spark, sf_dir):
+    profile = stored(spark, pangenome.presence(words(spark, sf_dir)), "profile")
+    return pangenome.rarefaction(profile, rotations(spark, profile)).select("perm", "n", *[F.col(c).cast("bigint").alias(c) for c in ("core", "specific", "pan")])
+
+
+@query(f"WITH {RAREFACTION} SELECT round(regr_slope(ln(pan), ln(n)), 4) AS gamma, round(exp(regr_intercept(ln(pan), ln(n))), 2) AS k FROM f")
+def pan_growth(spark, sf_dir):
+    profile = stored(spark, pangenome.presence(words(spark, sf_dir)), "profile")
+    rows = pangenome.rarefaction(profile, rotations(spark, profile)).select(F.log("pan").alias("y"), F.log("n").alias("x"))
+    return rows.agg(F.round(F.regr_slope("y", "x"), 4).alias("gamma"), F.round(F.exp(F.regr_intercept("y", "x")), 2).alias("k"))
+
+
+@query()
+def pan_fit(spark, sf_dir):
+    profile = stored(spark, pangenome.presence(words(spark, sf_dir)), "profile")
+    return pangenome.fit_profile(pangenome.rarefaction(profile, rotations(spark, profile)))
+
+
+# --- operons, ontology, concatenated blocks -----------------------------------------------------
+
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS o, p_brand || p_type AS fam FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT o, count(*) AS n FROM f GROUP BY o),
+s AS (SELECT x.o AS a, y.o AS b, count(*) AS shared FROM f x JOIN f y ON x.fam = y.fam AND x.o < y.o GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT a, b, shared, round(2.0 * (shared / na.n) * (shared / nb.n) / (shared / na.n + shared / nb.n), 6) AS score FROM s JOIN n na ON na.o = a JOIN n nb ON nb.o = b WHERE greatest(shared / na.n, shared / nb.n) > 0.5""")
+def operon_overlaps(spark, sf_dir):
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    rows = lines.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(parts, "p_partkey").select(F.col("l_orderkey").alias("operon_id"), F.concat("p_brand", "p_type").alias("family"))
+    return operons.overlaps(rows).select("a", "b", "shared", six("score").alias("score"))
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    region, nation, customer = (lambda x: F.concat(F.lit("R"), x)), (lambda x: F.concat(F.lit("N"), x)), (lambda x: F.concat(F.lit("C"), x))
+    return (
+        r.select(F.lit("root").alias("parent"), region("r_regionkey").alias("child"))
+        .unionByName(n.select(region("n_regionkey").alias("parent"), nation("n_nationkey").alias("child")))
+        .unionByName(c.select(nation("c_nationkey").alias("parent"), customer("c_custkey").alias("child")))
+    )
+
+
+@query("""SELECT 'R' || r_regionkey AS node, 'R' || r_regionkey AS ancestor FROM region UNION ALL SELECT 'N' || n_nationkey, 'N' || n_nationkey FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer""")
+def ontology_ancestors(spark, sf_dir):
+    return ontology.ancestors_at(levels(spark, sf_dir), Scratch(spark))
+
+
+@query("SELECT 'N' || c_nationkey AS ancestor, o_orderpriority AS class, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+def ontology_rollup(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    gene = F.concat(F.lit("O"), "o_orderkey").alias("gene")
+    notes = orders.select(gene, F.concat(F.lit("C"), "o_custkey").alias("term"))
+    classes = orders.select(gene, F.col("o_orderpriority").alias("class"))
+    return ontology.contingency(notes, ontology.ancestors_at(levels(spark, sf_dir), Scratch(spark)), classes)
+
+
+@query("""WITH b AS (SELECT p_brand AS k, p_type AS t, lpad(count(*)::VARCHAR, 6, '0') AS x FROM part WHERE p_size < 8 GROUP BY 1, 2),
+g AS (SELECT k, t FROM (SELECT DISTINCT k FROM b) CROSS JOIN (SELECT DISTINCT p_type AS t FROM part))
+SELECT g.t AS taxon, string_agg(coalesce(x, '------'), '' ORDER BY g.k) AS aligned FROM g LEFT JOIN b ON b.k = g.k AND b.t = g.t GROUP BY 1""")
+def concatenated_blocks(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    blocks = parts.where("p_size < 8").groupBy(F.col("p_brand").alias("block_id"), F.col("p_type").alias("taxon")).agg(F.lpad(F.count("*").cast("string"), 6, "0").alias("aligned"))
+    return sequences.concat_blocks(blocks, parts.select(F.col("p_type").alias("taxon")))
