@@ -78,7 +78,8 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 120, rate: float = 0
     """Adagrad on the noisy-or likelihood; features of under ``least`` documents are left out.
 
     ``lasso`` keeps the weights of most features at exactly 0: in a long clean
-    text, thousands of slightly suspect words would else add up.
+    text, thousands of slightly suspect words would else add up.  No weight is
+    negative: harmless words beside an offence do not excuse it.
     """
     rows, bags = [], []
     n_sentences = 0
@@ -116,7 +117,7 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 120, rate: float = 0
             g = np.bincount(feature, weights=slope[owner], minlength=BUCKETS)
             square += g**2
             w -= rate * g / np.sqrt(square)
-            w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink / np.sqrt(square), 0)
+            w = np.maximum(w - rate * shrink / np.sqrt(square), 0)
             gb = slope.sum() - 1e-5
             square_b += gb**2
             b -= rate * gb / np.sqrt(square_b)
