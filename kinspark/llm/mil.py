@@ -96,11 +96,13 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 120, rate: float = 0
         return model
     bag = np.concatenate(bags)
     pairs = np.concatenate(rows, 1)
+    del rows
     pairs = np.unique(pairs[0].astype(np.int64) << 18 | pairs[1])  # a feature counts once in a sentence
     owner, feature = (pairs >> 18).astype(np.int32), (pairs & (BUCKETS - 1)).astype(np.int32)
     in_docs = np.unique(bag[owner].astype(np.int64) << 18 | feature) & (BUCKETS - 1)
     often = np.bincount(in_docs, minlength=BUCKETS) >= least
     owner, feature = owner[often[feature]], feature[often[feature]]
+    del pairs, in_docs
     n = len(toxic)
     y = toxic.astype(float)
     w, b = np.zeros(BUCKETS), -5.0
@@ -124,7 +126,7 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 120, rate: float = 0
     return Model(float(b), np.append(w, 0.0).astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 3000, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2000, max_chars: int = 20_000) -> Model:
     """Train on at most ``per_class`` usable labelled documents of each class (see samples)."""
     rows = samples.labelled_sample(docs, labels, "toxic", usable, per_class, max_chars)
     return train(pa.array(rows["text"], pa.string()), rows["_y"].to_numpy() == 1) if len(rows) else Model()
