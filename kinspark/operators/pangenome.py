@@ -186,3 +186,11 @@ def fit_profile(samples: DataFrame) -> DataFrame:
     rows = samples.select("n", "core", "specific", "pan").toPandas()
     out = [(c, *r) for c in CURVES for r in (fit_curve(c, rows["n"].to_numpy(), rows[c].to_numpy()) if len(rows) else [])]
     return samples.sparkSession.createDataFrame(out, "curve string, parameter string, value double, half_width double")
+
+
+def curve_points(fits: list[tuple[str, str, float, float]], most: int) -> list[tuple[str, int, float]]:
+    """(curve, n, value) of fitted curves for 2 .. ``most`` genomes; ``fits`` as rows of :func:`fit_profile`."""
+    values: dict[str, dict[str, float]] = {}
+    for curve, parameter, value, _ in fits:
+        values.setdefault(curve, {})[parameter] = value
+    return [(c, n, float(CURVES[c][1](n, *[p[k] for k in CURVES[c][0]]))) for c, p in values.items() for n in range(2, most + 1)]

@@ -59,6 +59,11 @@ def frequency_limit(buckets: DataFrame, sigmas: float = 2.0) -> DataFrame:
     return sums.select(mean.alias("mean"), sd.alias("sd"), (mean + sigmas * sd).alias("top"))
 
 
+def save_index(index: DataFrame, name: str, n_buckets: int) -> None:
+    """Keep a seed index as a table bucketed by seed: joins with it need no shuffle of it."""
+    index.write.bucketBy(n_buckets, "key").sortBy("key").mode("overwrite").saveAsTable(name)
+
+
 def accept_seeds(query: DataFrame, buckets: DataFrame, limit: DataFrame) -> DataFrame:
     """Seeds of each query, rarest sequence content first, while what they reach stays under the limit.
 

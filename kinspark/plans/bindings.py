@@ -7,8 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinspark.functions import align, scores
-from kinspark.operators import affinity, components, density, graphs, mcl, ontology, operons, pangenome, rbh, relations, search, seeds, sequences
+from kinspark.functions import align, kmers, scores
+from kinspark.operators import affinity, components, density, graphs, mcl, msa, ontology, operons, pangenome, rbh, relations, search, seeds, sequences
 from kinspark.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -576,3 +576,16 @@ def concatenated_blocks(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     blocks = parts.where("p_size < 8").groupBy(F.col("p_brand").alias("block_id"), F.col("p_type").alias("taxon")).agg(F.lpad(F.count("*").cast("string"), 6, "0").alias("aligned"))
     return sequences.concat_blocks(blocks, parts.select(F.col("p_type").alias("taxon")))
+
+
+@query("""SELECT p_partkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))::BIGINT)), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS hash,
+list_sum(list_transform(range(0, 5), lambda i: instr('abcdefghijklmnopqrstuvwxyz ', substr(p_name, i + 1, 1)) * (28 ** i)::BIGINT))::BIGINT AS number FROM part""")
+def kmer_codes(spark, sf_dir):
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    return table(spark, sf_dir, "part").select("p_partkey", kmers.fnv1a_32(F.col("p_name")).alias("hash"), kmers.kmer_number(F.substring("p_name", 1, 5), letters).alias("number"))
+
+
+@query()
+def aligned_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("block_id"), F.col("p_type").alias("taxon"), F.upper(F.regexp_replace("p_name", " ", "")).alias("seq"))
+    return sequences.concat_blocks(msa.align_blocks(rows), rows.select("taxon"))

@@ -196,3 +196,23 @@ def test_streamed_queries(spark, tmp_path):
 def test_centre_star():
     got = align.centre_star(["MKVLAW", "MKLAW", "MKVLAAW"])
     assert len({len(x) for x in got}) == 1 and [x.replace("-", "") for x in got] == ["MKVLAW", "MKLAW", "MKVLAAW"]
+
+
+def test_kmer_numbers(spark):
+    from kinspark.functions import kmers
+
+    df = spark.createDataFrame([("acd",), ("",), ("foobar",)], "s string")
+    rows = df.select("s", kmers.fnv1a_32(F.col("s")).alias("h"), kmers.kmer_number(F.col("s"), "abcd").alias("n")).collect()
+    assert {r.s: r.h for r in rows if r.s != "acd"} == {"": 2166136261, "foobar": 0xBF9CF968}
+    assert rows[0].n == 1 + 3 * 5 + 4 * 25
+    back = df.limit(1).select(kmers.kmer_text(kmers.kmer_number(F.col("s"), "abcd"), "abcd", 3).alias("t")).first()
+    assert back.t == "acd"
+
+
+def test_concatenated_alignment(spark):
+    from kinspark.operators import msa
+
+    records = spark.createDataFrame([("A|1", "A", "MKVLAW"), ("B|1", "B", "MKLAW"), ("A|2", "A", "WWHHR"), ("C|1", "C", "WWHHR")], "id string, taxon string, seq string")
+    pairs = spark.createDataFrame([("A|1", "B", "B|1"), ("A|2", "C", "C|1")], "ref string, taxon string, gene string")
+    got = {r.taxon: r.aligned for r in msa.concatenated_alignment(pairs, records).collect()}
+    assert got == {"A": "MKVLAWWWHHR", "B": "MK-LAW-----", "C": "------WWHHR"}
