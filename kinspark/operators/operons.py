@@ -19,23 +19,42 @@ def harmonic(c0: Column, c1: Column) -> Column:
     return 2 * c0 * c1 / (c0 + c1)
 
 
-def overlaps(families: DataFrame, least: int = 3, cover: float = 0.5, with_self: bool = False) -> DataFrame:
+def _subsets(families, size: int):
+    """All sorted subsets of ``size`` (1 to 3) of a sorted array, as strings."""
+    n = F.size(families)
+
+    def text(*places):
+        return F.concat_ws("\u0001", *[F.get(families, k).cast("string") for k in places])
+
+    def upto(first, last):
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    if size == 1:
+        return F.transform(upto(F.lit(0), n - 1), lambda i: text(i))
+    if size == 2:
+        return F.flatten(F.transform(upto(F.lit(0), n - 2), lambda i: F.transform(upto(i + 1, n - 1), lambda j: text(i, j))))
+    return F.flatten(F.transform(upto(F.lit(0), n - 3), lambda i: F.flatten(F.transform(upto(i + 1, n - 2), lambda j: F.transform(upto(j + 1, n - 1), lambda k: text(i, j, k))))))
+
+
+def overlaps(families: DataFrame, least: int = 3, cover: float = 0.5, with_self: bool = False, longest: int = 40) -> DataFrame:
     """(a, b, shared, score) of operons that share ``least`` families or more and are covered by over ``cover`` on one side.
 
-    ``families``: (operon_id, family).  Families in one operon only meet nothing
-    and are left out before the join.
+    ``families``: (operon_id, family).  Operons that share three families meet at
+    a triple of them, so a family that many operons have makes no pairs by itself.
+    Operons of more than ``longest`` families, which have many triples, meet the
+    others family by family; they are few.
     """
-    rows = families.select("operon_id", "family").distinct()
-    size = rows.groupBy("operon_id").agg(F.count("*").alias("n"))
-    shared = rows.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family")
-    useful = rows if with_self else rows.join(shared, "family", "left_semi")
-    # an operon with fewer shared families than needed cannot be in a pair
-    enough = useful.groupBy("operon_id").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("operon_id")
-    useful = useful.join(enough, "operon_id", "left_semi")
-    left = useful.select(F.col("operon_id").alias("a"), "family")
-    right = useful.select(F.col("operon_id").alias("b"), "family")
-    pairs = left.join(right, "family").where("a <= b" if with_self else "a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    sized = pairs.join(size.select(F.col("operon_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("operon_id").alias("b"), F.col("n").alias("nb")), "b")
+    sets = families.groupBy("operon_id").agg(F.array_sort(F.collect_set("family")).alias("f")).where(F.size("f") >= least)
+    keys = sets.where(F.size("f") <= longest).select("operon_id", F.explode(_subsets(F.col("f"), min(least, 3))).alias("key"))
+    single = sets.select("operon_id", F.explode("f").alias("key"), (F.size("f") > longest).alias("long"))
+    order = F.col("a") <= F.col("b") if with_self else F.col("a") < F.col("b")
+    left, right = keys.select(F.col("operon_id").alias("a"), "key"), keys.select(F.col("operon_id").alias("b"), "key")
+    near = left.join(right, "key").where(order).select("a", "b")
+    far = single.where("long").select(F.col("operon_id").alias("x"), "key").join(single.select(F.col("operon_id").alias("y"), "key"), "key")
+    far = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(order)
+    pairs = near.unionByName(far).distinct()
+    both = pairs.join(sets.select(F.col("operon_id").alias("a"), F.col("f").alias("fa")), "a").join(sets.select(F.col("operon_id").alias("b"), F.col("f").alias("fb")), "b")
+    sized = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).cast("bigint").alias("shared"), F.size("fa").alias("na"), F.size("fb").alias("nb")).where(F.col("shared") >= least)
     c0, c1 = F.col("shared") / F.col("na"), F.col("shared") / F.col("nb")
     return sized.where(F.greatest(c0, c1) > cover).select("a", "b", "shared", harmonic(c0, c1).alias("score"))
 

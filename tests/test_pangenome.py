@@ -54,3 +54,14 @@ def test_ontology_levels(spark, scratch):
     assert {r.node: r.ancestor for r in ontology.ancestors_at(edges, scratch).collect()} == {"a": "a", "b": "b", "c": "c", "d": "b", "e": "b"}
     lines = spark.createDataFrame([("g1\tGO:0000001 GO:0000002",), ("g2\tnone",)], "value string")
     assert sorted(tuple(r) for r in ontology.terms(lines).collect()) == [("g1", "GO:0000001"), ("g1", "GO:0000002")]
+
+
+def test_operon_overlaps_match_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = {k: set(rng.sample(range(12), rng.randrange(1, 8))) for k in range(40)} | {100 + k: set(range(k, 60)) for k in range(3)}
+    df = spark.createDataFrame([(k, f"f{x}") for k, s in sets.items() for x in s], "operon_id long, family string")
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 3 and 2 * len(sets[a] & sets[b]) > min(len(sets[a]), len(sets[b]))}
+    assert {(r.a, r.b): r.shared for r in operons.overlaps(df).collect()} == want
+    assert (0 in sets) and all(r.a <= r.b for r in operons.overlaps(df, with_self=True).collect())
