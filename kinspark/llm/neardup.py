@@ -6,12 +6,16 @@ values cost 64 hash evaluations; 32 bands of 4 values (two minima, two maxima)
 make the buckets.  At the threshold of 0.8 a pair misses all buckets with a
 probability of (1 - 0.8**4)**32 = 5e-8.
 
-Documents with the same set are one class from the start.  Members of a bucket
-are compared with one member first (its smallest), then, as long as a bucket
-still spans several components, with others chosen by a hash, and at last with
-every member of other components: only pairs that cannot change the components
-are left out.  Every link is confirmed on the full sets.  A member that many
-compare with is copied to several tasks, so no group meets in one task.
+Documents with the same set are one class from the start.  Every bucket has a
+head, the member that shares most buckets with others: in a family of near
+copies that is the text they stem from.  All members of a bucket are compared
+with its head; that links most families in a star, without pairs of members.
+Where the members around a head then still lie in several components, those
+outside the largest are compared with all the others, in blocks: a task gets
+two blocks of texts, counts common shingles in memory and returns links only.
+So every pair that shares a bucket is compared, or lies in one component
+already; every link is confirmed on the full sets.  A head that many compare
+with is copied to several tasks, so no group meets in one task.
 
 Defined cases: a text without a word (null, empty, blank) has the empty set, is
 linked with nothing and kept; a row with a null id is linked with nothing, has
@@ -153,43 +157,80 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_ta
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of the sets that are as similar as asked for; sets are sorted and not empty."""
+    flat = np.concatenate(right)
+    known, at = np.unique(flat, return_inverse=True)
+    start = np.concatenate([[0], np.cumsum([len(r) for r in right])[:-1]])
+    size = np.array([len(r) for r in right])
+    table = np.zeros(len(known), bool)
+    for i, own in enumerate(left):
+        place = np.searchsorted(known, own)
+        place = place[place < len(known)]
+        mine = place[np.isin(known[place], own, assume_unique=True)]
+        table[mine] = True
+        both = np.add.reduceat(table[at], start, dtype=np.int64)
+        table[mine] = False
+        for j in np.flatnonzero(100 * both >= percent * (len(own) + size - both)).tolist():
+            yield i, j
+
+
+def confirm_blocks(groups: DataFrame, texts: DataFrame, width: int, percent: int, block: tuple[int, int] = (128, 512)) -> DataFrame:
+    """Links (a, b) between members of one group that lie in different parts.
+
+    ``groups``: (head, id, part).  Members outside a group's largest part meet
+    all its members, in blocks of about ``block`` rows.
+    """
+    sizes = groups.groupBy("head", "part").agg(F.count("*").alias("n")).groupBy("head").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
+    rows = groups.join(sizes.select("head", "n", F.col("top.part").alias("main"), (F.col("n") - F.col("top.n")).alias("m")), "head")
+    n_left = F.ceil(F.col("m") / block[0]).cast("int")
+    n_right = F.ceil(F.col("n") / block[1]).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("part <> main").select("head", F.pmod(F.xxhash64("id"), n_left).cast("int").alias("i"), every(n_right).alias("j"), F.lit(0).alias("side"), "id", "part")
+    right = rows.select("head", every(n_left).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), n_right).cast("int").alias("j"), F.lit(1).alias("side"), "id", "part")
+    dealt = left.unionAll(right).join(texts, "id").select("head", "i", "j", "side", "id", "part", "text")
+    kind = groups.schema["id"].dataType.simpleString()
+
+    def meet(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        ids, parts_ = table["id"].to_pylist(), table["part"].to_pylist()
+        sets = [s for _, _, chunk in T.chunks(table["text"]) for s in shingle_sets(chunk, width)]
+        of = [np.flatnonzero(side == k).tolist() for k in (0, 1)]
+        a, b = [], []
+        if of[0] and of[1]:
+            for i, j in links_between([sets[k] for k in of[0]], [sets[k] for k in of[1]], percent):
+                x, y = of[0][i], of[1][j]
+                if parts_[x] != parts_[y]:
+                    a.append(ids[x])
+                    b.append(ids[y])
+        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type)})
+
+    return dealt.groupBy("head", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest doc_id of its component)."""
     rows = scratch.keep(describe(docs, width), "sets")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = usable.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("bands").alias("bands"))
     nodes = scratch.keep(nodes.select("d0", "d1", F.col("least.doc_id").alias("id"), F.col("least.h").alias("h"), "bands"), "nodes")
-    keyed = nodes.select("id", "h", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("top")).where("head <> top").select("key", "head")
-    members = scratch.keep(keyed.join(shared, "key").select("key", "id", "h", "head"), "members")
-    wanted = members.select("id", "h").distinct()
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "n")
+    members = scratch.keep(keyed.join(shared, "key").select("key", "id", "n"), "members")
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    heads = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("head"))
+    around = scratch.keep(members.join(heads, "key").select("head", "id").distinct(), "around")
+    wanted = nodes.select("id", "h").join(around.select("id").distinct(), "id", "left_semi")
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"))
     texts = scratch.keep(texts.select("id", "text"), "texts")
 
-    tested, links, parts = None, None, None
-    for k in range(rounds + 1):
-        if k == 0:
-            pairs = members.where("id <> head").groupBy(F.col("id").alias("a")).agg(F.min("head").alias("b"))
-        else:
-            now = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-            spans = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by(F.struct("id", "part"), F.xxhash64("id", F.lit(k))).alias("pick")).where("low <> high")
-            spans = scratch.keep(spans, "spans")
-            if spans.isEmpty():
-                break  # every bucket lies within a component: no pair is left to compare
-            if k < rounds:
-                pairs = now.join(spans, "key").where("part <> pick.part").select(F.col("id").alias("a"), F.col("pick.id").alias("b"))
-            else:
-                open_ = now.join(spans, "key").select("key", "id", "part")
-                other = open_.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"))
-                pairs = open_.withColumnRenamed("id", "a").join(other, "key").where("part < part_b").select("a", "b")
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        if k and pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        new = scratch.keep(confirm(pairs, texts, width, percent), "links")
-        links = new if links is None else links.unionAll(new)
-        parts = scratch.keep(connected_components(links, scratch, "a", "b"), "parts")
+    pairs = around.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    links = scratch.keep(confirm(pairs, texts, width, percent), "links")
+    parts = scratch.keep(connected_components(links, scratch, "a", "b"), "parts")
+    now = around.join(parts.withColumnRenamed("node", "id"), "id", "left").select("head", "id", F.coalesce("component", "id").alias("part"))
+    open_ = now.groupBy("head").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
+    more = scratch.keep(confirm_blocks(scratch.keep(now.join(open_.select("head"), "head"), "open"), texts, width, percent), "more")
+    parts = scratch.keep(connected_components(links.unionAll(more), scratch, "a", "b"), "parts")
     classes = nodes.select("d0", "d1", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("component", "id").alias("_c"))
     found = rows.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_c", "doc_id"))
