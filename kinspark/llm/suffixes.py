@@ -46,7 +46,7 @@ GRAM = 48
 SEGMENT = 1 << 22
 _PLACE = T.U((1 << 24) - 1)
 #: Contexts of one gram that one task refines; more are counted window by window.
-HOT = 20_000
+HOT = 10_000
 
 
 def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +91,13 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
         raise ValueError("windows of a multiple of 8 bytes, and no shorter contexts")
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts])
-    room = np.concatenate([np.arange(n, 0, -1) for n in sizes])  # bytes up to the end of the context
+    room = np.concatenate([np.arange(n, 0, -1, dtype=np.int32) for n in sizes])  # bytes up to the end of the context
     forward, backward = T._power_tables(len(data) + 1)
     sums = np.concatenate([np.zeros(1, T.U), np.cumsum((data.astype(T.U) + T.U(1)) * forward[: len(data)], dtype=T.U)])
-    pointer = np.full(len(data), -1, np.int64)  # -1: no string of this depth elsewhere
+    pointer = np.full(len(data), -1, np.int32)  # -1: no string of this depth elsewhere
     at = np.flatnonzero(room >= q)
     keys = T.mix((sums[at + q] - sums[at]) * backward[at])
+    del sums
     depth = q
     while True:
         order = np.argsort(keys, kind="stable")
@@ -108,9 +109,9 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
         pointer[at[order[shared]]] = bucket[shared]
         if depth == length:
             break
-        later = np.minimum(np.arange(len(data)) + depth, len(data) - 1)
-        at = np.flatnonzero((pointer >= 0) & (room >= 2 * depth) & (pointer[later] >= 0))
-        keys = (pointer[at] << 32 | pointer[at + depth]).view(np.uint64)
+        at = np.flatnonzero((pointer >= 0) & (room >= 2 * depth))
+        at = at[pointer[at + depth] >= 0]
+        keys = (pointer[at].astype(np.int64) << 32 | pointer[at + depth]).view(np.uint64)
         depth *= 2
         if not len(at):
             pointer[:] = -1
@@ -189,7 +190,7 @@ def _contexts(wanted: DataFrame, length: int):
     return wanted.mapInArrow(_merged(run, 2_000), "gram bigint, hot boolean, t bigint, place bigint, bytes binary")
 
 
-def _refined(contexts: DataFrame, length: int, pool: int = 1 << 21) -> DataFrame:
+def _refined(contexts: DataFrame, length: int, pool: int = 1 << 20) -> DataFrame:
     """t, start and end of the repeated windows' bytes; contexts of one gram are in one task."""
     ordered = contexts.repartition("gram").sortWithinPartitions("gram", "t", "place")
 
@@ -245,7 +246,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200) -> Data
     """t, n (low bits of the size) and the list of byte ranges (lo, hi) to remove, by text."""
     found = find_runs(docs, length)
     grams = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("context").alias("low"), F.max("context").alias("high")).where("c > 1")
-    shared = found.join(grams.select("gram", (F.col("low") != F.col("high")).alias("mixed")), "gram")
+    # written first: only then can a join on a crowded gram be split
+    grams = scratch.keep(grams.select("gram", (F.col("low") != F.col("high")).alias("mixed")), "grams")
+    shared = found.join(grams, "gram")
     shared = scratch.keep(shared.select("t", "place", "gram", "context", "mixed"), "shared")
     start = F.shiftright("place", 8).bitwiseAND(0x7FFFFFFFF)
     size = F.shiftright("place", 43)
