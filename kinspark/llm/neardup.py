@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     nodes = usable.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("bands").alias("bands"))
     nodes = scratch.keep(nodes.select("d0", "d1", F.col("least.doc_id").alias("id"), F.col("least.h").alias("h"), "bands"), "nodes")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "n")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    shared = scratch.keep(shared.select("key", "n"), "shared")  # written first: only then can a join on a crowded key be split
     members = scratch.keep(keyed.join(shared, "key").select("key", "id", "n"), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
     heads = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("head"))
