@@ -56,10 +56,12 @@ def iterate(edges: DataFrame, rounds: int, inflation: float = 1.5, scratch: Scra
     return now
 
 
-def relational_mcl(edges: DataFrame, scratch: Scratch, inflation: float = 1.5, rounds: int = 100, widest: int | None = 1400) -> DataFrame:
+def relational_mcl(edges: DataFrame, scratch: Scratch, inflation: float = 1.5, rounds: int = 100, widest: int | None = None) -> DataFrame:
     """(node, cluster) by rounds of joins; every fifth round looks for convergence.
 
-    ``widest`` entries of a row are kept after each round, which bounds the fill-in.
+    Entries below PRUNE go after each round, as in the local form.  ``widest``
+    asks for an approximation: only so many entries of a row are kept, which
+    bounds the fill-in but cuts clusters that are larger.
     """
     now = scratch.keep(matrix(edges), "mcl")
     for k in range(rounds):

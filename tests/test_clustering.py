@@ -30,6 +30,14 @@ def test_mcl_forms_agree_and_part_the_blocks(edges, scratch):
     assert len(local) == 4 and sum(map(len, local)) == 24
 
 
+def test_mcl_keeps_a_hub_of_many_neighbours_whole(spark, scratch):
+    names = np.array(["hub", *(f"leaf{k:04d}" for k in range(1500))])
+    star = spark.createDataFrame([("hub", str(x), 1.0) for x in names[1:]], "src string, dst string, w double")
+    label = mcl.local_mcl(names, np.repeat(names[:1], 1500), names[1:], np.ones(1500))
+    assert set(label) == {0}
+    assert as_sets(mcl.relational_mcl(star, scratch)) == as_sets(mcl.mcl(star, scratch)) == [names.tolist()]
+
+
 def test_columns_sum_to_one(edges):
     sums = mcl.normalise_columns(mcl.matrix(edges)).groupBy("j").sum("w").collect()
     assert all(abs(r[1] - 1) < 1e-6 for r in sums)
