@@ -4,7 +4,8 @@ A text's words are lower-cased runs of letters, digits and non-ASCII bytes,
 joined by single spaces; rules are regular expressions over that.  Three kinds
 of rules are made for every license of the table: its SPDX tag, a grant ("under
 the ..."), and its name.  A text that contains none of the GATE keywords is not
-searched; in the others a rule runs only if its own keyword occurs.  Detections
+searched; in the others a rule runs only if one of its own keywords occurs, and
+whatever a pattern matches holds one of its keywords and one of the gate's.  Detections
 are word intervals.  One that lies within another, or shares its interval with
 one of higher priority, is suppressed.
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinspark.llm.urls import BIG, SMALL
 
-#: label: (words of the SPDX tag, name, keyword of the name).  Names match normalised words.
+#: label: (words of the SPDX tag, name, keywords of the name, apart by "|").  Names match normalised words.
 LICENSES: dict[str, tuple[str, str, str]] = {
     "0bsd": ("0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: license)?", "bsd"),
     "afl-3": ("afl 3 0", r"academic free licen[sc]e(?: version| v)? ?3(?: 0)?", "academic"),
@@ -43,13 +44,13 @@ LICENSES: dict[str, tuple[str, str, str]] = {
     "bsd": ("bsd", r"bsd (?:style )?licen[sc]e", "bsd"),
     "bsl-1": ("bsl 1 0", r"boost software licen[sc]e(?: version)?(?: 1(?: 0)?)?", "boost"),
     "busl-1": ("busl 1 1", r"business source licen[sc]e(?: version)?(?: 1(?: 1)?)?", "business source"),
-    "cc0": ("cc0 1 0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc"),
-    "cc-by": ("cc by [1-4](?: [05])?", r"(?:cc by(?! (?:nc|sa|nd))|creative commons attribution(?! (?:non ?commercial|share ?alike|no ?deriv)))(?: [1-4] [05])?", "by"),
-    "cc-by-sa": ("cc by sa [1-4](?: [05])?", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "sa"),
-    "cc-by-nd": ("cc by nd [1-4](?: [05])?", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "nd"),
-    "cc-by-nc": ("cc by nc [1-4](?: [05])?", r"(?:cc by nc(?! (?:sa|nd))|creative commons attribution non ?commercial(?! (?:share ?alike|no ?deriv)))(?: [1-4] [05])?", "nc"),
-    "cc-by-nc-sa": ("cc by nc sa [1-4](?: [05])?", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "sa"),
-    "cc-by-nc-nd": ("cc by nc nd [1-4](?: [05])?", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "nd"),
+    "cc0": ("cc0 1 0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?", "cc0|cc zero|creative commons"),
+    "cc-by": ("cc by [1-4](?: [05])?", r"(?:cc by(?! (?:nc|sa|nd))|creative commons attribution(?! (?:non ?commercial|share ?alike|no ?deriv)))(?: [1-4] [05])?", "cc by|creative commons"),
+    "cc-by-sa": ("cc by sa [1-4](?: [05])?", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?", "cc by|creative commons"),
+    "cc-by-nd": ("cc by nd [1-4](?: [05])?", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc by|creative commons"),
+    "cc-by-nc": ("cc by nc [1-4](?: [05])?", r"(?:cc by nc(?! (?:sa|nd))|creative commons attribution non ?commercial(?! (?:share ?alike|no ?deriv)))(?: [1-4] [05])?", "cc by|creative commons"),
+    "cc-by-nc-sa": ("cc by nc sa [1-4](?: [05])?", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?", "cc by|creative commons"),
+    "cc-by-nc-nd": ("cc by nc nd [1-4](?: [05])?", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [05])?", "cc by|creative commons"),
     "cddl-1": ("cddl 1 [01]", r"common development and distribution licen[sc]e(?: version)?(?: 1 [01])?", "common development"),
     "cecill-2": ("cecill 2 [01]", r"cecill(?: free software)?(?: licen[sc]e)?(?: agreement)?(?: version)? 2(?: [01])?", "cecill"),
     "cecill": ("cecill", r"cecill(?: [bc])? licen[sc]e", "cecill"),
@@ -115,16 +116,16 @@ LICENSES: dict[str, tuple[str, str, str]] = {
 }
 GRANT = r"(?:licen[sc]ed|released|distributed|available|provided|published|offered|used|covered|work is licen[sc]ed) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?"
 #: A text without any of these (lower-cased, words apart by one space) has no detection.
-GATE = ("licen", "spdx", " cc by ", " cc0 ", " cc zero ", "creative commons", "general public", " gpl", " lgpl", "public domain", "rights reserved", "bsd", "wtfpl", "historical permission", "llvm exception", "mit no attribution")
+GATE = ("licen", "spdx", " cc by ", " cc0 ", " cc zero ", "creative commons", "general public", " gpl", " lgpl", "public domain", "rights reserved", "bsd", "wtfpl", "historical permission", "llvm exception", "mit no attribution", " cecill ")
 
 
-def rule_table(base: dict[str, str]) -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, pattern, confidence), the base phrases first."""
-    rules = [(0, label, phrase, re.escape(phrase).replace(r"\ ", " "), 1.0) for phrase, label in base.items()]
-    rules += [(1, label, "spdx", f"spdx licen[sc]e identifier {tag}", 1.0) for label, (tag, _, _) in LICENSES.items()]
-    rules += [(2, label, keyword, GRANT + name, 0.95) for label, (_, name, keyword) in LICENSES.items()]
-    rules += [(3, label, keyword, name, 0.6) for label, (_, name, keyword) in LICENSES.items()]
-    return [(p, label, keyword, f"(?<= )(?:{pattern})(?= )", score) for p, label, keyword, pattern, score in rules]
+def rule_table(base: dict[str, str]) -> list[tuple[int, str, list[str], str, float]]:
+    """(priority, label, keywords, pattern, confidence), the base phrases first."""
+    rules = [(0, label, [phrase], re.escape(phrase).replace(r"\ ", " "), 1.0) for phrase, label in base.items()]
+    rules += [(1, label, ["spdx"], f"spdx licen[sc]e identifier {tag}", 1.0) for label, (tag, _, _) in LICENSES.items()]
+    rules += [(2, label, keywords.split("|"), GRANT + name, 0.95) for label, (_, name, keywords) in LICENSES.items()]
+    rules += [(3, label, keywords.split("|"), name, 0.6) for label, (_, name, keywords) in LICENSES.items()]
+    return [(p, label, keywords, f"(?<= )(?:{pattern})(?= )", score) for p, label, keywords, pattern, score in rules]
 
 
 def _spaces(x: Column) -> Column:
@@ -169,7 +170,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str]) -> DataFrame:
     ``base``: phrase (lower-case words) to label.
     """
     rules = rule_table(base)
-    literal = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(s).alias("score")) for p, label, k, x, s in rules])
+    literal = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(x).alias("pattern"), F.lit(s).alias("score")) for p, label, k, x, s in rules])
     apart = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
     words = docs.select("doc_id", F.concat(F.lit(" "), F.trim(apart), F.lit(" ")).alias("words"))
     lower = F.lower("words")
@@ -178,7 +179,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str]) -> DataFrame:
         gate = gate | lower.contains(keyword)
     words = words.select("doc_id", F.when(F.col("words") == "  ", 0).otherwise(_spaces(F.col("words")) - 1).cast("bigint").alias("n_words"), F.when(gate, F.translate("words", BIG, SMALL)).alias("words"))
     w = F.col("words")
-    all_found = F.flatten(F.transform(F.filter(literal, lambda r: F.contains(w, r["keyword"])), lambda r: _detections(w, r)))
+    all_found = F.flatten(F.transform(F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(w, k))), lambda r: _detections(w, r)))
     none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string,score:double>>")
     scanned = words.select("doc_id", "n_words", F.when(w.isNotNull(), all_found).otherwise(none).alias("found"))
     of_base = F.filter("found", lambda d: d["priority"] == 0)

@@ -148,6 +148,55 @@ def test_rules_and_suppression(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string"), BASE_PHRASES).collect() == []
 
 
+def strings_of(tree):
+    """Every string that a parsed pattern of finite length can match; assertions are left out."""
+    out = [""]
+    for kind, arg in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            new = [chr(arg)]
+        elif name == "IN":
+            new = [chr(c) for k, v in arg for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+        elif name == "BRANCH":
+            new = [x for t in arg[1] for x in strings_of(t)]
+        elif name == "SUBPATTERN":
+            new = strings_of(arg[3])
+        elif name == "MAX_REPEAT":
+            assert arg[:2] == (0, 1)
+            new = ["", *strings_of(arg[2])]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            new = [""]
+        out = [a + b for a in out for b in new]
+    return out
+
+
+def test_every_match_holds_a_keyword_of_its_rule_and_of_the_gate():
+    gate = licenses.GATE + tuple(f" {p} " for p in BASE_PHRASES)
+    names = {label: strings_of(re._parser.parse(name)) for label, (_, name, _) in licenses.LICENSES.items()}
+    for priority, label, keywords, pattern, _ in licenses.rule_table(BASE_PHRASES):
+        # a grant is made of its name and a phrase before it: the name must do
+        for x in names[label] if priority > 1 else strings_of(re._parser.parse(pattern)):
+            assert any(k in f" {x} " for k in keywords), (label, x)
+            assert any(k in f" {x} " for k in gate), (label, x)
+
+
+def test_long_names_need_no_other_words(spark):
+    want = {
+        "This work is licensed under a Creative Commons Attribution Share Alike 4.0 license.": "cc-by-sa",
+        "Creative Commons Zero": "cc0",
+        "Licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "a Creative Commons Attribution Non Commercial 4.0 license": "cc-by-nc",
+        "Creative Commons Attribution No Derivatives": "cc-by-nd",
+        "Creative Commons Attribution NonCommercial ShareAlike": "cc-by-nc-sa",
+        "Creative Commons Attribution NonCommercial NoDerivs": "cc-by-nc-nd",
+        "CeCILL version 2.1": "cecill-2",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(df, BASE_PHRASES).collect()}
+    assert [got[k] for k in range(len(want))] == list(want.values())
+
+
 URLS = ["https://WWW.Example.com/en/1?x", "http://m.example.com/en/2", "https://a.net/es/x#y", "https://net/fr/", "https://a.org/es/", "no scheme", None, "ftp://x.com", "http://x.com/", "http://examplenet/es/", "https://bad.org/a/", "http://www.bad.org/a", "https://bad.org/b", "http://ok.org/redirect?u=http://bad.org/a", "://"]
 
 
