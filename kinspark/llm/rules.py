@@ -1,10 +1,10 @@
 r"""Quality rules: statistics of each text, hard limits, and an isolation forest.
 
 The statistics are exact counts over the whole text.  Documents that break a
-hard limit are rejected.  The rest are judged by an isolation forest over
-ratios of the statistics: a point that random splits separate after few steps
-is an anomaly.  The forest is grown on a bounded, hash-ordered sample; the
-threshold on the anomaly score is calibrated on labelled rows.
+hard limit are rejected.  The rest are judged by isolation forests over ratios
+of the statistics, one for each kind of statistic: a point that random splits
+separate after few steps is an anomaly.  The forests are grown on a bounded,
+hash-ordered sample; their thresholds are calibrated on labelled rows.
 
 Defined cases: a null or empty text has no words, fails the limit of 20 words
 and is not kept; repeated rows and ids are judged each by its own text; an
@@ -27,6 +27,9 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 MARKED = SYMBOLS | (np.arange(256) == ord("!"))
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = 8
+#: Columns of ratios() by kind.  One forest over all would lose what strays in one kind among the spread of the others.
+KINDS = ([0, 1], [2], [3, 4], [5])
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -73,34 +76,34 @@ def duplicate_lines(chunk: T.Chunk, filled: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def measure(chunk: T.Chunk) -> np.ndarray:
-    """COUNTS and the number of marked words, one row for each document."""
+    """COUNTS, then the marked words, the words equal to the one before, and the lines with a word."""
     n = len(chunk)
     buf, s, e = chunk.buf, chunk.start, chunk.end
     filled = ~T.SPACE[buf]
     w_start, w_end, w_doc = chunk.runs(T.SPACE)
     hashes = chunk.hashes(w_start, w_end)
     again, line_doc = duplicate_lines(chunk, filled)
-    out = np.zeros((n, 6))
+    out = np.zeros((n, MEASURED))
     out[:, 0] = np.bincount(w_doc, minlength=n)
     out[:, 1] = chunk.total(filled & ~T.CONTINUES[buf], s, e)
     out[:, 2] = chunk.total(SYMBOLS[buf], s, e)
     out[:, 3] = T.sum_by(again, line_doc, n)
     out[:, 4] = T.sum_by(repeated_words(hashes, w_doc), w_doc, n)
     out[:, 5] = T.sum_by(chunk.total(MARKED[buf], w_start, w_end) > 0, w_doc, n)
+    out[:, 6] = T.sum_by((hashes[1:] == hashes[:-1]) & (w_doc[1:] == w_doc[:-1]), w_doc[1:], n)
+    out[:, 7] = T.sum_by(chunk.total(filled, *chunk.lines()[:2]) > 0, line_doc, n)
     return out
 
 
 def ratios(m: np.ndarray) -> np.ndarray:
-    """Features of the forest, free of the length of the text.
+    """Features of the forests, free of the length of the text; KINDS says whose they are.
 
-    Symbols a word, and the part of the words with a symbol or an exclamation
-    mark.  Good texts have next to none, so they lie together and what strays
-    from them is isolated early.  Repetition is left to the hard limit, and word
-    length out: lines that many good documents share, or a language with long
-    words, would look like anomalies.
+    Symbols a word and the part of the words with a symbol or an exclamation
+    mark; words equal to the one before, as a part of all; duplicate lines as a
+    part of the lines, and repeated words as a part of all; code points a word.
     """
-    words = np.maximum(m[:, 0], 1)
-    return np.column_stack([m[:, 2] / words, m[:, 5] / words])
+    words, lines = np.maximum(m[:, 0], 1), np.maximum(m[:, 7], 1)
+    return np.column_stack([m[:, 2] / words, m[:, 5] / words, m[:, 6] / words, m[:, 3] / lines, m[:, 4] / words, m[:, 1] / words])
 
 
 def base_failed(m: np.ndarray) -> np.ndarray:
@@ -171,14 +174,23 @@ class Forest:
 
 @dataclass
 class Model:
-    forest: Forest | None
+    """``forest``: for each of KINDS a forest and the score that it rejects from."""
+
+    forest: list[tuple[Forest, float]] | None
     threshold: float
 
+    def score(self, m: np.ndarray) -> np.ndarray:
+        """The largest anomaly score, in parts of the score that its forest rejects from."""
+        if self.forest is None:
+            return np.zeros(len(m))
+        points = ratios(m)
+        return np.max([own.score(points[:, kind]) / least for kind, (own, least) in zip(KINDS, self.forest)], axis=0)
+
     def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Statistics, whether the limits fail, the anomaly score, and the verdict."""
-        m = T.per_document(column, measure, 6)
+        m = T.per_document(column, measure, MEASURED)
         failed = base_failed(m)
-        score = np.zeros(len(m)) if self.forest is None else self.forest.score(ratios(m))
+        score = self.score(m)
         return m, failed, score, ~failed & (score < self.threshold)
 
 
@@ -206,25 +218,33 @@ def calibrate(score: np.ndarray, good: np.ndarray, spare: float) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 20_000, spare: float = 0.005) -> Model:
-    """Grow the forest and calibrate its threshold.
+    """Grow the forests and calibrate their thresholds.
 
     The sample: at most ``per_class`` labelled rows of each quality, of at most
-    ``max_chars`` code points, by a hash of doc_id.  The forest sees the rows of
-    good quality and one in ten others, as it would find them in a corpus;
-    ``spare`` is the part of good rows that the threshold may cost.
+    ``max_chars`` code points, by a hash of doc_id.  The forests see the rows of
+    good quality and one in ten others, as they would find them in a corpus;
+    ``spare`` is the part of good rows that the thresholds may cost together.
+    Each forest is calibrated on the rows that those before it let pass, so one
+    that finds no more bad rows rejects nothing.
     """
     rows = samples.labelled_sample(docs, labels, "quality", F.lit(True), per_class, max_chars)
     if not len(rows):
         return Model(None, 2.0)
-    m = T.per_document(pa.array(rows["text"], pa.string()), measure, 6)
+    m = T.per_document(pa.array(rows["text"], pa.string()), measure, MEASURED)
     good = rows["_y"].to_numpy() == 1
     usable = ~base_failed(m)
     if usable.sum() < 2 or not (good & usable).any():
         return Model(None, 2.0)
     points = ratios(m)
     seen = usable & (good | (np.arange(len(good)) % 10 == 0))
-    forest = Forest.grow(points[seen])
-    return Model(forest, calibrate(forest.score(points[usable]), good[usable], spare))
+    forests, left = [], usable
+    for kind in KINDS:
+        forest = Forest.grow(points[seen][:, kind])
+        score = forest.score(points[:, kind])
+        least = calibrate(score[left], good[left], spare / len(KINDS))
+        forests.append((forest, least))
+        left = left & (score < least)
+    return Model(forests, 1.0)
 
 
 def judge_rules(docs: DataFrame, model: Model) -> DataFrame:

@@ -53,6 +53,19 @@ def labelled(spark, n=300, seed=1):
     return df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), {r[0]: r for r in rows}
 
 
+def test_stuttered_words_are_rejected(spark):
+    docs, labels, truth = labelled(spark)
+    rng = random.Random(3)
+    rows = [(1000 + k, " ".join(w for w in words(rng, 9) for _ in range(5)), 0) for k in range(30)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    assert not any(set(r[1]) & set("#*$%&|<>!") or rules.base_failed(rules.measure(T.Chunk([r[1].encode()])))[0] for r in rows)
+    model = rules.fit(docs.unionAll(more.select("doc_id", "text")), labels.select("doc_id", "quality").unionAll(more.select("doc_id", "quality")))
+    assert not any(r.kept for r in rules.judge_rules(more, model).collect())
+    kept = {r.doc_id: r.kept for r in rules.judge_rules(docs, model).collect()}
+    good = [k for k, r in truth.items() if r[2]]
+    assert sum(kept[k] for k in good) >= 0.99 * len(good) and not any(kept[k] for k, r in truth.items() if not r[2])
+
+
 def test_forest_rejects_junk_and_keeps_the_rest(spark):
     docs, labels, truth = labelled(spark)
     model = rules.fit(docs, labels)
