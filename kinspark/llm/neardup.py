@@ -19,8 +19,9 @@ with is copied to several tasks, so no group meets in one task.
 
 Defined cases: a text without a word (null, empty, blank) has the empty set, is
 linked with nothing and kept; a row with a null id is linked with nothing, has
-a null component and is kept; rows that repeat an id are one document; an empty
-table gives an empty result.  Whole texts are read; extra columns are ignored.
+a null component and is kept; rows that repeat an id are one document in the
+components, while keep_first tells them apart by their texts; an empty table
+gives an empty result.  Whole texts are read; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     shared = scratch.keep(shared.select("key", "n"), "shared")  # written first: only then can a join on a crowded key be split
     members = scratch.keep(keyed.join(shared, "key").select("key", "id", "n"), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    heads = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("head"))
+    heads = members.join(degree, "id").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("back"), "id")).alias("top")).select("key", F.col("top.id").alias("head"))
     around = scratch.keep(members.join(heads, "key").select("head", "id").distinct(), "around")
     wanted = nodes.select("id", "h").join(around.select("id").distinct(), "id", "left_semi")
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"))
@@ -239,8 +240,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates; all columns as they are."""
-    kept = near_duplicates(docs, scratch, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    whole = known.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
+    """One row of ``docs`` for each group of near-duplicates; all columns as they are.
+
+    A document is an id with the hash of its text: of rows that repeat an id
+    only those with equal or similar texts become one.
+    """
+    h = F.xxhash64("text")
+    named = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", h.alias("h"))).alias("doc_id"), "text")
+    kept = near_duplicates(named, scratch, width, percent).where("kept and doc_id is not null").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct()
+    known = docs.where("doc_id is not null").join(kept, (F.col("doc_id") == F.col("_id")) & (h == F.col("_h")), "left_semi")
+    whole = known.groupBy("doc_id", h).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
     return whole.unionAll(docs.where("doc_id is null"))

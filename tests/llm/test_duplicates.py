@@ -69,6 +69,15 @@ def test_one_row_of_each_group_stays(docs, texts, scratch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_rows_that_repeat_an_id_with_other_texts_stay(spark, scratch):
+    rng = random.Random(9)
+    own, other, third = (" ".join(words(rng, 100)) for _ in range(3))
+    near = own.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, own), (2, near), (2, other), (3, third), (3, third), (4, ""), (4, other + " more"), (5, near)]
+    got = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), scratch)
+    assert sorted(map(tuple, got.collect())) == [(1, own), (2, other), (3, third), (4, "")]
+
+
 def test_null_ids_and_empty_tables(spark, no_docs, scratch):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = neardup.near_duplicates(df, scratch, 4).collect()
