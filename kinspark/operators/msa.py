@@ -13,9 +13,12 @@ def align_blocks(members: DataFrame) -> DataFrame:
     """(block_id, taxon, aligned): a multiple alignment of each block.
 
     ``members``: (block_id, taxon, seq), one sequence of a taxon in a block, so a
-    block has at most as many rows as there are taxa.
+    block has at most as many rows as there are taxa; different sequences of a
+    taxon in a block are an error.
     """
-    one = members.groupBy("block_id", "taxon").agg(F.min("seq").alias("seq"))
+    said = F.concat(F.lit("several sequences of taxon "), F.col("taxon").cast("string"), F.lit(" in block "), F.col("block_id").cast("string"))
+    one = members.groupBy("block_id", "taxon").agg(F.min("seq").alias("seq"), F.max("seq").alias("other"))
+    one = one.select("block_id", "taxon", F.when(F.col("seq") != F.col("other"), F.raise_error(said).cast("string")).otherwise(F.col("seq")).alias("seq"))
 
     def align(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("taxon")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinspark.functions import align, kmers, scores
 from kinspark.operators import affinity, components, density, graphs, mcl, msa, ontology, operons, pangenome, rbh, relations, search, seeds, sequences
@@ -587,5 +587,7 @@ def kmer_codes(spark, sf_dir):
 
 @query()
 def aligned_blocks(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("block_id"), F.col("p_type").alias("taxon"), F.upper(F.regexp_replace("p_name", " ", "")).alias("seq"))
+    turn = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_name", "p_partkey"))  # the parts of a brand and type, one in each block
+    block = F.concat("p_brand", F.lit("/"), F.lpad(turn.cast("string"), 10, "0"))
+    rows = table(spark, sf_dir, "part").select(block.alias("block_id"), F.col("p_type").alias("taxon"), F.upper(F.regexp_replace("p_name", " ", "")).alias("seq"))
     return sequences.concat_blocks(msa.align_blocks(rows), rows.select("taxon"))

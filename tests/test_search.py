@@ -216,3 +216,23 @@ def test_concatenated_alignment(spark):
     pairs = spark.createDataFrame([("A|1", "B", "B|1"), ("A|2", "C", "C|1")], "ref string, taxon string, gene string")
     got = {r.taxon: r.aligned for r in msa.concatenated_alignment(pairs, records).collect()}
     assert got == {"A": "MKVLAWWWHHR", "B": "MK-LAW-----", "C": "------WWHHR"}
+
+
+def test_blocks_with_several_sequences_of_a_taxon_are_an_error(spark):
+    from kinspark.operators import msa
+
+    rows = [(1, "A", "MKVLAW"), (1, "A", "MKVLAW"), (1, "B", "MKLAW")]
+    schema = "block_id int, taxon string, seq string"
+    got = {r.taxon: r.aligned for r in msa.align_blocks(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"A": "MKVLAW", "B": "MK-LAW"}
+    with pytest.raises(Exception, match="several sequences of taxon A in block 1"):
+        msa.align_blocks(spark.createDataFrame([*rows, (1, "A", "WWHHR")], schema)).collect()
+
+
+def test_every_part_is_in_the_aligned_blocks(spark, tmp_path):
+    from kinspark.plans import bindings
+
+    parts = [(1, "x", "t", "red cat"), (2, "x", "t", "blue dog"), (3, "x", "u", "red cat"), (4, "y", "u", "owl")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.taxon: r.aligned.replace("-", "") for r in bindings.queries()["aligned_blocks"](spark, str(tmp_path)).collect()}
+    assert got == {"t": "BLUEDOGREDCAT", "u": "REDCATOWL"}
