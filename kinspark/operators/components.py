@@ -4,26 +4,91 @@ Alternating star contractions (large star, small star): each round links every
 node to the smallest node it has seen, in two joins; the number of rounds grows
 with the logarithm of the graph, not with the length of its paths.  Every round
 is written to the shared scratch folder, so a lost executor costs one round.
+The smallest neighbours are written before they are joined with the edges: a
+join of two tables can be split where one node has a great part of all edges.
+
+Between rounds each task replaces the edges that it holds, up to CHUNK at a
+time, by stars around the smallest node of what they connect.  That changes no
+component, and leaves little for the rounds to do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+CHUNK = 400_000
+
 from kinspark.scratch import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def stars(pairs: list[tuple]) -> list[tuple]:
+    """(node, smallest node it is connected to) of the nodes that are not the smallest themselves."""
+    parent: dict = {}
+
+    def root(x):
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for u, v in pairs:
+        a, b = root(u), root(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, top) for x in parent if (top := root(x)) != x]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) of each task as stars."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            u, v = (table[c].to_pylist() for c in ("u", "v"))
+            struct = pa.types.is_struct(table.schema.field("u").type)
+            found = stars([(tuple(a.values()), tuple(b.values())) for a, b in zip(u, v)] if struct else list(zip(u, v)))
+            if struct:
+                names = table.schema.field("u").type.names
+                found = [(dict(zip(names, a)), dict(zip(names, b))) for a, b in found]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], table.schema.field(c).type) for k, c in enumerate(("u", "v"))], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return edges.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _solved(edges: DataFrame) -> bool:
+    """Whether every node points at one node only, which points at none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.keep(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = down.join(least, "u")
     return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
 
@@ -33,16 +98,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
 
     Edges may repeat, point either way or be loops; null ends are ignored.
     """
+    work = scratch.child()
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = given.where("u = v").select(F.col("u").alias("node")).distinct()
-    now = scratch.keep(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == before:
-            break
-        before = mark
-        now = scratch.keep(_small_star(_large_star(now)).where("u <> v").distinct(), "star")
+    down = given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = work.keep(_contracted(down), "edges")
+    while not _solved(now):
+        large = work.keep(_large_star(now, work), "large").where("u <> v").distinct()
+        now = work.keep(_contracted(_small_star(large, work).where("u <> v").distinct()), "star")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = found.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    return found.unionAll(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    out = scratch.keep(found.unionAll(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))), "components")
+    work.drop()
+    return out

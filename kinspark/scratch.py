@@ -2,11 +2,15 @@
 
 A table written here cuts the lineage: a lost executor costs a re-read, not a
 re-computation.  The folder is ``spark.checkpoint.dir`` of the session; only a
-session that has none (tests, a notebook on one machine) gets a local folder.
+session in one process (tests, a notebook) may do without and gets a local
+folder, on a cluster that is an error.  Operators drop their own intermediate
+tables; what a result still reads goes when the program ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kinspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,6 +36,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinspark-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again."""
@@ -38,8 +46,19 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def child(self) -> Scratch:
+        """Another folder, for tables that the result of an operator does not read."""
+        return Scratch(self.spark)
+
     def drop(self) -> None:
         """Delete all tables; only once no DataFrame on them is needed."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        atexit.unregister(self.drop)
+        context = self.spark.sparkContext
+        if not self.count:
+            return
+        if context._jsc is None:  # the session has ended
+            if self.root.startswith("file://"):
+                shutil.rmtree(self.root.removeprefix("file://"), ignore_errors=True)
+            return
+        path = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kinspark.operators import affinity, density, mcl
+from kinspark.operators import affinity, components, density, mcl
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,18 @@ def test_density_peaks_part_two_clouds(spark, scratch):
     for r in got.collect():
         side.setdefault(r.cluster, set()).add(int(r.node[1:]) < 15)
     assert all(len(x) == 1 for x in side.values()) and len(side) >= 2
+
+
+@pytest.mark.parametrize("chunk", [7, 400_000])
+def test_components_of_paths_stars_and_loops(spark, scratch, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rng = np.random.default_rng(1)
+    rows = [(int(k), int(k + 1)) for k in range(1, 200)] + [(1000, int(k)) for k in range(1001, 1100)] + [(5000, 5000), (6000, 1050), (None, 3), (1, 2)]
+    rows = [rows[k] if rng.random() < 0.5 else rows[k][::-1] for k in rng.permutation(len(rows))]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(rows, "src long, dst long").repartition(5), scratch).collect()}
+    assert got == {k: 1 for k in range(1, 201)} | {k: 1000 for k in range(1000, 1100)} | {6000: 1000, 5000: 5000}
+
+
+def test_components_of_structs_follow_their_order(spark, scratch):
+    edges = spark.createDataFrame([((2, "b"), (2, "a")), ((2, "a"), (10, "a"))], "src struct<k: long, h: string>, dst struct<k: long, h: string>")
+    assert {tuple(r.node): tuple(r.component) for r in components.connected_components(edges, scratch).collect()} == {k: (2, "a") for k in [(2, "a"), (2, "b"), (10, "a")]}
