@@ -113,9 +113,9 @@ def plain_removal(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats_match_window_counting(spark, docs, texts, scratch, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)  # 1: every gram takes the way of the crowded ones
+@pytest.mark.parametrize("crowd", [2_000, 1])
+def test_repeats_match_window_counting(spark, docs, texts, scratch, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)  # 1: every mixed bucket is cut, down to single windows
     ids = list(texts) + [3]
     want = sorted(zip(ids, plain_removal([texts[i] for i in ids])))
     got = sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffixes.remove_repeats(docs, scratch).collect())
@@ -141,14 +141,45 @@ def test_bucket_refinement_matches_a_dictionary():
             seen[c[i : i + 200]] = seen.get(c[i : i + 200], 0) + 1
     for c, flags in zip(pool, suffixes.repeated_windows(pool, 200)):
         assert flags.tolist() == [seen[c[i : i + 200]] > 1 for i in range(len(c) - 199)]
+    weights = [2 if k % 7 == 0 else 1 for k in range(len(pool))]
+    for c, w, flags in zip(pool, weights, suffixes.repeated_windows(pool, 200, weights)):
+        assert flags.tolist() == [w > 1 or seen[c[i : i + 200]] > 1 for i in range(len(c) - 199)]
+    assert suffixes.repeated_windows([], 200) == []
+
+
+@pytest.mark.parametrize("crowd", [2_000, 5])
+def test_many_copies_and_one_passage_in_unlike_texts(spark, scratch, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rng = random.Random(4)
+    copy, passage = " ".join(words(rng, 60, 10**6)), " ".join(words(rng, 35, 10**6))
+    rows = [copy] * 3000
+    rows += [" ".join(words(rng, 40, 10**6)) + " " + passage + " " + " ".join(words(rng, 40, 10**6)) for _ in range(40)]
+    rows += ["short " + copy[:250], copy[40:199] + " other", passage[:199]]
+    want = plain_removal(rows)
+    got = suffixes.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), scratch).collect()
+    assert sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == list(enumerate(want))
+
+
+def test_kept_bytes_and_ranges(spark, texts, docs, scratch):
+    got = {r.doc_id: r for r in suffixes.kept_bytes(docs, scratch).collect()}
+    for i, want in zip(texts, plain_removal([texts[i] for i in [*texts, 3]])):
+        r, raw = got[i], (texts[i] or "").encode()
+        assert hashlib.sha256(bytes(r.kept)).hexdigest() == want[3] and len(r.ranges) == want[2]
+        assert suffixes.rest(raw, r.ranges) == bytes(r.kept)
 
 
 def test_runs_cover_every_window_once():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 5000).astype(np.uint8)
-    first, size, _, _ = suffixes.runs(data, 200)
+    first, size, off, gram, _ = suffixes.runs(data, 200)
+    assert (off >= 0).all() and (off - size + 1 >= 0).all() and (off <= 152).all()
     assert first[0] == 0 and (first[1:] == first[:-1] + size[:-1]).all() and first[-1] + size[-1] == 5000 - 199
     assert len(suffixes.runs(data[:199], 200)[0]) == 0
+    joined = suffixes.runs(data, 200, np.array([1000, 1100, 3000, 5000]))
+    parts = [suffixes.runs(data[a:b], 200) for a, b in ((0, 1000), (1100, 3000), (3000, 5000))]
+    for k in (1, 2, 3, 4):
+        assert joined[k].tolist() == np.concatenate([p[k] for p in parts]).tolist()
+    assert joined[0].tolist() == np.concatenate([p[0] + a for p, a in zip(parts, (0, 1100, 3000))]).tolist()
 
 
 def test_fingerprints(spark, docs, texts, no_docs):
