@@ -36,6 +36,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinspark-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +47,19 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def keep_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Write ``df`` in buckets of ``key``, one for each shuffle partition, and read it again.
+
+        Joins on ``key`` alone then leave this table where it is.
+        """
+        self.count += 1
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"kinspark_{uuid.uuid4().hex}"
+        path = f"{self.root}/{self.count:03d}-{name}"
+        df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").format("parquet").option("path", path).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def child(self) -> Scratch:
         """Another folder, for tables that the result of an operator does not read."""
         return Scratch(self.spark)
@@ -60,5 +74,7 @@ class Scratch:
             if self.root.startswith("file://"):
                 shutil.rmtree(self.root.removeprefix("file://"), ignore_errors=True)
             return
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = context._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
