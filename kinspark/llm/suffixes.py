@@ -23,7 +23,8 @@ the same document or another.
    that all its windows share.  At one window a piece that is the window itself.
 
 Step 3 compares bytes.  Only that equal texts and equal strips of a bucket are
-equal stands on hashes: 128 bits for either.  Texts travel compressed.
+equal stands on hashes: 128 bits for either (79 bits where a strip looks its text
+up).  Texts travel once, compressed, and are then kept in buckets of their hash.
 
 Defined cases: a null text is empty; texts under 200 bytes lose nothing, a text
 that occurs twice and has 200 bytes or more loses all; repeated ids are judged
@@ -51,19 +52,24 @@ START = 8
 SEGMENT = 1 << 22
 _PLACE = T.U((1 << 24) - 1)
 #: Different strips of a bucket that one task refines; buckets with more are cut first.
-CROWD = 2_000
+CROWD = 1_000
 #: Windows a piece when crowded buckets are cut, level by level.
 WIDTHS = (32, 8, 2, 1)
 
-# A strip's place in its text is one number: weight - 1, first window, offset of the gram from it, windows - 1.
-_WEIGHT_BIT, _FIRST_BIT, _OFFSET_BIT = 62, 16, 8
-_FIRST_MASK = (1 << 40) - 1
+# A strip's place is one number: weight - 1, tag of the text, first window, offset of the gram from it, windows - 1.
+_WEIGHT_BIT, _TAG_BIT, _FIRST_BIT, _OFFSET_BIT = 62, 47, 16, 8
+_FIRST_MASK, _TAG_MASK = (1 << 31) - 1, (1 << 15) - 1
 
 
 def first_of(place: Column) -> Column:
     return F.shiftright(place, _FIRST_BIT).bitwiseAND(_FIRST_MASK)
 
 
+def tag_of(place: Column) -> Column:
+    """Bits of k1 that tell texts with one k0 apart."""
+    return F.shiftright(place, _TAG_BIT).bitwiseAND(_TAG_MASK)
+
+
 def weight_of(place: Column) -> Column:
     return F.shiftright(place, _WEIGHT_BIT) + 1
 
@@ -196,19 +202,35 @@ def _key() -> list[Column]:
     return [F.xxhash64(whole).alias("k0"), F.xxhash64(F.lit(7), whole).alias("k1")]
 
 
-def distinct_texts(docs: DataFrame, length: int) -> DataFrame:
-    """t (a number), w (1, or 2 for copies), k0, k1 and the compressed text of every text of ``length`` bytes or more."""
+def distinct_texts(docs: DataFrame, work: Scratch, length: int) -> DataFrame:
+    """w (1, or 2 for copies), k0, k1 and the compressed text of every text of ``length`` bytes or more, in buckets of k0."""
     read = docs.where(F.octet_length("text") >= length).select(*_key(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
+        seen: dict[tuple[int, int], bool] = {}
         for batch in batches:
+            if len(seen) > 500_000:
+                seen = {}
             for i, j, views in T.parts(batch.column(2)):
-                packed = pa.array([squeeze.compress(v.tobytes()) for v in views], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), packed], names=["k0", "k1", "packed"])
-
-    packed = read.mapInArrow(run, "k0 bigint, k1 bigint, packed binary").groupBy("k0", "k1").agg(F.first("packed").alias("packed"), F.count("*").alias("c"))
-    return packed.select(F.monotonically_increasing_id().alias("t"), F.least("c", F.lit(2)).alias("w"), "k0", "k1", "packed")
+                rows, packed = [], []
+                for k, key in enumerate(zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist())):
+                    again = seen.get(key)
+                    if again is None:
+                        packed.append(squeeze.compress(views[k].tobytes()))
+                    elif again:
+                        continue  # two of a task stand for all
+                    else:
+                        packed.append(None)
+                    seen[key] = again is not None
+                    rows.append(i + k)
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(packed, pa.binary())], names=["k0", "k1", "packed"])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = read.mapInArrow(run, "k0 bigint, k1 bigint, packed binary").repartition(n, "k0")
+    one = packed.groupBy("k0", "k1").agg(F.first("packed", True).alias("packed"), F.least(F.count("*"), F.lit(2)).cast("int").alias("w"))
+    return work.keep_bucketed(one, "texts", "k0")
 
 
 def find_strips(texts: DataFrame, length: int) -> DataFrame:
@@ -217,35 +239,37 @@ def find_strips(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
 
-        def found(t: list[int], w: list[int], held: list[bytes]) -> pa.RecordBatch:
+        def found(t: list[int], tag: list[int], held: list[bytes]) -> pa.RecordBatch:
             edges = np.cumsum([len(x) for x in held])
             data = np.frombuffer(held[0] if len(held) == 1 else b"".join(held), np.uint8)
             first, size, off, gram, content = runs(data, length, edges)
             owner = np.searchsorted(edges, first, "right")
             first = first - np.concatenate([[0], edges[:-1]])[owner]
-            place = (np.array(w, np.int64) - 1)[owner] << _WEIGHT_BIT | first << _FIRST_BIT | off << _OFFSET_BIT | size - 1
+            place = np.array(tag, np.int64)[owner] | first << _FIRST_BIT | off << _OFFSET_BIT | size - 1
             return pa.RecordBatch.from_arrays([pa.array(np.array(t, np.int64)[owner]), pa.array(place), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64))], names=["t", "place", "bucket", "content"])
 
         for batch in batches:
-            t, w, held, size = [], [], [], 0
-            for a, b, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            t, tag, held, size = [], [], [], 0
+            for a, b, w, packed in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 t.append(a)
-                w.append(b)
+                tag.append(w - 1 << _WEIGHT_BIT | (b & _TAG_MASK) << _TAG_BIT)
                 held.append(expand.decompress(packed))
                 size += len(held[-1])
                 if size >= 1 << 17:
-                    yield found(t, w, held)
-                    t, w, held, size = [], [], [], 0
+                    yield found(t, tag, held)
+                    t, tag, held, size = [], [], [], 0
             if held:
-                yield found(t, w, held)
+                yield found(t, tag, held)
 
-    return texts.select("t", "w", "packed").mapInArrow(_merged(run), "t bigint, place bigint, bucket bigint, content bigint")
+    return texts.select("k0", "k1", "w", "packed").mapInArrow(_merged(run), "t bigint, place bigint, bucket bigint, content bigint")
 
 
 def _with_bytes(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """packed, and lists of place, weight, bucket and content of the classes' first members, by text."""
-    listed = classes.groupBy(F.col("one.t").alias("t")).agg(F.collect_list(F.struct("one.place", "w", "bucket", "content")).alias("m"))
-    return texts.select("t", "packed").join(listed, "t").select("packed", "m.place", "m.w", "m.bucket", "m.content")
+    listed = classes.groupBy(F.col("one.t").alias("k0")).agg(F.collect_list(F.struct("one.place", "w", "bucket", "content")).alias("m"))
+    own = F.filter("m", lambda x: tag_of(x["place"]) == F.col("k1").bitwiseAND(_TAG_MASK))
+    rows = texts.select("k0", "k1", "packed").join(listed, "k0").select("packed", own.alias("m"))
+    return rows.select("packed", "m.place", "m.w", "m.bucket", "m.content")
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
@@ -325,7 +349,7 @@ def _pieces(rows: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, work: Scratch, length: int = 200) -> DataFrame:
-    """t and the list of byte ranges (lo, hi) to remove, of the texts that lose something."""
+    """k0, k1, packed and the list of byte ranges (lo, hi) to remove, of the texts that lose something."""
     if not GRAM < length < GRAM + 256:
         raise ValueError("strings of 49 to 303 bytes")
     found = find_strips(texts, length)
@@ -342,8 +366,8 @@ def repeated_spans(texts: DataFrame, work: Scratch, length: int = 200) -> DataFr
         strips = work.keep(_cut(_with_bytes(cold, texts), length), "bytes")
         flagged = work.keep(_refined(strips, length), "flagged")
         start = first_of(F.col("place"))
-        own = members.join(flagged, ["bucket", "content"]).select("t", start.alias("first"), F.explode("ranges").alias("r"))
-        own = own.select("t", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + length - 1).alias("hi"))
+        own = members.join(flagged, ["bucket", "content"]).select("t", tag_of(F.col("place")).alias("tag"), start.alias("first"), F.explode("ranges").alias("r"))
+        own = own.select("t", "tag", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + length - 1).alias("hi"))
         out = own if out is None else out.unionAll(own)
         if not width or crowded.isEmpty():
             break
@@ -352,7 +376,9 @@ def repeated_spans(texts: DataFrame, work: Scratch, length: int = 200) -> DataFr
         moved = F.col("place") - F.col("place").bitwiseAND(255) + F.col("part").bitwiseAND(255) + F.shiftleft(a, _FIRST_BIT) - F.shiftleft(a, _OFFSET_BIT)
         members = members.join(pieces, ["bucket", "content"]).select("t", moved.alias("place"), F.col("new_bucket").alias("bucket"), F.col("new_content").alias("content"))
         members = work.keep(members, "strips")
-    return out.groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    listed = out.groupBy(F.col("t").alias("k0")).agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
+    own = F.filter("spans", lambda x: x["tag"] == F.col("k1").bitwiseAND(_TAG_MASK))
+    return texts.select("k0", "k1", "packed").join(listed, "k0").select("k0", "k1", "packed", F.transform(own, lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("spans"))
 
 
 def merge(spans_: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -375,8 +401,7 @@ def rest(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (see :func:`kept_bytes` for what is left)."""
     work = scratch.child()
-    texts = work.keep(distinct_texts(docs, length), "texts")
-    judged = texts.select("t", "k0", "k1", "packed").join(repeated_spans(texts, work, length), "t").select("k0", "k1", "packed", "spans")
+    judged = repeated_spans(distinct_texts(docs, work, length), work, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -401,8 +426,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> Data
 def _joined(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     """``docs`` with the list of ranges of each text, unmerged, as ``_spans``."""
     work = scratch.child()
-    texts = work.keep(distinct_texts(docs, length), "texts")
-    by_key = scratch.keep(repeated_spans(texts, work, length).join(texts.select("t", "k0", "k1"), "t").select("k0", "k1", F.col("spans").alias("_spans")), "spans")
+    found = repeated_spans(distinct_texts(docs, work, length), work, length)
+    by_key = scratch.keep(found.select("k0", "k1", F.col("spans").alias("_spans")), "spans")
     work.drop()
     k0, k1 = _key()
     keyed = docs.withColumns({"_k0": k0, "_k1": k1}).join(by_key.withColumnsRenamed({"k0": "_k0", "k1": "_k1"}), ["_k0", "_k1"], "left")
