@@ -10,18 +10,24 @@ Documents with the same set are one class from the start.  Every bucket has a
 head, the member that shares most buckets with others: in a family of near
 copies that is the text they stem from.  All members of a bucket are compared
 with its head; that links most families in a star, without pairs of members.
-Where the members around a head then still lie in several components, those
-outside the largest are compared with all the others, in blocks: a task gets
-two blocks of texts, counts common shingles in memory and returns links only.
-So every pair that shares a bucket is compared, or lies in one component
-already; every link is confirmed on the full sets.  A head that many compare
-with is copied to several tasks, so no group meets in one task.
+Where the members around a head then still lie in several components, up to
+SMALL of them are compared in one task: those that share a band, are of like
+size and not linked yet.  More members are dealt out by their bands again, with
+new heads, and then by pairs of bands; what is still more than SMALL (members
+that agree in three bands, so in 12 values, and are not all linked) is compared
+in blocks.  Candidates with a similarity of 0.8 that share one crowded bucket
+only are missed by the last two: their probability is 1e-6.  Every link is
+confirmed on the full sets, and tasks return links, never pairs.  A head that
+many compare with is copied to several tasks, so no group meets in one task.
+
+Texts travel, not sets: the hashes of a set take more room than its text.
 
 Defined cases: a text without a word (null, empty, blank) has the empty set, is
 linked with nothing and kept; a row with a null id is linked with nothing, has
 a null component and is kept; rows that repeat an id are one document in the
 components, while keep_first tells them apart by their texts; an empty table
-gives an empty result.  Whole texts are read; extra columns are ignored.
+gives an empty result.  Ids may be of any type that has an order.  Whole texts
+are read, of any length that fits in a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ from kinspark.scratch import Scratch
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
 BLOCK = 2048
+#: Members of a bucket that one task compares; more are dealt out further.
+SMALL = 256
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) * T.U(2)
 _TIMES = _rng.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) * T.U(2) + T.U(1)
@@ -122,13 +130,13 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return read.mapInArrow(run, f"doc_id {kind}, h bigint, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_task: int = 256) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, work: Scratch, width: int, percent: int, per_task: int = 256) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of ``percent`` / 100 or more.
 
     ``texts``: (id, text), one row for each id.  A ``b`` with many pairs is
     copied once for every ``per_task`` of them.
     """
-    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / per_task).cast("int").alias("n"))
+    hubs = work.keep(pairs.groupBy("b").agg(F.ceil(F.count("*") / per_task).cast("int").alias("n")), "hubs")
     salt = F.pmod(F.xxhash64("a"), F.col("n").cast("bigint"))
     spokes = pairs.join(hubs, "b").select("b", salt.alias("salt"), "a").join(texts.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", "text")
     heads = hubs.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("salt"))
@@ -158,85 +166,135 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_ta
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Places (i, j) of the sets that are as similar as asked for; sets are sorted and not empty."""
-    flat = np.concatenate(right)
-    known, at = np.unique(flat, return_inverse=True)
-    start = np.concatenate([[0], np.cumsum([len(r) for r in right])[:-1]])
-    size = np.array([len(r) for r in right])
-    table = np.zeros(len(known), bool)
-    for i, own in enumerate(left):
-        place = np.searchsorted(known, own)
-        place = place[place < len(known)]
-        mine = place[np.isin(known[place], own, assume_unique=True)]
-        table[mine] = True
-        both = np.add.reduceat(table[at], start, dtype=np.int64)
-        table[mine] = False
-        for j in np.flatnonzero(100 * both >= percent * (len(own) + size - both)).tolist():
-            yield i, j
-
-
-def confirm_blocks(groups: DataFrame, texts: DataFrame, width: int, percent: int, block: tuple[int, int] = (128, 512)) -> DataFrame:
-    """Links (a, b) between members of one group that lie in different parts.
-
-    ``groups``: (head, id, part).  Members outside a group's largest part meet
-    all its members, in blocks of about ``block`` rows.
+def links_among(sets: list[np.ndarray], keys: np.ndarray, parts_: list, left: list[int], right: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between ``left`` and ``right`` that connect what no link connects yet.
+
+    Only sets that share a band (a row of ``keys``) and are of like size are
+    compared.  ``parts_``: the component of each, from the links known so far.
     """
-    sizes = groups.groupBy("head", "part").agg(F.count("*").alias("n")).groupBy("head").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
-    rows = groups.join(sizes.select("head", "n", F.col("top.part").alias("main"), (F.col("n") - F.col("top.n")).alias("m")), "head")
+    _, start = np.unique(np.array([str(x) for x in parts_]), return_inverse=True)
+    part = start.copy()
+    size = np.array([len(x) for x in sets])
+    right_ = np.array(right, np.int64)
+    out = []
+    for i in left:
+        own = right_[part[right_] != part[i]]
+        own = own[100 * np.minimum(size[own], size[i]) >= percent * np.maximum(size[own], size[i])]
+        own = own[(keys[own] == keys[i]).any(1)]
+        for j in own.tolist():
+            if part[i] == part[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                out.append((i, j))
+                part[part == part[j]] = part[i]
+    return out
+
+
+def _meet(percent: int, width: int):
+    """Links (a, b) between the rows of one group: those of side 0 with those of side 1."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, parts_, side = (table[c].to_pylist() for c in ("id", "part", "side"))
+        sets = [x for _, _, chunk in T.chunks(table["text"]) for x in shingle_sets(chunk, width)]
+        keys = np.array(table["bands"].to_pylist(), np.int64).reshape(len(sets), -1)
+        left = [k for k, x in enumerate(side) if x != 1]
+        right = [k for k, x in enumerate(side) if x != 0]
+        found = links_among(sets, keys, parts_, left, right, percent)
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], kind), "b": pa.array([ids[j] for _, j in found], kind)})
+
+    return meet
+
+
+def confirm_small(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (bucket, id, part) of one bucket; a bucket is in one task."""
+    kind = groups.schema["id"].dataType.simpleString()
+    rows = groups.select("bucket", "id", "part", F.lit(2).alias("side")).join(texts, "id").select("bucket", "id", "part", "side", "bands", "text")
+    return rows.groupBy("bucket").applyInArrow(_meet(percent, width), f"a {kind}, b {kind}")
+
+
+def confirm_blocks(groups: DataFrame, texts: DataFrame, work: Scratch, width: int, percent: int, block: tuple[int, int] = (256, 512)) -> DataFrame:
+    """As :func:`confirm_small`, for buckets of any size.
+
+    Members outside a bucket's largest part meet all its members, in blocks of
+    about ``block`` rows.
+    """
+    sizes = groups.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
+    sizes = work.keep(sizes.select("bucket", "n", F.col("top.part").alias("main"), (F.col("n") - F.col("top.n")).alias("m")), "sizes")
+    rows = groups.select("bucket", "id", "part").join(sizes, "bucket")
     n_left = F.ceil(F.col("m") / block[0]).cast("int")
     n_right = F.ceil(F.col("n") / block[1]).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.where("part <> main").select("head", F.pmod(F.xxhash64("id"), n_left).cast("int").alias("i"), every(n_right).alias("j"), F.lit(0).alias("side"), "id", "part")
-    right = rows.select("head", every(n_left).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), n_right).cast("int").alias("j"), F.lit(1).alias("side"), "id", "part")
-    dealt = left.unionAll(right).join(texts, "id").select("head", "i", "j", "side", "id", "part", "text")
+    left = rows.where("part <> main").select("bucket", F.pmod(F.xxhash64("id"), n_left).cast("int").alias("i"), every(n_right).alias("j"), F.lit(0).alias("side"), "id", "part")
+    right = rows.select("bucket", every(n_left).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), n_right).cast("int").alias("j"), F.lit(1).alias("side"), "id", "part")
     kind = groups.schema["id"].dataType.simpleString()
+    dealt = left.unionAll(right).join(texts, "id").select("bucket", "i", "j", "side", "id", "part", "bands", "text")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(_meet(percent, width), f"a {kind}, b {kind}")
 
-    def meet(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        ids, parts_ = table["id"].to_pylist(), table["part"].to_pylist()
-        sets = [s for _, _, chunk in T.chunks(table["text"]) for s in shingle_sets(chunk, width)]
-        of = [np.flatnonzero(side == k).tolist() for k in (0, 1)]
-        a, b = [], []
-        if of[0] and of[1]:
-            for i, j in links_between([sets[k] for k in of[0]], [sets[k] for k in of[1]], percent):
-                x, y = of[0][i], of[1][j]
-                if parts_[x] != parts_[y]:
-                    a.append(ids[x])
-                    b.append(ids[y])
-        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type)})
-
-    return dealt.groupBy("head", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
+
+def _dealt_on(crowded: DataFrame, nodes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Smaller buckets (bucket, id, last) of the members by one band more, and their pairs (a, b) with new heads.
+
+    ``crowded``: (bucket, id, part, last), ``last`` the number of the last band that the bucket stands for.
+    """
+    own = crowded.join(nodes.select("id", "bands"), "id").select("bucket", "id", "part", "last", F.posexplode("bands").alias("at", "key")).where("at > last")
+    own = work.keep(own.select(F.xxhash64("bucket", "key").alias("bucket"), "id", "part", F.col("at").alias("last")), "dealt")
+    shared = own.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("bucket", "id").alias("turn"), "id", "part")).alias("head")).where("low <> high")
+    shared = work.keep(shared.select("bucket", F.col("head.id").alias("head"), F.col("head.part").alias("head_part")), "heads")
+    around = work.keep(own.join(shared, "bucket"), "around")
+    pairs = around.where("part <> head_part").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    return around.select("bucket", "id", "last"), pairs
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest doc_id of its component)."""
-    rows = scratch.keep(describe(docs, width), "sets")
+    work = scratch.child()
+    rows = work.keep(describe(docs, width), "sets")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = usable.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("bands").alias("bands"))
-    nodes = scratch.keep(nodes.select("d0", "d1", F.col("least.doc_id").alias("id"), F.col("least.h").alias("h"), "bands"), "nodes")
+    nodes = work.keep(nodes.select("d0", "d1", F.col("least.doc_id").alias("id"), F.col("least.h").alias("h"), "bands"), "nodes")
+    # what meets a crowded key is written first: only then can a join on it be split
     keyed = nodes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    shared = scratch.keep(shared.select("key", "n"), "shared")  # written first: only then can a join on a crowded key be split
-    members = scratch.keep(keyed.join(shared, "key").select("key", "id", "n"), "members")
+    shared = work.keep(shared.select("key", "n"), "shared")
+    members = work.keep(keyed.join(shared, "key").select("key", "id", "n"), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    heads = members.join(degree, "id").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("back"), "id")).alias("top")).select("key", F.col("top.id").alias("head"))
-    around = scratch.keep(members.join(heads, "key").select("head", "id").distinct(), "around")
-    wanted = nodes.select("id", "h").join(around.select("id").distinct(), "id", "left_semi")
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"))
-    texts = scratch.keep(texts.select("id", "text"), "texts")
-
+    heads = members.join(degree, "id").groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("back"), "id")).alias("top"))
+    heads = work.keep(heads.select("key", F.col("top.id").alias("head")), "heads")
+    around = work.keep(members.join(heads, "key").select("head", "id").distinct(), "around")
+    wanted = nodes.select("id", "h", "bands").join(around.select("id").distinct(), "id")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["id", "h"]).groupBy("id", "h").agg(F.first("text").alias("text"), F.first("bands").alias("bands"))
+    texts = work.keep(texts.select("id", "text", "bands"), "texts")
+
+    plain = texts.select("id", "text")
     pairs = around.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    links = scratch.keep(confirm(pairs, texts, width, percent), "links")
-    parts = scratch.keep(connected_components(links, scratch, "a", "b"), "parts")
-    now = around.join(parts.withColumnRenamed("node", "id"), "id", "left").select("head", "id", F.coalesce("component", "id").alias("part"))
-    open_ = now.groupBy("head").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    more = scratch.keep(confirm_blocks(scratch.keep(now.join(open_.select("head"), "head"), "open"), texts, width, percent), "more")
-    parts = scratch.keep(connected_components(links.unionAll(more), scratch, "a", "b"), "parts")
+    links = work.keep(confirm(pairs, plain, work, width, percent), "links")
+    groups = around.select(F.xxhash64("head").alias("bucket"), "id", F.lit(-1).alias("last"))
+    for level in range(3):
+        parts = connected_components(links, work, "a", "b")
+        now = work.keep(groups.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"), "last"), "now")
+        open_ = now.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
+        open_ = work.keep(open_.select("bucket", "n"), "open")
+        if open_.isEmpty():
+            break
+        now = work.keep(now.join(open_, "bucket"), "left")
+        links = links.unionAll(work.keep(confirm_small(now.where(F.col("n") <= SMALL), texts, width, percent), "links"))
+        crowded = now.where(F.col("n") > SMALL)
+        if crowded.isEmpty():
+            break
+        if level == 2:
+            links = links.unionAll(work.keep(confirm_blocks(crowded, texts, work, width, percent), "links"))
+            break
+        groups, pairs = _dealt_on(crowded.drop("n"), nodes, work)
+        links = links.unionAll(work.keep(confirm(pairs, plain, work, width, percent), "links"))
+    parts = connected_components(links, work, "a", "b")
     classes = nodes.select("d0", "d1", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("component", "id").alias("_c"))
     found = rows.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_c", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = scratch.keep(found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
+    work.drop()
+    return out
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
