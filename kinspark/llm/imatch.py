@@ -5,27 +5,33 @@ band of inverse document frequency: those in a part between ``rare`` and
 ``common`` of all documents, and in two at least.  The band is relative, so the
 lexicon has at most (mean distinct terms of a document) / ``rare`` terms at any
 corpus size, and each task can hold it.  A text's distinct lexicon terms are
-sorted, and each of SUBSETS random subsets of the lexicon at each of the
-sampling rates gives one 32-bit hash of those it contains: dense subsets
-tell apart, sparse ones survive edits.  A text without lexicon terms is hashed
-over all its terms.
+sorted (by a 64-bit hash that stands for the term), and each of SUBSETS random
+subsets of the lexicon at each of the sampling rates gives one 32-bit hash of the
+sequence of those it contains: dense subsets tell apart, sparse ones survive
+edits.  A text without lexicon terms is hashed over all its terms, with another
+seed, so that it is only ever like such a text.
 
 The likeness of two fingerprints is the best part of equal hashes at any rate,
 among subsets that are filled for one of the two at least; 0 without any.
 
 Each document is also compared with the next one in ascending doc_id.  For that
-texts are dealt out by ranges of ids, sorted, and walked through; the first row
-of a range is sent to the range before it as well.
+texts are dealt out by ranges of (doc_id, hash of the text) of about equal bytes,
+sorted, and walked through; the first row of a range is sent to the range before
+it as well.  Bounds come from a sample of ids, which decides where ranges end and
+nothing else.
 
 Defined cases: a null text is empty; a fingerprint of a text without terms is
 all zeros, and two such are alike (likeness 1) only if both have no terms;
-null ids come first; rows of one id follow each other by a hash of the text; a
-single row is its own next; an empty table gives an empty result.
+null ids come first; rows of one id follow each other by a hash of the text, so
+they may lie in several ranges; a single row is its own next; an empty table
+gives an empty result.  Ids may be of any type that has an order.  Very long
+texts are read whole and have to fit in a row.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +46,9 @@ SUBSETS = 32
 #: Sampling rates as shifts: a half, an eighth, ...
 RATES = (1, 3, 5, 7, 9)
 FLUSH = 1 << 20
+#: Bytes of text in a range, and the most ranges there are.
+RANGE_BYTES = 8 << 20
+MOST_RANGES = 20_000
 
 
 def terms(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +113,19 @@ def fingerprints(chunk: T.Chunk, lexicon: np.ndarray, table: np.ndarray) -> np.n
     doc, h = doc[known], h[known]
     edges = np.searchsorted(doc, np.arange(n + 1))
     out = np.zeros((n, len(RATES), SUBSETS), np.uint32)
-    sums = np.zeros(len(h) + 1, T.U)
-    filled = np.zeros(len(h) + 1, np.int64)
+    value = T.mix(h + T.U(0x2545F4914F6CDD1D))
+    value[none[doc]] ^= T.U(0x5DEECE66D)
+    forward, backward = T._power_tables(len(h) + 1)
     for j in range(SUBSETS):
         draw = T.mix(h + T.mix(np.array([j + 1], T.U)))
-        value = T.mix(draw + T.U(0x2545F4914F6CDD1D))
+        inside = np.arange(len(h))
         for k, shift in enumerate(RATES):
-            inside = draw < T.U(1 << (64 - shift))
-            np.cumsum(np.where(inside, value, T.U(0)), out=sums[1:])
-            np.cumsum(inside, out=filled[1:])
-            total = T.mix(sums[edges[1:]] - sums[edges[:-1]]) >> T.U(32)
-            out[:, k, j] = np.where(filled[edges[1:]] > filled[edges[:-1]], np.maximum(total, T.U(1)), T.U(0))
+            inside = inside[draw[inside] < T.U(1 << (64 - shift))]
+            # a polynomial over the terms in order: it depends on what comes where
+            sums = np.concatenate([np.zeros(1, T.U), np.cumsum(value[inside] * forward[: len(inside)], dtype=T.U)])
+            cut = np.searchsorted(inside, edges)
+            total = T.mix((sums[cut[1:]] - sums[cut[:-1]]) * backward[cut[:-1]]) >> T.U(32)
+            out[:, k, j] = np.where(cut[1:] > cut[:-1], np.maximum(total, T.U(1)), T.U(0))
     return out.reshape(n, -1)
 
 
@@ -130,19 +141,43 @@ def likeness(a: np.ndarray, b: np.ndarray, least: int = 4) -> np.ndarray:
     return np.where(empty, 1.0, np.where((compared >= least).any(1), rate, pooled))
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
-    """Bounds of the id ranges, and the first row (id, hash) of each range that has rows."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"))
-    cuts = ids.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    bounds = sorted(set(cuts or []))
+def _keys(ids: list, hashes: list[int]) -> list[tuple]:
+    """Sortable (doc_id, hash), null ids first."""
+    return [(1, i, h) if i is not None else (0, h) for i, h in zip(ids, hashes)]
+
+
+def _ranges(docs: DataFrame, parts: int | None, per_range: int = 20) -> tuple[list[tuple], dict[int, tuple]]:
+    """Bounds of the ranges, and the first key of each range that has rows.
+
+    The driver sees about ``per_range`` sampled ids for each range.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.col("n") + 100).alias("bytes")).first()
+    if not total["rows"]:
+        return [], {}
+    parts = parts or min(MOST_RANGES, -(-total["bytes"] // RANGE_BYTES))
+    one_in = max(1, total["rows"] // (per_range * parts))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(3)), F.lit(one_in)) == 0).toArrow()
+    found = sorted(zip(_keys(sample["doc_id"].to_pylist(), sample["h"].to_pylist()), sample["n"].to_pylist()))
+    size = np.cumsum([n + 100 for _, n in found])
+    at = np.searchsorted(size, [size[-1] * k / parts for k in range(1, parts)]) if found else []
+    bounds = sorted({found[k][0] for k in at})
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple] = {}
         for batch in batches:
-            at = np.searchsorted(bounds, batch.column(0).to_numpy(), "right") if bounds else np.zeros(batch.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["part", "k", "h"])
+            id_type = batch.schema.field(0).type
+            for key in _keys(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = bisect_right(bounds, key)
+                if part not in least or key < least[part]:
+                    least[part] = key
+        if least:
+            ids = pa.array([k[1] if k[0] else None for k in least.values()], id_type)
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), ids, pa.array([k[-1] for k in least.values()], pa.int64())], names=["part", "doc_id", "h"])
 
-    first = ids.mapInArrow(run, "part bigint, k bigint, h bigint").groupBy("part").agg(F.min(F.struct("k", "h")).alias("f"))
-    return bounds, {r["part"]: (r["f"]["k"], r["f"]["h"]) for r in first.collect()}
+    first = rows.select("doc_id", "h").mapInArrow(run, f"part bigint, doc_id {kind}, h bigint").groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("part", "f.doc_id", "f.h").toArrow()
+    return bounds, dict(zip(first["part"].to_pylist(), _keys(first["doc_id"].to_pylist(), first["h"].to_pylist())))
 
 
 def fingerprint_documents(docs: DataFrame, lexicon: np.ndarray, parts: int | None = None) -> DataFrame:
@@ -151,39 +186,40 @@ def fingerprint_documents(docs: DataFrame, lexicon: np.ndarray, parts: int | Non
     The edited text is the text with its last quarter (n_chars // 4 code points)
     replaced by as many from the beginning of the next document.
     """
-    spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds, first = _ranges(docs, parts)
     filled = sorted(first)
     # where the first row of a range is sent besides: to the range before, of the first to the last
     also = {first[p]: (filled[k - 1], int(k == 0)) for k, p in enumerate(filled)}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    read = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
+        sent = set()
         for batch in batches:
-            for i, j, views in T.parts(batch.column(3)):
+            for i, j, views in T.parts(batch.column(2)):
                 rows = batch.slice(i, j - i)
-                k, h = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-                part = np.searchsorted(bounds, k, "right") if bounds else np.zeros(len(k), np.int64)
+                keys = _keys(rows.column(0).to_pylist(), rows.column(1).to_pylist())
+                more = []
+                for x, key in enumerate(keys):
+                    if key in also and key not in sent:
+                        sent.add(key)  # rows with equal keys hold equal texts: one a task will do
+                        more.append((x, *also[key]))
+                at = pa.array([*range(len(keys)), *(x for x, _, _ in more)], pa.int64())
                 packed = [squeeze.compress(v.tobytes()) for v in views]
-                more = [(x, *also[key]) for x, key in enumerate(zip(k.tolist(), h.tolist())) if key in also]
-                at = np.array([*range(len(k)), *(x for x, _, _ in more)], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([part, np.array([p for _, p, _ in more], np.int64)])),
-                        pa.array([0] * len(k) + [1] * len(more), pa.int32()),
-                        rows.column(0).take(pa.array(at)),
-                        rows.column(1).take(pa.array(at)),
-                        rows.column(2).take(pa.array(at)),
-                        pa.array([packed[x] for x in at], pa.binary()),
+                        pa.array([*(bisect_right(bounds, key) for key in keys), *(p for _, p, _ in more)], pa.int64()),
+                        pa.array([0] * len(keys) + [1] * len(more), pa.int32()),
+                        rows.column(0).take(at),
+                        rows.column(1).take(at),
+                        pa.array([*packed, *(packed[x] for x, _, _ in more)], pa.binary()),
                     ],
-                    names=["part", "guest", "doc_id", "k", "h", "packed"],
+                    names=["part", "guest", "doc_id", "h", "packed"],
                 )
 
-    dealt = read.mapInArrow(deal, f"part bigint, guest int, doc_id {kind}, k bigint, h bigint, packed binary")
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "guest", "k", "h").select("part", "guest", "doc_id", "packed")
+    dealt = read.mapInArrow(deal, f"part bigint, guest int, doc_id {kind}, h bigint, packed binary")
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "guest", "doc_id", "h").select("part", "guest", "doc_id", "packed")
     table = _member_table(lexicon)
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
