@@ -10,7 +10,7 @@ a space between tokens as the library does for a file without a decoder.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty
 text; repeated rows encode alike; an empty table gives an empty result.  Whole
-texts are encoded; extra columns are ignored.
+texts are encoded, very long ones in segments; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +22,12 @@ from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from kinspark.llm import text as T
-from kinspark.llm.pretoken import Cache
+from kinspark.llm.pretoken import Cache, segments
 
 #: White space as Unicode defines it; Python's str.split takes U+001C..U+001F too.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -100,7 +99,8 @@ class WordBpe:
             self.ranks[self.vocab[left] << 20 | self.vocab[right]] = rank
             self.merged.append(self.vocab[left + right])
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        named = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        self.strings: list[str | None] = [named.get(i) for i in range(max(named) + 1)]
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         letters = byte_letters()
@@ -109,40 +109,39 @@ class WordBpe:
         self.words = Cache(self._word)
         self.pieces = Cache(self._piece, 200_000)
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """Ids (little-endian) and decoded text of a normalised word."""
+    def _word(self, word: str) -> bytes:
+        """Ids (little-endian) of a normalised word."""
         *inner, last = word.encode()
-        ids = merge_word([*map(self.inner.__getitem__, inner), self.last[last]], self.ranks, self.merged)
-        return array("I", ids).tobytes(), " ".join([self.strings[i] for i in ids])
+        return array("I", merge_word([*map(self.inner.__getitem__, inner), self.last[last]], self.ranks, self.merged)).tobytes()
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a run without white space."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a run without white space."""
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final sigma
         piece = piece.lower()
         if piece.isalpha():
             return self.words[piece]
-        found = [self.words[w] for w in self.pattern.findall(piece)]
-        return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
+        return b"".join([self.words[w] for w in self.pattern.findall(piece)])
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> bytes:
         pieces = text.split() if not OWN_SPLIT.search(text) else [p for p in WHITE_RUN.split(text) if p]
         found = self.pieces
-        return [found[p] for p in pieces]
+        return b"".join([found[p] for p in pieces])
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoded text."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if self.special_pattern is not None and self.special_pattern.search(text):
-            got = []
-            for k, part in enumerate(self.special_pattern.split(text)):
-                got += [(np.array([self.special[part]], "<u4").tobytes(), part)] if k % 2 else self._plain(part)
-        else:
-            got = self._plain(text)
-        return b"".join([a for a, _ in got]), " ".join([b for _, b in got if b])
+            parts = self.special_pattern.split(text)
+            return b"".join([array("I", [self.special[part]]).tobytes() if k % 2 else self._plain(part) for k, part in enumerate(parts)])
+        return self._plain(text)
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings of the ids, a space between them; unknown ids are left out."""
-        return " ".join([self.strings[i] for i in ids if i in self.strings])
+        known = self.strings
+        try:
+            return " ".join([known[i] for i in ids])
+        except (IndexError, TypeError):
+            return " ".join([known[i] for i in ids if 0 <= i < len(known) and known[i] is not None])
 
 
 @lru_cache(maxsize=2)
@@ -156,14 +155,27 @@ def encode_texts(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
 
     def compute(column: pa.Array) -> dict[str, pa.Array]:
         bpe = load(path)
-        got = [bpe.encode(x) if x else (b"", "") for x in column.to_pylist()]
-        out = {
-            "n_tokens": pa.array([len(a) // 4 for a, _ in got], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(a).hexdigest() for a, _ in got], pa.string()),
-            "decoded_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in got], pa.string()),
-        }
+        count, of_ids, of_text, kept = [], [], [], []
+        for x in column.to_pylist():
+            n, a, b, held = 0, hashlib.sha256(), hashlib.sha256(), ([], [])
+            for part in segments(x or ""):
+                raw = bpe.encode(part)
+                numbers = array("I", raw).tolist()
+                text = bpe.decode(numbers)
+                a.update(raw)
+                if text:
+                    b.update((" " + text if n else text).encode())
+                n += len(numbers)
+                if ids:
+                    held[0].extend(numbers)
+                    held[1].append(text)
+            count.append(n)
+            of_ids.append(a.hexdigest())
+            of_text.append(b.hexdigest())
+            kept.append(held)
+        out = {"n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
         if ids:
-            out |= {"ids": pa.array([np.frombuffer(a, "<u4").astype(np.int64).tolist() for a, _ in got], pa.list_(pa.int64())), "decoded": pa.array([b for _, b in got], pa.string())}
+            out |= {"ids": pa.array([k[0] for k in kept], pa.list_(pa.int64())), "decoded": pa.array([" ".join(filter(None, k[1])) for k in kept], pa.string())}
         return out
 
     return T.map_texts(docs, ["doc_id"], compute, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, decoded string" * ids, small=True)

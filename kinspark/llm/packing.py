@@ -2,19 +2,21 @@
 
 Documents become pieces of at most ``size`` tokens.  How pieces combine depends
 on their lengths only, so the plan is made from the histogram of lengths (at
-most ``size`` counts, whatever the corpus): sums of single, pair and triple
-lengths are indexed in a hash table; a length whose complement is in it is
-combined with that complement as often as the counts allow, which fills
+most ``size`` counts, whatever the corpus): the sums of single, pair and triple
+lengths are indexed by the gap that they fill; a length whose gap is in the index
+is combined with what fills it as often as the counts allow, which fills
 sequences exactly; what is left is packed best-fit, longest first.  The plan is
 a list of patterns (lengths, repetitions), a few for each length.
 
-Pieces then take their places in parallel: pieces of one length are numbered
-through by a count of the pieces in earlier buckets plus a row number within
-their bucket, and the number decides the place.
+Pieces then take their places in parallel.  A task numbers its own pieces of
+each length as it writes them; counts by task and length give the number of the
+first, and the number decides the place.  No piece is sorted or shuffled for
+that but in the join with those counts.
 
 Defined cases: a null or empty text is one piece that holds the end token only;
-repeated rows are packed each; equal rows may swap places; an empty table gives
-an empty result.  Extra columns are ignored.
+repeated rows are packed each; pieces of equal length may swap places; an empty
+table gives an empty result; a very long text is encoded in segments.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinspark.llm.bpe import byte_letters
-from kinspark.llm.pretoken import Cache
+from kinspark.llm.pretoken import Cache, segments
 from kinspark.scratch import Scratch
 
 
@@ -80,12 +82,15 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join([self._segment(part) for part in segments(text)])
+
+    def _segment(self, text: str) -> bytes:
         first, *rest = text.replace("\n", " \n").split(" ")
         found = self.pieces
         try:
-            if first.split() != [first]:
+            if first and first.split() != [first]:
                 raise ValueError
-            return self._ids(first) + b"".join([found[p] for p in rest])
+            return (self._ids(first) if first else b"") + b"".join([found[p] for p in rest])
         except ValueError:
             return self._ids(text)
 
@@ -131,6 +136,55 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFr
     return read.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
+class Sums:
+    """Index of the sums of one, two and three of the lengths left, by the gap that they fill.
+
+    Pairs are listed by their sum.  Triples are listed by their sum too, each by
+    its first length: the other two are among the pairs of what then remains.
+    """
+
+    def __init__(self, left: dict[int, int], size: int) -> None:
+        self.left = left
+        lengths = sorted(left, reverse=True)
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for k, a in enumerate(lengths):
+            for b in lengths[k:]:
+                if a + b < size:
+                    self.pairs.setdefault(a + b, []).append((a, b))
+        self.triples: dict[int, list[int]] = {}
+        for a in reversed(lengths):
+            for total in self.pairs:
+                if a + total < size:
+                    self.triples.setdefault(a + total, []).append(a)
+
+    def fits(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left.get(n, 0) >= c for n, c in Counter(lengths).items())
+
+    def pair(self, gap: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two lengths that fill ``gap`` beside those held."""
+        found = self.pairs.get(gap, [])
+        while found and not (found[-1][0] in self.left and found[-1][1] in self.left):
+            found.pop()  # a length is used up: this pair never comes back
+        return next((p for p in reversed(found) if self.fits((*held, *p))), None)
+
+    def triple(self, gap: int, held: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """Three lengths that fill ``gap`` beside those held, the longest first length that does."""
+        found = self.triples.get(gap, [])
+        while found and not (found[-1] in self.left and self.pairs.get(gap - found[-1])):
+            found.pop()
+        for a in reversed(found):
+            two = self.pair(gap - a, (*held, a)) if self.fits((*held, a)) else None
+            if two:
+                return (a, *two)
+        return None
+
+    def fill(self, n: int, gap: int) -> tuple[int, ...] | None:
+        """The fewest lengths that fill ``gap`` beside ``n``."""
+        if gap in self.left and self.fits((n, gap)):
+            return (gap,)
+        return self.pair(gap, (n,)) or self.triple(gap, (n,))
+
+
 def plan(counts: dict[int, int], size: int = 1024) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with repetitions that use every count up.
 
@@ -152,42 +206,13 @@ def plan(counts: dict[int, int], size: int = 1024) -> list[tuple[tuple[int, ...]
 
     if size in left:
         take((size,))
-    # sums of pairs: gap -> pairs (a, b), a >= b, that fill it
-    lengths = sorted(left, reverse=True)
-    pairs: dict[int, list[tuple[int, int]]] = {}
-    for k, a in enumerate(lengths):
-        for b in lengths[k:]:
-            if a + b < size:
-                pairs.setdefault(a + b, []).append((a, b))
-
-    def fits(lengths: tuple[int, ...]) -> bool:
-        return all(left.get(n, 0) >= c for n, c in Counter(lengths).items())
-
-    def pair_for(gap: int, held: tuple[int, ...]) -> tuple[int, int] | None:
-        found = pairs.get(gap, [])
-        while found and not (found[-1][0] in left and found[-1][1] in left):
-            found.pop()  # a length is used up: this pair never comes back
-        return next((p for p in reversed(found) if fits((*held, *p))), None)
-
-    for n in lengths:
+    sums = Sums(left, size)
+    for n in sorted(left, reverse=True):
         while n in left:
-            gap = size - n
-            if gap in left and fits((n, gap)):
-                take((n, gap))
-                continue
-            two = pair_for(gap, (n,))
-            if two:
-                take((n, *two))
-                continue
-            three = None
-            for a in sorted((x for x in left if x < gap), reverse=True):
-                two = pair_for(gap - a, (n, a)) if fits((n, a)) else None
-                if two:
-                    three = (a, *two)
-                    break
-            if not three:
+            found = sums.fill(n, size - n)
+            if not found:
                 break
-            take((n, *three))
+            take((n, *found))
     # best-fit of the residue: open sequences by gap, longest pieces first
     open_: dict[int, Counter] = {}
     for n in sorted(left, reverse=True):
@@ -230,22 +255,43 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...
     return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
 
 
-def pack(cut: DataFrame, scratch: Scratch, size: int = 1024, per_bucket: int = 2000) -> DataFrame:
+def _numbered(cut: DataFrame) -> DataFrame:
+    """``cut`` with its task, as _part, and the number of each piece among those of its length there, as _rank."""
+    read = cut.withColumn("_part", F.spark_partition_id())
+    at = read.columns.index("length")
+
+    def run(batches):
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            length = batch.column(at).to_numpy()
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            fresh = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+            if len(ordered) and ordered[-1] >= len(seen):
+                seen = np.concatenate([seen, np.zeros(int(ordered[-1]) + 1 - len(seen), np.int64)])
+            times = np.diff(np.append(fresh, len(ordered)))
+            rank = np.empty(len(ordered), np.int64)
+            rank[order] = np.arange(len(ordered)) - np.repeat(fresh, times) + seen[ordered]
+            seen[ordered[fresh]] += times
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], names=[*batch.schema.names, "_rank"])
+
+    return read.mapInArrow(run, read.schema.add("_rank", "long"))
+
+
+def pack(cut: DataFrame, scratch: Scratch, size: int = 1024) -> DataFrame:
     """``cut`` (see :func:`pieces`) with sequence_id and offset.
 
     The driver holds the histogram of lengths and the plan, both bounded by
-    ``size``; counts by (length, bucket) stay distributed.
+    ``size``; counts by length and task stay distributed.
     """
-    cut = scratch.keep(cut, "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    n_buckets = max(1, max(counts.values(), default=0) // per_bucket)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets))
-    cut = cut.withColumn("_bucket", bucket)
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = cut.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("_rank", F.row_number().over(inside) - 1).join(first, ["length", "_bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_first")).alias("_number"))
+    cut = scratch.keep(_numbered(cut.select("doc_id", "piece", "start", "length", "ids_crc32")), "pieces")
+    work = scratch.child()
+    by_task = work.keep(cut.groupBy("length", "_part").agg(F.count("*").alias("_n")), "counts")
+    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    first = scratch.keep(by_task.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")), "first")
+    work.drop()
+    ranked = cut.join(first, ["length", "_part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_first")).alias("_number"))
     by, number, sequence, offset = places(plan(counts, size))
     wide = int(number.max(initial=0)).bit_length() + 40
     top = np.int64(1) << np.int64(min(wide, 50))

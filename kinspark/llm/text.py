@@ -3,7 +3,9 @@
 Documents arrive as Arrow string columns.  They are laid out in one byte
 buffer per chunk (about half a megabyte, so that the working arrays stay in
 the CPU cache whatever the batch size) and words, lines and their 64-bit
-hashes come out of a handful of numpy passes; no loop runs per character.
+hashes come out of a handful of numpy passes; no loop runs per character.  A
+document over GIANT bytes is a chunk of its own; what has 64 bits a byte is then
+made in segments and kept only where words and lines begin and end.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 19
+GIANT = 1 << 22
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -73,7 +76,10 @@ class Chunk:
         return len(self.start)
 
     def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """Hash of each byte range; equal bytes have equal hashes wherever they lie."""
+        """Hash of each byte range; equal bytes have equal hashes wherever they lie.  Ranges ascend."""
+        if len(self.buf) > GIANT:
+            sums, scale = self._sums_at(start, lower, True)
+            return mix((self._sums_at(end, lower, False)[0] - sums) * scale)
         forward, backward = _power_tables(len(self.buf))
         if self._sums is None:
             data = LOWER[self.buf] if lower else self.buf
@@ -83,12 +89,39 @@ class Chunk:
             self._sums = sums
         return mix((self._sums[end] - self._sums[start]) * backward[start])
 
+    def _sums_at(self, places: np.ndarray, lower: bool, scaled: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The hash sums up to ascending places, and (if ``scaled``) the factors that shift them to 0; in segments."""
+        forward, backward = _power_tables(CHUNK_BYTES)
+        sums = np.empty(len(places), U)
+        scale = np.empty(len(places) if scaled else 0, U)
+        total, times, back = 0, 1, 1
+        at = 0
+        for a in range(0, len(self.buf) + 1, CHUNK_BYTES):
+            data = self.buf[a : a + CHUNK_BYTES]
+            data = LOWER[data] if lower else data
+            own = np.zeros(len(data) + 1, U)
+            np.cumsum((data.astype(U) + U(1)) * forward[: len(data)], out=own[1:])
+            stop = int(np.searchsorted(places, a + CHUNK_BYTES, "left"))
+            near = places[at:stop] - a
+            sums[at:stop] = own[near] * U(times) + U(total)
+            if scaled:
+                scale[at:stop] = backward[near] * U(back)
+            at = stop
+            total = (total + int(own[-1]) * times) % (1 << 64)
+            times = times * pow(_BASE, CHUNK_BYTES, 1 << 64) % (1 << 64)
+            back = back * pow(_INVERSE, CHUNK_BYTES, 1 << 64) % (1 << 64)
+        return sums, scale
+
     def runs(self, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of every maximal run of bytes outside ``separator``."""
         flag = separator[self.buf]
         edges = np.flatnonzero(flag[1:] != flag[:-1]) + 1
         start, end = edges[0::2], edges[1::2]
-        return start, end, np.searchsorted(self.start, start, "right") - 1
+        return start, end, self._documents(start)
+
+    def _documents(self, start: np.ndarray) -> np.ndarray:
+        """The document that each place lies in."""
+        return np.searchsorted(self.start, start, "right") - 1 if len(self) > 1 else np.zeros(len(start), np.int32)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         r"""Start, end and document of the \n-split lines, empty ones included."""
@@ -97,17 +130,31 @@ class Chunk:
         if len(end):
             start[0] = 1
             start[1:] = end[:-1] + 1
-        return start, end, np.searchsorted(self.start, start, "right") - 1
+        return start, end, self._documents(start)
 
     def total(self, mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Number of set bytes of ``mask`` in each range; ranges ascend and do not overlap."""
         if not len(start):
             return np.zeros(0, np.int64)
+        if len(mask) > GIANT:
+            return self._counts_at(mask, end) - self._counts_at(mask, start)
         sums = np.empty(len(mask) + 1, np.int64)
         sums[0] = 0
         np.cumsum(mask, out=sums[1:])
         return sums[end] - sums[start]
 
+    @staticmethod
+    def _counts_at(mask: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Number of set bytes before ascending places, in segments."""
+        out = np.empty(len(places), np.int64)
+        total, at = 0, 0
+        for a in range(0, len(mask) + 1, CHUNK_BYTES):
+            own = np.concatenate([[0], np.cumsum(mask[a : a + CHUNK_BYTES], dtype=np.int64)])
+            stop = int(np.searchsorted(places, a + CHUNK_BYTES, "left"))
+            out[at:stop] = own[places[at:stop] - a] + total
+            at, total = stop, total + int(own[-1])
+        return out
+
 
 def parts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Slices of a string column as (first, last, byte views); a null is an empty text."""

@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from kinspark.llm import imatch, neardup, suffixes
+from kinspark.llm import imatch, neardup, suffixes, text as T
 
 from .conftest import words
 
@@ -47,7 +48,9 @@ def test_near_duplicates_match_all_pairs(docs, texts, scratch, width):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
-def test_a_family_whose_members_differ_more_than_from_their_parent(spark, scratch):
+@pytest.mark.parametrize("small", [256, 4])
+def test_a_family_whose_members_differ_more_than_from_their_parent(spark, scratch, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)  # 4: buckets are dealt out further, and compared in blocks
     rng = random.Random(9)
     base = words(rng, 300, 5000)
     rows = [(500, " ".join(base))]
@@ -62,6 +65,22 @@ def test_a_family_whose_members_differ_more_than_from_their_parent(spark, scratc
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("small", [256, 3])
+def test_unlike_texts_around_one_template(spark, scratch, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng = random.Random(12)
+    template = words(rng, 120, 10**6)
+    rows = []
+    for k in range(50):
+        own = words(rng, 60, 10**6)
+        rows += [(f"d{3 * k + j:03d}", " ".join(template + own[: len(own) - 4 * j] + words(rng, 4 * j, 10**6))) for j in range(3)]
+    rows.append(("a", None))
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    want = components(sets)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), scratch, 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 40
+
+
 def test_one_row_of_each_group_stays(docs, texts, scratch):
     kept = neardup.keep_first(docs, scratch)
     assert kept.columns == docs.columns
@@ -201,6 +220,69 @@ def test_fingerprints(spark, docs, texts, no_docs):
     assert len(imatch.build_lexicon(no_docs)) == 0
 
 
+def plain_fingerprint(text, lexicon):
+    """I-Match by its definition, on Python integers."""
+    big = 1 << 64
+
+    def mix(x):
+        x %= big
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % big
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % big
+        return x ^ x >> 31
+
+    found = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (text or ""))
+    by_hash = {}
+    for w in found:
+        chunk = T.Chunk([w.encode()])
+        start, end, _ = chunk.runs(imatch.OUTSIDE)
+        by_hash[int(chunk.hashes(start, end, lower=True)[0])] = w
+    own = sorted(h for h in by_hash if h in lexicon)
+    tag = 0 if own else 0x5DEECE66D
+    own = own or sorted(by_hash)
+    out = []
+    for shift in imatch.RATES:
+        for j in range(imatch.SUBSETS):
+            inside = [h for h in own if mix(h + mix(j + 1)) < 1 << 64 - shift]
+            total = sum((mix(h + 0x2545F4914F6CDD1D) ^ tag) * pow(T._BASE, k, big) for k, h in enumerate(inside)) % big
+            out.append(max(mix(total) >> 32, 1) if inside else 0)
+    return out
+
+
+def test_fingerprints_follow_their_definition(spark, docs, texts):
+    lexicon = imatch.build_lexicon(docs, 0.01, 0.5)
+    got = {r.doc_id: r for r in imatch.fingerprint_documents(docs, lexicon).collect()}
+    known = set(lexicon.tolist())
+    for i in [0, 1, 3, 200, 300, 400, 401, 500, 501, 503, 504, 506, 507, 508]:
+        want = plain_fingerprint(texts[i], known)
+        assert [int(got[i].fingerprint[8 * k : 8 * k + 8], 16) for k in range(len(want))] == want
+
+
+def test_next_documents_across_ranges_of_any_ids(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "é", None, "zz"]), " ".join(words(rng, rng.randrange(3, 30)))) for _ in range(60)] + [("b", "same text here")] * 9
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    for parts in (1, 7, 40):
+        got = imatch.fingerprint_documents(df, imatch.build_lexicon(df, 0.01, 0.9), parts).collect()
+        assert len(got) == len(rows)
+        order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", spark_hash(spark, r[1])))]
+        want = Counter()
+        for k, t in enumerate(order):
+            n, after = len(t) // 4, order[(k + 1) % len(order)]
+            want[hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()] += 1
+        assert Counter(r.edited_sha256 for r in got) == want
+
+
+_hashes = {}
+
+
+def spark_hash(spark, text):
+    if text not in _hashes:
+        _hashes[text] = spark.createDataFrame([(text,)], "t string").selectExpr("xxhash64(t)").first()[0]
+    return _hashes[text]
+
+
 def test_lexicon_counts_documents(spark):
     df = spark.createDataFrame([(1, "Red red blue"), (2, "red green"), (3, None)], "doc_id long, text string")
     assert sorted(r.n for r in imatch.document_frequencies(df).collect()) == [1, 1, 2]

@@ -1,6 +1,7 @@
 """Tokenizing, packing, license and URL filters."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,11 +9,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from kinspark.llm import bpe, licenses, packing, urls
+from kinspark.llm import bpe, licenses, packing, pretoken, urls
 from kinspark.llm.queries import BASE_PHRASES, URL_RULES, tokenizer
 
 tokenizers = pytest.importorskip("tokenizers")
-ODD = ["a  b", "  x", "y ", "\n\nz", "a\n\nb", " ", "a\tb c", "ΑΣ ΟΔΟΣ", "İx", "<|endoftext|> foo", "a <|startoftext|>b", "é é", "x\x1cy z\x1f", "it's they'LL don't 'S", "½ ² 12345 ①", "日本語 テキスト", "🙂🙂 ok", "a\xa0b", "q\x85r", "naïve—dash…", "ﬁ ǅ ẞ", "퟿", "w.\nThe next, line."]
+ODD = ["a  b", "  x", " x", " x y", "y ", "\n\nz", "a\n\nb", " ", "a\tb c", "ΑΣ ΟΔΟΣ", "İx", "<|endoftext|> foo", "a <|startoftext|>b", "é é", "x\x1cy z\x1f", "it's they'LL don't 'S", "½ ² 12345 ①", "日本語 テキスト", "🙂🙂 ok", "a\xa0b", "q\x85r", "naïve—dash…", "ﬁ ǅ ẞ", "퟿", "w.\nThe next, line."]
 
 
 def test_encoding_matches_the_library(spark, docs, texts):
@@ -20,12 +21,31 @@ def test_encoding_matches_the_library(spark, docs, texts):
     own, library = bpe.load(path), tokenizers.Tokenizer.from_file(path)
     for x in [*ODD, *(t for t in texts.values() if t)]:
         want = library.encode(x, add_special_tokens=False).ids
-        ids, decoded = own.encode(x)
-        assert np.frombuffer(ids, "<u4").tolist() == want
-        assert decoded == library.decode(want, skip_special_tokens=False) == own.decode(want)
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == want
+        assert own.decode(want) == library.decode(want, skip_special_tokens=False)
+    assert own.decode([0, 10**6, 1]) == own.decode([0, 1])
     rows = {r.doc_id: r for r in bpe.encode_texts(docs, path, ids=True).collect()}
     assert rows[501].n_tokens == 0 and rows[501].ids_sha256 == hashlib.sha256(b"").hexdigest() and rows[501].decoded == ""
     assert all(len(r.ids) == r.n_tokens for r in rows.values())
+    for i, x in texts.items():
+        want = library.encode(x or "", add_special_tokens=False).ids
+        assert rows[i].ids == want and rows[i].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_segments_encode_as_the_whole(spark, texts, monkeypatch):
+    long = " ".join(t for t in [*texts.values(), *ODD] if t)
+    assert "".join(pretoken.segments(long, 700)) == long and len(list(pretoken.segments(long, 700))) > 20
+    assert list(pretoken.segments("x" * 5000, 700)) == ["x" * 5000] and list(pretoken.segments("", 700)) == [""]
+    monkeypatch.setattr(bpe, "segments", lambda x: pretoken.segments(x, 700))
+    monkeypatch.setattr(packing, "segments", lambda x: pretoken.segments(x, 700))
+    whole = tokenizers.Tokenizer.from_file(tokenizer("byte_bpe_50k.json")).encode(long, add_special_tokens=False).ids
+    assert np.frombuffer(packing.load(tokenizer("byte_bpe_50k.json")).encode(long), "<u4").tolist() == whole
+    library = tokenizers.Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    want = library.encode(long, add_special_tokens=False).ids
+    own = bpe.load(tokenizer("word_bpe_49k.json"))
+    parts = [np.frombuffer(own.encode(x), "<u4").tolist() for x in pretoken.segments(long, 700)]
+    assert sum(parts, []) == want and " ".join(own.decode(x) for x in parts) == library.decode(want, skip_special_tokens=False)
 
 
 def test_merges_follow_rank_and_place():
@@ -70,10 +90,57 @@ def test_exact_quadruples_are_found():
     assert check_plan({500: 1, 300: 1, 200: 1, 24: 1}) == 1
 
 
+def fewest(lengths, size):
+    """The least number of bins, by trying all ways."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        tried = set()
+        for i, b in enumerate(bins):
+            if b + lengths[k] <= size and b not in tried:
+                tried.add(b)
+                place(k + 1, [*bins[:i], b + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_are_near_the_fewest():
+    rng = np.random.default_rng(6)
+    spare = 0
+    for _ in range(60):
+        lengths = sorted(rng.integers(1, 33, rng.integers(1, 11)).tolist(), reverse=True)
+        got, least = check_plan(Counter(lengths), 32), fewest(lengths, 32)
+        assert got <= least + 1
+        spare += got - least
+    assert spare <= 6
+
+
+def test_sums_fill_gaps_exactly():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        left = dict(Counter(rng.integers(1, 40, rng.integers(1, 7)).tolist()))
+        sums = packing.Sums(left, 64)
+        flat = [n for n, c in left.items() for _ in range(c)]
+        n = flat[0]
+        rest = [*flat[1:]]
+        possible = any(n + sum(c) == 64 for k in (1, 2, 3) for c in itertools.combinations(rest, k))
+        found = sums.fill(n, 64 - n)
+        assert (found is not None) == possible
+        assert found is None or (n + sum(found) == 64 and not Counter((n, *found)) - Counter(flat))
+
+
 def test_packing_whole_documents(spark, docs, texts, scratch, no_docs):
     path = tokenizer("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    rows = packing.pack(packing.pieces(docs, path), scratch, per_bucket=5).collect()
+    rows = packing.pack(packing.pieces(docs, path), scratch).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
