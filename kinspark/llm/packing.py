@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kinspark.llm.bpe import byte_letters
 from kinspark.llm.pretoken import Cache, segments
@@ -275,7 +276,7 @@ def _numbered(cut: DataFrame) -> DataFrame:
             seen[ordered[fresh]] += times
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], names=[*batch.schema.names, "_rank"])
 
-    return read.mapInArrow(run, read.schema.add("_rank", "long"))
+    return read.mapInArrow(run, StructType([*read.schema.fields, StructField("_rank", LongType())]))
 
 
 def pack(cut: DataFrame, scratch: Scratch, size: int = 1024) -> DataFrame:
