@@ -8,9 +8,9 @@ labelled documents.  A document's quality is the length-weighted mean of the
 forward-backward marginals, put on a probability scale by a logistic fit.
 
 Defined cases: a text without a word (null, empty, blank) has quality 0 before
-that scale, the lowest score there is; repeated rows score alike; an empty
-table gives an empty result; without usable labels every score is 0.5.
-Whole texts are read, whatever their length; extra columns are ignored.
+that scale, the lowest score there is; repeated rows and ties score alike; an
+empty table gives an empty result; without usable labels every score is 0.5.
+Whole texts are read, very long ones in segments; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,9 +185,9 @@ def train(texts: pa.Array, good: np.ndarray, rounds: int = 160, rate: float = 0.
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2000, max_chars: int = 20_000) -> Model:
-    """Train on at most ``per_class`` usable labelled documents of each class (see samples)."""
-    rows = samples.labelled_sample(docs, labels, "quality", usable, per_class, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2000, max_bytes: int = 16 << 20) -> Model:
+    """Train on at most ``per_class`` usable labelled documents of each class, of ``max_bytes`` in all (see samples)."""
+    rows = samples.labelled_sample(docs, labels, "quality", usable, per_class, max_bytes)
     return train(pa.array(rows["text"], pa.string()), rows["_y"].to_numpy() == 1) if len(rows) else Model()
 
 

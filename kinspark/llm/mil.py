@@ -7,8 +7,9 @@ unless every sentence is harmless: P = 1 - prod(1 - p).  Only document labels
 train it; the sentence scores then locate the offending sentences.
 
 Defined cases: a null or empty text has one harmless sentence without words;
-repeated rows score alike; an empty table gives an empty result; without usable
-labels nothing is toxic.  Whole texts are read; extra columns are ignored.
+repeated rows and ties score alike; an empty table gives an empty result; without
+usable labels nothing is toxic.  Whole texts are read, very long ones in segments;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,9 +127,9 @@ def train(texts: pa.Array, toxic: np.ndarray, rounds: int = 120, rate: float = 0
     return Model(float(b), np.append(w, 0.0).astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2000, max_chars: int = 20_000) -> Model:
-    """Train on at most ``per_class`` usable labelled documents of each class (see samples)."""
-    rows = samples.labelled_sample(docs, labels, "toxic", usable, per_class, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 2000, max_bytes: int = 16 << 20) -> Model:
+    """Train on at most ``per_class`` usable labelled documents of each class, of ``max_bytes`` in all (see samples)."""
+    rows = samples.labelled_sample(docs, labels, "toxic", usable, per_class, max_bytes)
     return train(pa.array(rows["text"], pa.string()), rows["_y"].to_numpy() == 1) if len(rows) else Model()
 
 

@@ -3,13 +3,15 @@ r"""Quality rules: statistics of each text, hard limits, and an isolation forest
 The statistics are exact counts over the whole text.  Documents that break a
 hard limit are rejected.  The rest are judged by isolation forests over ratios
 of the statistics, one for each kind of statistic: a point that random splits
-separate after few steps is an anomaly.  The forests are grown on a bounded,
-hash-ordered sample; their thresholds are calibrated on labelled rows.
+separate after few steps is an anomaly.  The forests are grown without labels, on
+a bounded, hash-ordered sample of all documents; their thresholds are calibrated
+on labelled rows.
 
 Defined cases: a null or empty text has no words, fails the limit of 20 words
-and is not kept; repeated rows and ids are judged each by its own text; an
-empty table gives an empty result; without usable labels the forest rejects
-nothing (only the limits count).  Extra columns are ignored.
+and is not kept; repeated rows and ids are judged each by its own text, ties
+alike; an empty table gives an empty result; without usable labels the forest
+rejects nothing (only the limits count).  Whole texts are read, very long ones in
+segments; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +129,8 @@ class Forest:
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
     @classmethod
-    def grow(cls, points: np.ndarray, trees: int = 64, sample: int = 256, seed: int = 11) -> Forest:
+    def grow(cls, points: np.ndarray, trees: int = 64, sample: int = 32, seed: int = 11) -> Forest:
+        """Trees over small samples of ``points``: in large ones, anomalies of a kind would hide each other."""
         rng = np.random.default_rng(seed)
         sample = min(sample, len(points))
         limit = int(np.ceil(np.log2(max(sample, 2)))) + 4
@@ -217,27 +220,28 @@ def calibrate(score: np.ndarray, good: np.ndarray, spare: float) -> float:
     return best if best_value > 0 else max(2.0, above)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 20_000, spare: float = 0.005) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 16 << 20, spare: float = 0.005, grown: int = 2000) -> Model:
     """Grow the forests and calibrate their thresholds.
 
-    The sample: at most ``per_class`` labelled rows of each quality, of at most
-    ``max_chars`` code points, by a hash of doc_id.  The forests see the rows of
-    good quality and one in ten others, as they would find them in a corpus;
-    ``spare`` is the part of good rows that the thresholds may cost together.
-    Each forest is calibrated on the rows that those before it let pass, so one
-    that finds no more bad rows rejects nothing.
+    The forests grow on ``grown`` documents of all, by a hash of doc_id; no label
+    has a part in that.  The thresholds come from at most ``per_class`` labelled
+    rows of each quality, of ``max_bytes`` in all (see samples).  ``spare`` is the
+    part of good rows that the thresholds may cost together.  Each forest is
+    calibrated on the rows that those before it let pass, so one that finds no
+    more bad rows rejects nothing.
     """
-    rows = samples.labelled_sample(docs, labels, "quality", F.lit(True), per_class, max_chars)
+    rows = samples.labelled_sample(docs, labels, "quality", F.lit(True), per_class, max_bytes, grown)
     if not len(rows):
         return Model(None, 2.0)
     m = T.per_document(pa.array(rows["text"], pa.string()), measure, MEASURED)
-    good = rows["_y"].to_numpy() == 1
     usable = ~base_failed(m)
-    if usable.sum() < 2 or not (good & usable).any():
+    seen = usable & rows["_corpus"].to_numpy(bool)
+    left = usable & rows["_y"].notna().to_numpy()
+    good = rows["_y"].to_numpy() == 1
+    if seen.sum() < 2 or not (good & left).any():
         return Model(None, 2.0)
     points = ratios(m)
-    seen = usable & (good | (np.arange(len(good)) % 10 == 0))
-    forests, left = [], usable
+    forests = []
     for kind in KINDS:
         forest = Forest.grow(points[seen][:, kind])
         score = forest.score(points[:, kind])

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinspark.llm import crf, mil, rules, text as T
+from kinspark.llm import crf, mil, rules, samples, text as T
 
 from .conftest import sentence_text, words
 
@@ -162,3 +162,75 @@ def test_words_are_hashed_by_content_only():
 
 def test_vocabulary_helper_is_random():
     assert len(set(words(random.Random(1), 500))) > 100
+
+
+def test_path_lengths_match_a_walk_down_each_tree():
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(300, 2)), [[9.0, 9], [0, 7]]])
+    forest = rules.Forest.grow(points, trees=16, sample=64)
+    got = forest.score(points)
+    for k in (0, 1, 17, 300, 301):
+        lengths = []
+        for t in range(16):
+            node, deep = 0, 0
+            while forest.column[t][node] >= 0:
+                node = int((forest.left if points[k][forest.column[t][node]] < forest.value[t][node] else forest.right)[t][node])
+                deep += 1
+            # a leaf holds its depth and what a tree of its other points would add
+            assert forest.depth[t][node] >= deep
+            lengths.append(forest.depth[t][node])
+        harmonic = sum(1 / i for i in range(1, 64))
+        assert np.isclose(got[k], 2 ** (-np.mean(lengths) / (2 * harmonic - 2 * 63 / 64)), rtol=2e-3)
+    assert got[300] > np.quantile(got[:300], 0.99)
+
+
+def test_growth_sees_no_labels(spark):
+    docs, labels, truth = labelled(spark)
+    turned = labels.selectExpr("doc_id", "1 - quality as quality")
+    own, other = rules.fit(docs, labels), rules.fit(docs, turned)
+    for (a, _), (b, _) in zip(own.forest, other.forest, strict=True):
+        assert np.array_equal(a.value, b.value) and np.array_equal(a.column, b.column)
+
+
+@pytest.mark.parametrize("good, bad, spare, lost", [([1, 2, 3, 4], [5, 6], 0, 0), (list(range(1000)), [999.5] * 10, 0.005, 0), (list(range(1000)), [10] * 10, 0.005, 0)])
+def test_thresholds_spare_good_rows(good, bad, spare, lost):
+    score = np.array([*good, *bad]) / 2000
+    is_good = np.arange(len(score)) < len(good)
+    least = rules.calibrate(score, is_good, spare)
+    assert (score[is_good] >= least).sum() <= lost
+    assert ((score[~is_good] >= least).all()) == (min(bad) > max(good))
+
+
+def test_scores_are_a_plain_noisy_or(spark, docs, texts):
+    train, labels, _ = labelled(spark)
+    model = mil.fit(train, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in mil.score_toxicity(docs, model).collect()}
+    got |= {r.doc_id + 10_000: r.score for r in mil.score_toxicity(train, model).collect()}
+    every = dict(texts) | {r.doc_id + 10_000: r.text for r in train.collect()}
+
+    def bucket(piece, k):
+        chunk = T.Chunk([piece])
+        at = np.array([1]), np.array([1 + len(piece)])
+        return int(T.mix(chunk.hashes(*at, lower=True) + T.U(k + 1))[0]) & mil.BUCKETS - 1
+
+    for i, x in every.items():
+        harmless = 1.0
+        for sentence in re.split(rb"[.!?\n]", (x or "").encode()):
+            features = set()
+            for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence):
+                features |= {bucket(w, 0)} | {bucket(w[:n], k) for k, n in enumerate(mil.PREFIXES) if n and len(w) > n}
+            if sentence:
+                harmless *= 1 - 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[f]) for f in features))))
+        assert np.isclose(got[i], 1 - harmless, atol=1e-6), i
+
+
+def test_samples_are_bounded_by_rows_and_bytes_and_hold_whole_texts(spark):
+    rows = [(k, "word " * (20_000 if k == 7 else 10), k % 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    every = samples.labelled_sample(df, df, "quality", F.lit(True), 100, 1 << 30)
+    assert len(every) == 40 and every["text"].str.len().max() == 100_000
+    assert samples.labelled_sample(df, df, "quality", F.lit(True), 5, 1 << 30)["_y"].tolist().count(1) == 5
+    few = samples.labelled_sample(df, df, "quality", F.lit(True), 100, 400)
+    assert (few["_y"] == 0).sum() == 4 and 1 <= (few["_y"] == 1).sum() <= 4
+    with_corpus = samples.labelled_sample(df, df.where("quality = 1"), "quality", F.lit(True), 3, 1 << 30, 10)
+    assert with_corpus["_corpus"].sum() == 10 and with_corpus["_y"].notna().sum() == 3
