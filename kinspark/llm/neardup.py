@@ -10,15 +10,18 @@ Documents with the same set are one class from the start.  Every bucket has a
 head, the member that shares most buckets with others: in a family of near
 copies that is the text they stem from.  All members of a bucket are compared
 with its head; that links most families in a star, without pairs of members.
-Where the members around a head then still lie in several components, up to
-SMALL of them are compared in one task: those that share a band, are of like
-size and not linked yet.  More members are dealt out by their bands again, with
-new heads, and then by pairs of bands; what is still more than SMALL (members
-that agree in three bands, so in 12 values, and are not all linked) is compared
-in blocks.  Candidates with a similarity of 0.8 that share one crowded bucket
-only are missed by the last two: their probability is 1e-6.  Every link is
-confirmed on the full sets, and tasks return links, never pairs.  A head that
-many compare with is copied to several tasks, so no group meets in one task.
+Where the members around a head then still lie in several components, those
+outside the largest are compared with all the others, in blocks: a task gets two
+blocks of texts, compares those that share a band, are of like size and not
+linked yet, and returns links only.  With up to FEW members outside, that is so
+many copies of the others at most.  Where there are more, all members are dealt
+out by their bands again, with new heads, and then by pairs of bands; members
+that agree in three bands, so in 12 values, are mostly linked by then, and the
+rest goes to blocks whatever its number.  Candidates with a similarity of 0.8
+that share one such bucket only are missed by these two steps: their probability
+is 1e-6.  Every link is confirmed on the full sets, and tasks return links, never
+pairs.  A head that many compare with is copied to several tasks, so no group
+meets in one task.
 
 Texts travel, not sets: the hashes of a set take more room than its text.
 
@@ -46,8 +49,8 @@ from kinspark.scratch import Scratch
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS // 2
 BLOCK = 2048
-#: Members of a bucket that one task compares; more are dealt out further.
-SMALL = 256
+#: Members outside the largest component of a bucket that all others are compared with; more are dealt out further.
+FEW = 4096
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) * T.U(2)
 _TIMES = _rng.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) * T.U(2) + T.U(1)
@@ -172,16 +175,27 @@ def links_among(sets: list[np.ndarray], keys: np.ndarray, parts_: list, left: li
     Only sets that share a band (a row of ``keys``) and are of like size are
     compared.  ``parts_``: the component of each, from the links known so far.
     """
-    _, start = np.unique(np.array([str(x) for x in parts_]), return_inverse=True)
-    part = start.copy()
+    number: dict = {}
+    part = np.array([number.setdefault(str(x), len(number)) for x in parts_])
     size = np.array([len(x) for x in sets])
     right_ = np.array(right, np.int64)
+    known, at = np.unique(np.concatenate([sets[j] for j in right]), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size[right_])[:-1]])
+    table = np.zeros(len(known), bool)
     out = []
     for i in left:
-        own = right_[part[right_] != part[i]]
-        own = own[100 * np.minimum(size[own], size[i]) >= percent * np.maximum(size[own], size[i])]
-        own = own[(keys[own] == keys[i]).any(1)]
-        for j in own.tolist():
+        maybe = (part[right_] != part[i]) & (100 * np.minimum(size[right_], size[i]) >= percent * np.maximum(size[right_], size[i]))
+        maybe &= (keys[right_] == keys[i]).any(1)
+        if not maybe.any():
+            continue
+        if maybe.sum() > 12:
+            place = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+            place = place[known[place] == sets[i]]
+            table[place] = True
+            both = np.add.reduceat(table[at], start, dtype=np.int64)
+            table[place] = False
+            maybe &= 100 * both >= percent * (size[i] + size[right_] - both)
+        for j in right_[maybe].tolist():
             if part[i] == part[j]:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -191,46 +205,32 @@ def links_among(sets: list[np.ndarray], keys: np.ndarray, parts_: list, left: li
     return out
 
 
-def _meet(percent: int, width: int):
-    """Links (a, b) between the rows of one group: those of side 0 with those of side 1."""
+def confirm_blocks(groups: DataFrame, texts: DataFrame, width: int, percent: int, block: tuple[int, int] = (256, 512)) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different parts.
 
-    def meet(table: pa.Table) -> pa.Table:
-        ids, parts_, side = (table[c].to_pylist() for c in ("id", "part", "side"))
-        sets = [x for _, _, chunk in T.chunks(table["text"]) for x in shingle_sets(chunk, width)]
-        keys = np.array(table["bands"].to_pylist(), np.int64).reshape(len(sets), -1)
-        left = [k for k, x in enumerate(side) if x != 1]
-        right = [k for k, x in enumerate(side) if x != 0]
-        found = links_among(sets, keys, parts_, left, right, percent)
-        kind = table.schema.field("id").type
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], kind), "b": pa.array([ids[j] for _, j in found], kind)})
-
-    return meet
-
-
-def confirm_small(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between members (bucket, id, part) of one bucket; a bucket is in one task."""
-    kind = groups.schema["id"].dataType.simpleString()
-    rows = groups.select("bucket", "id", "part", F.lit(2).alias("side")).join(texts, "id").select("bucket", "id", "part", "side", "bands", "text")
-    return rows.groupBy("bucket").applyInArrow(_meet(percent, width), f"a {kind}, b {kind}")
-
-
-def confirm_blocks(groups: DataFrame, texts: DataFrame, work: Scratch, width: int, percent: int, block: tuple[int, int] = (256, 512)) -> DataFrame:
-    """As :func:`confirm_small`, for buckets of any size.
-
-    Members outside a bucket's largest part meet all its members, in blocks of
-    about ``block`` rows.
+    ``groups``: (bucket, id, part, n, m, main): n members, m of them outside the
+    largest part.  Those meet all members, in blocks of about ``block`` rows.
     """
-    sizes = groups.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
-    sizes = work.keep(sizes.select("bucket", "n", F.col("top.part").alias("main"), (F.col("n") - F.col("top.n")).alias("m")), "sizes")
-    rows = groups.select("bucket", "id", "part").join(sizes, "bucket")
     n_left = F.ceil(F.col("m") / block[0]).cast("int")
     n_right = F.ceil(F.col("n") / block[1]).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.where("part <> main").select("bucket", F.pmod(F.xxhash64("id"), n_left).cast("int").alias("i"), every(n_right).alias("j"), F.lit(0).alias("side"), "id", "part")
-    right = rows.select("bucket", every(n_left).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), n_right).cast("int").alias("j"), F.lit(1).alias("side"), "id", "part")
+    left = groups.where("part <> main").select("bucket", F.pmod(F.xxhash64("id"), n_left).cast("int").alias("i"), every(n_right).alias("j"), F.lit(0).alias("side"), "id", "part")
+    right = groups.select("bucket", every(n_left).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), n_right).cast("int").alias("j"), F.lit(1).alias("side"), "id", "part")
     kind = groups.schema["id"].dataType.simpleString()
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, parts_, side = (table[c].to_pylist() for c in ("id", "part", "side"))
+        of = [[k for k, x in enumerate(side) if x == own] for own in (0, 1)]
+        found = []
+        if of[0] and of[1]:
+            sets = [x for _, _, chunk in T.chunks(table["text"]) for x in shingle_sets(chunk, width)]
+            keys = np.array(table["bands"].to_pylist(), np.int64).reshape(len(sets), -1)
+            found = links_among(sets, keys, parts_, *of, percent)
+        id_type = table.schema.field("id").type
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], id_type), "b": pa.array([ids[j] for _, j in found], id_type)})
+
     dealt = left.unionAll(right).join(texts, "id").select("bucket", "i", "j", "side", "id", "part", "bands", "text")
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(_meet(percent, width), f"a {kind}, b {kind}")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
 def _dealt_on(crowded: DataFrame, nodes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -274,19 +274,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     for level in range(3):
         parts = connected_components(links, work, "a", "b")
         now = work.keep(groups.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"), "last"), "now")
-        open_ = now.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-        open_ = work.keep(open_.select("bucket", "n"), "open")
+        by_part = now.groupBy("bucket", "part").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "part")).alias("top"))
+        open_ = by_part.select("bucket", "n", (F.col("n") - F.col("top.c")).alias("m"), F.col("top.part").alias("main")).where("m > 0 and n > 2")
+        open_ = work.keep(open_, "open")
         if open_.isEmpty():
             break
         now = work.keep(now.join(open_, "bucket"), "left")
-        links = links.unionAll(work.keep(confirm_small(now.where(F.col("n") <= SMALL), texts, width, percent), "links"))
-        crowded = now.where(F.col("n") > SMALL)
-        if crowded.isEmpty():
-            break
-        if level == 2:
-            links = links.unionAll(work.keep(confirm_blocks(crowded, texts, work, width, percent), "links"))
+        few = now if level == 2 else now.where(F.col("m") <= FEW)
+        links = links.unionAll(work.keep(confirm_blocks(few, texts, width, percent), "links"))
+        crowded = now.where(F.col("m") > FEW)
+        if level == 2 or crowded.isEmpty():
             break
-        groups, pairs = _dealt_on(crowded.drop("n"), nodes, work)
+        groups, pairs = _dealt_on(crowded.drop("n", "m", "main"), nodes, work)
         links = links.unionAll(work.keep(confirm(pairs, plain, work, width, percent), "links"))
     parts = connected_components(links, work, "a", "b")
     classes = nodes.select("d0", "d1", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", F.coalesce("component", "id").alias("_c"))

@@ -48,9 +48,9 @@ def test_near_duplicates_match_all_pairs(docs, texts, scratch, width):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
-@pytest.mark.parametrize("small", [256, 4])
-def test_a_family_whose_members_differ_more_than_from_their_parent(spark, scratch, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)  # 4: buckets are dealt out further, and compared in blocks
+@pytest.mark.parametrize("few", [4096, 4])
+def test_a_family_whose_members_differ_more_than_from_their_parent(spark, scratch, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)  # 4: buckets are dealt out further, and compared in blocks
     rng = random.Random(9)
     base = words(rng, 300, 5000)
     rows = [(500, " ".join(base))]
@@ -65,9 +65,9 @@ def test_a_family_whose_members_differ_more_than_from_their_parent(spark, scratc
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-@pytest.mark.parametrize("small", [256, 3])
-def test_unlike_texts_around_one_template(spark, scratch, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
+@pytest.mark.parametrize("few", [4096, 3])
+def test_unlike_texts_around_one_template(spark, scratch, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)
     rng = random.Random(12)
     template = words(rng, 120, 10**6)
     rows = []
