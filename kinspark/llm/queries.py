@@ -46,12 +46,39 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+OP3_SQL = r"""
+WITH b AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, (length(hex(encode(coalesce(text, '')))) // 2)::BIGINT AS n FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 199)) AS i FROM b)),
+d AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CASE WHEN i > p + 200 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM d)),
+s AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY r, g),
+k AS (SELECT r, lo, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before, hi FROM s),
+t AS (SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(max(h), 2 * max(hi) + 1) AS kept FROM k JOIN b USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN t USING (r)
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
     return rules.judge_rules(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of the quality rules: statistics and hard limits."""
+    return rules.judge_rules(table(spark, sf_dir, "documents"), rules.Model(None, 2.0)).drop("kept", "anomaly")
+
+
+RULE_COUNTS_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+c AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, k) > 1) CROSS JOIN (SELECT range AS j FROM range(8)) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (r))
+SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -66,20 +93,44 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), BASE_PHRASES)
 
 
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of the license scan: places and labels of the base phrases."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), BASE_PHRASES)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_LICENSES_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT * FROM (VALUES {", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in BASE_PHRASES.items())}) v(phrase, label, k)),
+f AS (SELECT r, i, label FROM (SELECT r, w, phrase, label, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN p) WHERE array_to_string(w[i:i + k - 1], ' ') = phrase),
+g AS (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM f GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (r)
+"""
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Hosts with a name that has one of these words are taken for listed sites.
-LISTED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads")
+#: Sites of which some pages are block-listed; neither the host nor the path tells which.
+LISTED_SITES = (
+    "tionsh.example.net", "blog.tionsh.example.net", "thther.example.org", "m.thther.example.org", "ththan.example.net", "blog.ththan.example.net", "m.ththth.example.net", "blog.ththth.example.org",
+    "blog.ththly.example.org", "blog.ththre.example.org", "blog.ththon.example.net", "ththed.example.org", "therti.example.org", "ththble.example.net", "spam-farm.example.org",
+)
+LISTED_LANGUAGES = ("en", "de", "fr", "es")
+
+
+def block_list(spark: SparkSession) -> DataFrame:
+    """The block-listed urls: of each site and language every third page up to 3000, then every 52nd up to 260,000."""
+    number = spark.range(260_000).where("id < 3000 and id % 3 = 0 or id >= 3000 and id % 52 = 3")
+    site, language = (F.explode(F.array(*map(F.lit, x))) for x in (LISTED_SITES, LISTED_LANGUAGES))
+    rows = number.select("id", site.alias("site")).select("id", "site", language.alias("language"))
+    return rows.select(F.concat(F.lit("https://"), "site", F.lit("/"), "language", F.lit("/"), F.col("id").cast("string")).alias("url"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule and verdict of every page; the block list holds the pages of the listed sites."""
-    pages = table(spark, sf_dir, "pages")
-    host, _ = urls.host_and_path(F.col("url"))
-    listed = pages.select("url").where(host.rlike(r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"))
-    return urls.judge_urls(pages, listed, URL_RULES).drop("possible")
+    """Rule and verdict of every page; the block list is an input of its own (see :func:`block_list`)."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), block_list(spark), URL_RULES, Scratch(spark)).drop("possible")
 
 
-OP7_SQL = r"""
+OP7_SQL = rf"""
 WITH a AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), b AS (
@@ -93,7 +144,8 @@ WITH a AS (
          WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM b
 ), l AS (
-  SELECT DISTINCT k FROM c WHERE k IS NOT NULL AND regexp_matches(host, '(^|[.-])(casino|bets|pills|adult|spam|ads)([.-]|$)')
+  SELECT s || '/' || g || '/' || n AS k FROM (SELECT unnest({list(LISTED_SITES)!r}) AS s) CROSS JOIN (SELECT unnest({list(LISTED_LANGUAGES)!r}) AS g)
+  CROSS JOIN (SELECT range AS n FROM range(260000) WHERE range < 3000 AND range % 3 = 0 OR range >= 3000 AND range % 52 = 3)
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN l.k IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
@@ -107,6 +159,18 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), width=4)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, coalesce(least(s.doc_id, y), s.doc_id) AS component_id, s.doc_id = coalesce(least(s.doc_id, y), s.doc_id) AS kept FROM s LEFT JOIN c ON c.x = s.doc_id
+"""
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents")
@@ -118,11 +182,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+QUERIES = (op1_quality_crf, op2_toxicity_mil, op3_suffix_dedup, op4_quality_rules, rule_counts, op5_packing, op6_license_scan, base_licenses, op7_url_filter, op8_minhash_neardup, op9_imatch, op10_bpe)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_quality_crf, op2_toxicity_mil, op3_suffix_dedup, op4_quality_rules, op5_packing, op6_license_scan, op7_url_filter, op8_minhash_neardup, op9_imatch, op10_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name, for those that SQL can express."""
-    return {"op7_url_filter": OP7_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "rule_counts": RULE_COUNTS_SQL, "base_licenses": BASE_LICENSES_SQL, "op7_url_filter": OP7_SQL, "op8_minhash_neardup": OP8_SQL}

@@ -7,22 +7,26 @@ Bloom filter: a hash chooses one block of eight 64-bit words and one bit in each
 word.  Urls whose bits are all set are joined with the list, which removes the
 false positives; the others never reach the join.
 
-The filter has at most MAX_BLOCKS blocks (4.7 MB), so it is broadcast at any
-size of the list: a longer list only lets more urls through to the exact join.
+The filter has 16 bits for a listed url, and at most MAX_BLOCKS blocks (32 MB for
+16 million urls), so it is broadcast at any size of the list: a longer list, of
+30 million say, lets some more urls through to the exact join.
 
 Canonical form: the host (A-Z lower-cased, a leading "www." off) and the path
 without trailing slashes.  Defined cases: a null url, or one without "://", has
 an empty host and path, fits no rule and is on no list; repeated rows are judged
-alike; a list may repeat urls and be empty; an empty table gives an empty
-result.  Other columns of the input are ignored.
+alike; of rules of one length the first given wins; a list may repeat urls and be
+empty; an empty table gives an empty result; urls may be of any length.  Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinspark.scratch import Scratch
+
 BIG, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BLOCKS = 1 << 16
+MAX_BLOCKS = 1 << 19
 WORDS = 8
 BITS_PER_URL = 16
 
@@ -73,14 +77,15 @@ def n_blocks_for(n: int) -> int:
     return min(MAX_BLOCKS, 1 << (need - 1).bit_length())
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], scratch: Scratch, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, possible (passed the filter) and listed.
 
-    ``listed``: a column ``url`` of block-listed urls.
+    ``listed``: a column ``url`` of block-listed urls, from wherever; nothing of
+    it is read off the pages.
     """
     host, path = host_and_path(F.col("url"))
     listed = listed.select(*[c.alias(n) for c, n in zip(host_and_path(F.col(url)), ("host", "path"))])
-    listed = listed.select(canonical(F.col("host"), F.col("path")).alias("key")).where("key is not null").distinct()
+    listed = scratch.keep(listed.select(canonical(F.col("host"), F.col("path")).alias("key")).where("key is not null").distinct(), "listed")
     n_blocks = n_blocks_for(listed.count())
     parsed = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("key", canonical(F.col("host"), F.col("path")))
