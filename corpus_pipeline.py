@@ -1,6 +1,15 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage takes the documents that the one before kept, as Parquet.
+Each stage takes the documents that the one before kept, as Parquet, and returns
+those that it keeps with all their columns, whatever their names; the last one
+returns the places of their pieces instead.
+
+Defined cases, beside those of the operators: the quality rules drop null and
+empty texts (no words); rows with a null id stay in every stage; rows that repeat
+an id are judged each by its own text; of equal rows one stays after the removal
+of near-duplicates; texts of any length that fits in a row are read whole; an
+empty table gives an empty table; without labels nothing is predicted toxic and
+only the hard limits reject.
 """
 
 from __future__ import annotations
@@ -10,18 +19,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinspark.llm import mil, neardup, packing, queries, rules, samples, suffixes
 from kinspark.scratch import Scratch
 
-_scratch: list[Scratch] = []
-
-
-def _fresh(spark: SparkSession) -> Scratch:
-    """Scratch tables of a stage; those of the stage before, whose rows are written, go."""
-    while _scratch:
-        old = _scratch.pop()
-        if old.spark.sparkContext._jsc is not None:
-            old.drop()
-    _scratch.append(Scratch(spark))
-    return _scratch[0]
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the hard limits and are no anomalies."""
@@ -36,18 +33,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return neardup.keep_first(docs, _fresh(spark))
+    return neardup.keep_first(docs, Scratch(spark))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that occur twice."""
-    return suffixes.strip_repeats(docs, _fresh(spark))
+    return suffixes.strip_repeats(docs, Scratch(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in sequences of 1024 tokens."""
     cut = packing.pieces(docs, queries.tokenizer("byte_bpe_50k.json"))
-    return packing.pack(cut, _fresh(spark))
+    return packing.pack(cut, Scratch(spark))
 
 
 STAGES = [("quality_rules", quality_rules), ("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
