@@ -68,3 +68,22 @@ def test_stages_take_effect(spark, corpus, tmp_path):
 def test_run_returns_the_last_stage(spark, corpus):
     got = corpus_pipeline.run(spark, corpus[0])
     assert set(got.columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and got.count() > 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_edge_rows_and_empty_tables(spark, corpus, texts, docs, no_docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    extra = docs.unionAll(docs.where("doc_id in (1, 501, 505)").withColumn("doc_id", F.lit(None).cast("long")))
+    got = stage(spark, extra, corpus[0]).collect()
+    assert stage(spark, no_docs, corpus[0]).collect() == []
+    ids = [r.doc_id for r in got]
+    if name == "packing":
+        assert {r.doc_id for r in got} == {*texts, None}
+        return
+    assert stage(spark, extra, corpus[0]).columns == docs.columns
+    if name == "quality_rules":
+        assert not {500, 501, 502, 503} & set(ids) and {1, 505, None} <= set(ids) and ids.count(3) == 2
+    elif name == "near_dedup":
+        assert {500, 501, 502, 505} <= set(ids) and ids.count(3) == 1 and ids.count(None) == 3
+    else:
+        assert {500, 501, 502, 503} <= set(ids) and ids.count(3) == 2 and ids.count(None) >= 2
