@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Offset basis and prime of 32-bit FNV-1a.
+# Offset basis and prime of 32-bit FNV-1a; of 64-bit FNV-1a the basis in two halves, the prime is 2**40 + 435.
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
+FNV64_HIGH, FNV64_LOW, FNV64_PRIME = 0xCBF29CE4, 0x84222325, 435
 
 
 def _places(text: Column) -> Column:
@@ -22,6 +23,27 @@ def fnv1a_32(text: Column) -> Column:
     return F.aggregate(_places(text), F.lit(FNV_BASIS).cast("bigint"), step)
 
 
+def fnv1a_64(text: Column) -> Column:
+    """64-bit FNV-1a hash of an ASCII text, as a signed number.
+
+    The state is kept in halves of 32 bits, so no product overflows.
+    """
+
+    def step(acc: Column, k: Column) -> Column:
+        low = acc["low"].bitwiseXOR(F.ascii(F.substr(text, k, F.lit(1))).cast("bigint"))
+        product = low * FNV64_PRIME
+        high = acc["high"] * FNV64_PRIME + F.shiftright(product, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(0xFFFFFFFF).alias("high"), product.bitwiseAND(0xFFFFFFFF).alias("low"))
+
+    start = F.struct(F.lit(FNV64_HIGH).cast("bigint").alias("high"), F.lit(FNV64_LOW).cast("bigint").alias("low"))
+    return F.aggregate(_places(text), start, step, lambda acc: F.shiftleft(acc["high"], 32).bitwiseOR(acc["low"]))
+
+
+def mixed_32(hashed: Column, number: int) -> Column:
+    """A 32-bit FNV-1a hash after one more byte."""
+    return (hashed.bitwiseXOR(F.lit(number).cast("bigint")) * FNV_PRIME).bitwiseAND(0xFFFFFFFF)
+
+
 def kmer_number(text: Column, letters: str) -> Column:
     """The text as a number in base ``len(letters) + 1``, its first letter the lowest digit; letters count from 1, others 0."""
     base = len(letters) + 1

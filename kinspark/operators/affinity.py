@@ -127,6 +127,13 @@ def affinity(edges: DataFrame, scratch: Scratch, preference: float, damping: flo
     return found
 
 
+def min_max_scaled(edges: DataFrame) -> DataFrame:
+    """Edges with their weights between 0, the smallest, and 1, the largest; all 1 if they are equal."""
+    ends = F.broadcast(edges.agg(F.min("w").alias("low"), F.max("w").alias("high")))  # one row
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("w") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0)
+    return edges.join(ends).select("src", "dst", scaled.alias("w"))
+
+
 def taxa_preference(nodes: DataFrame, separator: str = "|", each: float = -20.0) -> float:
     """The preference that follows the number of taxa among the ids in column ``node``."""
     return each * nodes.agg(F.countDistinct(F.substring_index("node", separator, 1))).first()[0]

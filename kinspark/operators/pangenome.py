@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import combinations, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -109,6 +110,37 @@ def rarefaction(profile: DataFrame, orders: DataFrame, low: float = 0.05, high:
     return out.where("n >= 2")
 
 
+def combinations_of(taxa: Sequence[str], most: int = 101, largest: int | None = None) -> list[tuple[int, int, str]]:
+    """(subset, size, taxon): the first ``most`` subsets of each size up to ``largest``, in the order of their sorted taxa."""
+    names = sorted(taxa)
+    rows, number = [], 0
+    for size in range(1, (largest or len(names)) + 1):
+        for chosen in islice(combinations(names, size), most):
+            rows += [(number, size, t) for t in chosen]
+            number += 1
+    return rows
+
+
+def subset_profile(profile: DataFrame, subsets: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(subset, size, core, specific, pan) of each subset of taxa.
+
+    ``subsets``: (subset, size, taxon).  core: groups in at least ``high`` of the
+    subset; specific: groups in ``low`` of it at most (or in one taxon); pan: all.
+    """
+    seen = profile.where("n > 0").select("group_id", "taxon").distinct().join(subsets, "taxon")
+    counted = seen.groupBy("subset", "size", "group_id").agg(F.count("*").alias("y"))
+    core = F.col("y") >= (F.lit(float(high)) * F.col("size") if high < 1 else F.lit(float(high)))
+    rare = F.col("y") <= (F.greatest(F.lit(float(low)) * F.col("size"), F.lit(1.0)) if low < 1 else F.lit(float(low)))
+    found = counted.groupBy("subset", "size").agg(F.count_if(core).alias("core"), F.count_if(rare).alias("specific"), F.count("*").alias("pan"))
+    every = subsets.select("subset", "size").distinct().join(found, ["subset", "size"], "left")
+    return every.na.fill(0, ["core", "specific", "pan"])
+
+
+def size_medians(samples: DataFrame, size: str = "size") -> DataFrame:
+    """Median core, specific and pan count of each size."""
+    return samples.groupBy(size).agg(*[F.median(c).alias(c) for c in ("core", "specific", "pan")])
+
+
 #: Curves of the profile: parameters, and value at n genomes.
 CURVES = {
     "core": (("k", "tau", "omega"), lambda n, k, tau, omega: k * np.exp(-n / tau) + omega),

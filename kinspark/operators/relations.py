@@ -29,9 +29,12 @@ def coverage() -> Column:
     return (1 + F.abs(F.col("qed") - F.col("qst"))) / F.col("qlen")
 
 
-def quality_filter(hits: DataFrame, min_coverage: float = 0.5, min_identity: float = 0.0) -> DataFrame:
-    """Hits with enough query coverage and identity."""
-    return hits.where((coverage() >= min_coverage) & (F.col("identity") >= min_identity))
+def quality_filter(hits: DataFrame, min_coverage: float = 0.5, min_identity: float = 0.0, both: bool = False) -> DataFrame:
+    """Hits with enough query coverage and identity; with ``both`` with enough subject coverage too."""
+    good = (coverage() >= min_coverage) & (F.col("identity") >= min_identity)
+    if both:
+        good = good & ((1 + F.abs(F.col("sed") - F.col("sst"))) / F.col("slen") >= min_coverage)
+    return hits.where(good)
 
 
 def normalise_scores(hits: DataFrame, how: str = "no") -> DataFrame:
@@ -54,18 +57,19 @@ def best_per_pair(hits: DataFrame) -> DataFrame:
     return hits.groupBy("q", "s").agg(F.max("score").alias("score"))
 
 
-def classify(best: DataFrame, separator: str = "|") -> DataFrame:
+def classify(best: DataFrame, separator: str = "|", with_self: bool = False) -> DataFrame:
     """(rel, q, s, a, b, score): candidates of each relation, the pair in order of its ids.
 
     A cross-taxon hit that reaches the query's best in that taxon is an ortholog
     candidate (OT), any other a co-ortholog candidate (CO); a same-taxon hit
-    that reaches the query's best cross-taxon score is an in-paralog candidate (IP).
+    that reaches the query's best cross-taxon score is an in-paralog candidate (IP);
+    a gene's hit with itself only is one ``with_self``.
     """
     rows = best.select("q", "s", "score", taxon(F.col("q"), separator).alias("qt"), taxon(F.col("s"), separator).alias("st"))
     cross = F.col("qt") != F.col("st")
     top = F.max("score").over(Window.partitionBy("q", "st"))
     outer = F.coalesce(F.max(F.when(cross, F.col("score"))).over(Window.partitionBy("q")), F.lit(0.0))
-    rel = F.when(cross & (F.col("score") >= top), "OT").when(cross, "CO").when((F.col("q") != F.col("s")) & (F.col("score") >= outer), "IP")
+    rel = F.when(cross & (F.col("score") >= top), "OT").when(cross, "CO").when(((F.col("q") != F.col("s")) | F.lit(with_self)) & (F.col("score") >= outer), "IP")
     rows = rows.withColumn("rel", rel).where("rel is not null")
     return rows.select("rel", "q", "s", F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"), "score")
 

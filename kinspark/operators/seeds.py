@@ -6,7 +6,9 @@ a reduced alphabet.  The seed itself is the join key; Spark hashes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from kinspark.functions import kmers
 
 
 def reduce_alphabet(seq: Column, groups: str) -> Column:
@@ -46,6 +48,21 @@ def seeds(records: DataFrame, patterns: str = "111111", step: int = 1, groups: s
     return out
 
 
+def coded_seeds(records: DataFrame, patterns: str = "111111", step: int = 1, groups: str | None = None, buckets: int | None = None, letters: str | None = None, masked: str = "x") -> DataFrame:
+    """(id, key, pos) with numbers for keys, each once: FNV-1a hashes of the seed and its pattern's number, modulo ``buckets``.
+
+    With ``letters`` the key is the seed read as a number over these letters
+    instead (see :func:`kinspark.functions.kmers.kmer_number`).
+    """
+    out = None
+    for number, pattern in enumerate(patterns.split(",")):
+        own = seeds(records, pattern, step, groups, masked)
+        key = kmers.mixed_32(kmers.fnv1a_32(F.col("key")), number) if letters is None else kmers.kmer_number(F.col("key"), letters)
+        own = own.select("id", (key % buckets if buckets else key).alias("key"), "pos")
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
 def histogram(index: DataFrame) -> DataFrame:
     """(key, n): occurrences of each seed."""
     return index.groupBy("key").agg(F.count("*").alias("n"))
@@ -64,6 +81,24 @@ def save_index(index: DataFrame, name: str, n_buckets: int) -> None:
     index.write.bucketBy(n_buckets, "key").sortBy("key").mode("overwrite").saveAsTable(name)
 
 
+def load_index(spark: SparkSession, name: str) -> DataFrame:
+    """A kept seed index (id, key, pos)."""
+    return spark.table(name).select("id", "key", "pos")
+
+
+def rarest_seeds(query: DataFrame, buckets: DataFrame, most: float) -> DataFrame:
+    """Seeds of each query whose bucket is no larger than the last one that is taken.
+
+    Buckets are taken by ascending size while those before add up to ``most`` at
+    most; seeds in no bucket are taken too.  ``query``: (id, key, pos).
+    """
+    joined = query.join(buckets, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = Window.partitionBy("id").orderBy("n", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = joined.withColumn("_used", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    limit = F.max(F.when(F.col("_used") <= most, F.col("n"))).over(Window.partitionBy("id"))
+    return ranked.withColumn("_limit", limit).where("n <= _limit").drop("_used", "_limit")
+
+
 def accept_seeds(query: DataFrame, buckets: DataFrame, limit: DataFrame) -> DataFrame:
     """Seeds of each query, rarest sequence content first, while what they reach stays under the limit.
 

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinspark.functions import align, kmers, scores
-from kinspark.operators import affinity, components, density, graphs, mcl, msa, ontology, operons, pangenome, rbh, relations, search, seeds, sequences
+from kinspark.operators import affinity, components, density, graphs, mcl, merging, msa, ontology, operons, pangenome, rbh, relations, search, seeds, sequences
 from kinspark.scratch import Scratch
+from kinspark.sources import text as files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -119,10 +120,21 @@ def relations_normalised(spark, sf_dir):
     return relations.relations(hits).select("rel", "a", "b", six("weight").alias("weight"))
 
 
-@query(f"WITH {EXPANDED} SELECT 0 AS n_invalid")
+@query(f"""WITH {EXPANDED},
+every AS (SELECT 'IP' AS rel, a, b FROM ip UNION ALL SELECT 'OT', a, b FROM ot UNION ALL SELECT 'CO', a, b FROM co
+UNION ALL SELECT 'IP', a, b FROM ot WHERE weight > 0.3 UNION ALL SELECT 'OT', a, b FROM ip)
+SELECT rel, a, b FROM every WHERE (rel = 'IP') <> (split_part(a, '|', 1) = split_part(b, '|', 1))""")
 def relations_invalid(spark, sf_dir):
-    hits = stored(spark, vector_hits(spark, sf_dir), "hits")
-    return relations.invalid_relations(relations.relations(hits)).agg(F.count("*").cast("int").alias("n_invalid"))
+    """The wrong ones among right relations and some with a wrong name."""
+    found = stored(spark, candidates(spark, sf_dir), "candidates")
+    ot, ip = (stored(spark, relations.reciprocal(found, x), x) for x in ("OT", "IP"))
+    parts = {"IP": [ip, ot.where("weight > 0.3")], "OT": [ot, ip], "CO": [relations.expand_co(ot, ip, relations.co_candidates(found))]}
+    every = None
+    for rel, edges in parts.items():
+        for own in edges:
+            rows = own.select(F.lit(rel).alias("rel"), "a", "b")
+            every = rows if every is None else every.unionByName(rows)
+    return relations.invalid_relations(every)
 
 
 BEST = f"""{HITS},
@@ -234,11 +246,60 @@ def mcl_two_rounds(spark, sf_dir):
     return mcl.iterate(ortholog_edges(spark, sf_dir), 2).select("i", "j", six("w").alias("w"))
 
 
-@query()
+def _mcl_clusters_sql(rounds: int) -> str:
+    """The matrix after enough rounds to rest, and the components of what is left of it."""
+    parts = ["m0 AS MATERIALIZED (SELECT a AS i, b AS j, w FROM e2 UNION ALL SELECT a, a, max(w) FROM e2 GROUP BY a)"]
+    for k in range(rounds):
+        parts.append(f"u{k} AS MATERIALIZED (SELECT i, j, w / (sum(w) OVER (PARTITION BY j) + 1e-8) AS w FROM m{k})")
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT i, j, pow(w, 1.5) AS w FROM (SELECT x.i, y.j, sum(x.w * y.w) AS w FROM u{k} x JOIN u{k} y ON x.j = y.i GROUP BY x.i, y.j) WHERE pow(w, 1.5) >= 1e-5)")
+    parts.append(f"ends AS MATERIALIZED (SELECT i, j FROM m{rounds} WHERE w > 1e-5 UNION SELECT j, i FROM m{rounds} WHERE w > 1e-5)")
+    parts.append("cl(x, y) AS (SELECT i, i FROM ends UNION SELECT cl.x, ends.j FROM cl JOIN ends ON cl.y = ends.i)")
+    return f"WITH RECURSIVE {EDGES}, {', '.join(parts)} SELECT x AS node, min(y) AS cluster FROM cl GROUP BY x"
+
+
+@query(_mcl_clusters_sql(30))
 def mcl_clusters(spark, sf_dir):
     return mcl.mcl(ortholog_edges(spark, sf_dir), Scratch(spark))
 
 
+@query(_mcl_clusters_sql(30))
+def mcl_staged(spark, sf_dir):
+    """Clusters within merged components; merging along every edge, they are those of the whole graph."""
+    return merging.staged_mcl(ortholog_edges(spark, sf_dir), Scratch(spark))
+
+
+NEIGHBOURS = f"""WITH RECURSIVE {EDGES},
+nn AS (SELECT a, b FROM e2 QUALIFY rank() OVER (PARTITION BY a ORDER BY w DESC) = 1),
+n2 AS (SELECT a, b FROM nn UNION SELECT b, a FROM nn),
+q(x, y) AS (SELECT a, a FROM n2 UNION SELECT q.x, n2.b FROM q JOIN n2 ON q.y = n2.a), nc AS (SELECT x AS node, min(y) AS component FROM q GROUP BY x)"""
+SCALED = f"""{NEIGHBOURS}, sz AS (SELECT component, count(*) AS n FROM nc GROUP BY 1),
+sg AS (SELECT least(x.component, y.component) AS src, greatest(x.component, y.component) AS dst, count(*) AS w FROM e JOIN nc x ON x.node = e.a JOIN nc y ON y.node = e.b WHERE x.component <> y.component GROUP BY 1, 2),
+sw AS (SELECT src, dst, w / sqrt(a.n * b.n) AS w FROM sg JOIN sz a ON a.component = src JOIN sz b ON b.component = dst)"""
+
+
+@query(f"{NEIGHBOURS} SELECT node, component FROM nc")
+def neighbour_components(spark, sf_dir):
+    return merging.neighbour_components(ortholog_edges(spark, sf_dir), Scratch(spark))
+
+
+@query(f"{SCALED} SELECT src, dst, round(w, 6) AS w FROM sw")
+def scaled_component_graph(spark, sf_dir):
+    edges, scratch = ortholog_edges(spark, sf_dir), Scratch(spark)
+    return merging.scaled_component_graph(edges, scratch.keep(merging.neighbour_components(edges, scratch), "labels")).select("src", "dst", six("w").alias("w"))
+
+
+@query(f"""{SCALED}, s2 AS (SELECT src, dst FROM sw WHERE w > 0.4 UNION SELECT dst, src FROM sw WHERE w > 0.4),
+z(x, y) AS (SELECT component, component FROM sz UNION SELECT z.x, s2.dst FROM z JOIN s2 ON z.y = s2.src), mg AS (SELECT x, min(y) AS y FROM z GROUP BY x)
+SELECT node, y AS component FROM nc JOIN mg ON mg.x = nc.component""")
+def merged_components(spark, sf_dir):
+    return merging.merged_components(ortholog_edges(spark, sf_dir), Scratch(spark), "scaled", floor=0.4)
+
+
+@query(f"WITH {EDGES} SELECT a AS src, b AS dst, round((w - (SELECT min(w) FROM e)) / ((SELECT max(w) FROM e) - (SELECT min(w) FROM e)), 6) AS w FROM e")
+def edges_scaled(spark, sf_dir):
+    return affinity.min_max_scaled(ortholog_edges(spark, sf_dir)).select("src", "dst", six("w").alias("w"))
+
+
 @query(f"""WITH {EDGES},
 t0 AS (SELECT a AS i, b AS k, w AS s FROM e2 UNION ALL SELECT a, a, -1.0 FROM e2 GROUP BY a),
 t1 AS (SELECT i, k, s, 0.5 * s AS r FROM t0),
@@ -299,6 +360,18 @@ def hits_quality(spark, sf_dir):
     return good_lines(spark, sf_dir).select("q", "s", "identity", "file_pos")
 
 
+@query(f"WITH {LINES} SELECT q, s, identity, file_pos FROM t WHERE (1 + abs(qed - qst)) / qlen >= 0.3 AND (1 + aln_len) / slen >= 0.3 AND identity >= 30")
+def hits_two_sided(spark, sf_dir):
+    hits = line_hits(spark, sf_dir).withColumns({"sst": F.lit(7), "sed": F.col("aln_len") + 7})
+    return relations.quality_filter(hits, 0.3, 30, both=True).select("q", "s", "identity", "file_pos")
+
+
+@query(f"WITH {LINES} SELECT q, s, file_pos, round((bit * ln(2) + ln(0.041)) / 0.267, 4) AS raw, round((bit * ln(2) + ln(0.141)) / 0.309, 4) AS raw_ungapped FROM t")
+def raw_scores(spark, sf_dir):
+    bit = F.col("bit")
+    return line_hits(spark, sf_dir).select("q", "s", "file_pos", F.round(scores.raw_score(bit), 4).alias("raw"), F.round(scores.raw_score(bit, False), 4).alias("raw_ungapped"))
+
+
 @query(f"WITH {LINES} SELECT q, s, file_pos, round(bit / aln_len, 9) AS score FROM g")
 def scores_by_length(spark, sf_dir):
     return relations.normalise_scores(good_lines(spark, sf_dir), "bal").select("q", "s", "file_pos", F.round("score", 9).alias("score"))
@@ -364,15 +437,38 @@ def seed_statistics(spark, sf_dir):
     return limit.select(six("mean").alias("mean"), six("sd").alias("sd"))
 
 
+SELF = ", ".join(f"('{chr(c)}', {int(align.TABLE[c, c])})" for c in sorted(set(range(32, 127)) - {39}))
+
+
 @query(f"""WITH {SEEDS}, n AS (SELECT key, count(*) AS n FROM k GROUP BY key),
-u AS (SELECT k.id, k.key, k.pos, coalesce(sum(n) OVER (PARTITION BY k.id ORDER BY length(k.key) - k.pos % 7 DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k JOIN n USING (key))
-SELECT u.id, key, pos FROM u JOIN i ON i.id = u.id WHERE used <= 0.75 * length(seq)""")
+m AS (SELECT sum(n)::DOUBLE / (count(*) + 1) AS m FROM n), top AS (SELECT m + 2 * sqrt(sum((n - m) * (n - m)) / (count(*) + 1)) AS top FROM n, m GROUP BY m),
+sc AS (SELECT * FROM (VALUES {SELF}) v(c, w)),
+wt AS (SELECT key, sum(coalesce(w, {int(align.TABLE[0, 0])})) AS weight FROM (SELECT key, substr(key, i::INT, 1) AS c FROM n, range(1, {K} + 1) r(i)) LEFT JOIN sc USING (c) GROUP BY key),
+u AS (SELECT k.id, k.key, k.pos, coalesce(sum(n) OVER (PARTITION BY k.id ORDER BY weight DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k JOIN n USING (key) JOIN wt USING (key))
+SELECT u.id, key, pos FROM u JOIN i ON i.id = u.id, top WHERE used <= top * length(seq)""")
 def seed_threshold(spark, sf_dir):
+    """Seeds by descending self score, up to the mean and two deviations of the bucket sizes for each residue."""
     rows = items(spark, sf_dir)
     own = seeds.seeds(rows, "1" * K)
-    weighted = own.join(rows.select("id", F.length("seq").alias("size")), "id").withColumn("weight", F.length("key") - F.col("pos") % 7)
-    limit = spark.createDataFrame([(0.75,)], "top double")
-    return seeds.accept_seeds(weighted, seeds.histogram(own), limit).select("id", "key", "pos")
+    buckets = stored(spark, seeds.histogram(own), "buckets")
+    return seeds.accept_seeds(search.seed_weights(own, rows, K), buckets, seeds.frequency_limit(buckets)).select("id", "key", "pos")
+
+
+@query(f"""WITH {SEEDS}, n AS (SELECT key, count(*) AS n FROM k GROUP BY key),
+u AS (SELECT k.*, n, coalesce(sum(n) OVER (PARTITION BY id ORDER BY n, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM k JOIN n USING (key))
+SELECT id, key, pos FROM u QUALIFY n <= max(CASE WHEN used <= 60 THEN n END) OVER (PARTITION BY id)""")
+def seeds_rarest(spark, sf_dir):
+    own = seeds.seeds(items(spark, sf_dir), "1" * K)
+    return seeds.rarest_seeds(own, seeds.histogram(own), 60).select("id", "key", "pos")
+
+
+@query("""WITH i AS (SELECT printf('b%06d', item_id) AS id, text AS seq FROM benchmark),
+w AS (SELECT id, p::INT AS pos, substr(seq, (p + 1)::INT, 6) AS s, 0 AS num, [1, 2, 4, 6] AS marked FROM (SELECT id, seq, unnest(range(0, length(seq) - 5, 3)) AS p FROM i)
+UNION ALL SELECT id, p::INT, substr(seq, (p + 1)::INT, 5), 1, [1, 2, 3, 4, 5] FROM (SELECT id, seq, unnest(range(0, length(seq) - 4, 3)) AS p FROM i)),
+h AS (SELECT id, pos, num, list_reduce(list_prepend(2166136261::BIGINT, list_transform(marked, lambda k: ascii(substr(s, k::INT, 1))::BIGINT)), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS h FROM w WHERE lower(s) NOT LIKE '%x%')
+SELECT DISTINCT id, ((xor(h, num::BIGINT) * 16777619) & 4294967295) % 100003 AS key, pos FROM h""")
+def seeds_coded(spark, sf_dir):
+    return seeds.coded_seeds(items(spark, sf_dir), "110101,11111", step=3, buckets=100_003)
 
 
 @query(f"WITH {SEEDS} SELECT a.id AS q, b.id AS s, a.pos AS qpos, b.pos AS spos FROM k a JOIN k b USING (key)")
@@ -527,6 +623,27 @@ def pan_growth(spark, sf_dir):
     return rows.agg(F.round(F.regr_slope("y", "x"), 4).alias("gamma"), F.round(F.exp(F.regr_intercept("y", "x")), 2).alias("k"))
 
 
+@query(f"WITH {RAREFACTION} SELECT n, median(core) AS core, median(specific) AS specific, median(pan) AS pan FROM f GROUP BY n")
+def pan_medians(spark, sf_dir):
+    profile = stored(spark, pangenome.presence(words(spark, sf_dir)), "profile")
+    return pangenome.size_medians(pangenome.rarefaction(profile, rotations(spark, profile)), "n")
+
+
+@query(f"""WITH {WORDS}, tx AS (SELECT DISTINCT taxon FROM p), sb AS (SELECT a.taxon AS a, b.taxon AS b FROM tx a JOIN tx b ON a.taxon < b.taxon),
+y AS (SELECT a || ' ' || b AS subset, group_id, count(*) AS y FROM sb JOIN p ON taxon = a OR taxon = b GROUP BY a, b, group_id)
+SELECT subset, 2 AS size, count(*) FILTER (WHERE y >= 0.95 * 2) AS core, count(*) FILTER (WHERE y <= 1) AS specific, count(*) AS pan FROM y GROUP BY 1""")
+def pan_subsets(spark, sf_dir):
+    """Every pair of taxa as a pan-genome of its own."""
+    profile = stored(spark, pangenome.presence(words(spark, sf_dir)), "profile")
+    taxa = [r["taxon"] for r in profile.select("taxon").distinct().collect()]  # taxa are few
+    rows = pangenome.combinations_of(taxa, 10**6, 2)
+    names: dict[int, list[str]] = {}
+    for number, size, taxon in rows:
+        names.setdefault(number, []).append(taxon)
+    subsets = spark.createDataFrame([(" ".join(names[k]), size, t) for k, size, t in rows if size == 2], "subset string, size int, taxon string")
+    return pangenome.subset_profile(profile, subsets)
+
+
 @query()
 def pan_fit(spark, sf_dir):
     profile = stored(spark, pangenome.presence(words(spark, sf_dir)), "profile")
@@ -585,9 +702,66 @@ def kmer_codes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", kmers.fnv1a_32(F.col("p_name")).alias("hash"), kmers.kmer_number(F.substring("p_name", 1, 5), letters).alias("number"))
 
 
+@query("""SELECT p_partkey, (CASE WHEN h > 9223372036854775807 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash FROM (SELECT p_partkey,
+list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i::INT, 1))::HUGEINT)), lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616) AS h FROM part)""")
+def hash_codes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", kmers.fnv1a_64(F.col("p_name")).alias("hash"))
+
+
 @query()
 def aligned_blocks(spark, sf_dir):
     turn = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_name", "p_partkey"))  # the parts of a brand and type, one in each block
     block = F.concat("p_brand", F.lit("/"), F.lpad(turn.cast("string"), 10, "0"))
     rows = table(spark, sf_dir, "part").select(block.alias("block_id"), F.col("p_type").alias("taxon"), F.upper(F.regexp_replace("p_name", " ", "")).alias("seq"))
     return sequences.concat_blocks(msa.align_blocks(rows), rows.select("taxon"))
+
+
+# --- text formats: written and read again -------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{Scratch(spark).root}/{name}"
+
+
+@query("SELECT 'T' || (p_size % 5) || '|' || p_partkey AS id, 'T' || (p_size % 5) AS taxon, upper(replace(p_name, ' ', '')) AS seq, length(replace(p_name, ' ', ''))::INT AS len FROM part")
+def fasta_scan(spark, sf_dir):
+    path = _folder(spark, "fasta")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.col("p_size") % 5, F.lit("|"), "p_partkey").alias("id"), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("seq"))
+    files.write_fasta(rows, path)
+    return files.read_fasta(spark, path).select("id", "taxon", "seq", "len")
+
+
+@query(f"""WITH {LINES} SELECT q, s, identity, aln_len, qst, qed, bit, qlen, slen, CASE WHEN aln_len % 3 = 0 THEN 0 WHEN aln_len % 3 = 1 THEN 2.5e-7 ELSE 0.25 END AS evalue FROM t""")
+def hit_scan(spark, sf_dir):
+    path = _folder(spark, "hits")
+    rest = {c: F.lit(1) for c in ("mismatch", "gap_open", "sst", "sed")}
+    e = F.when(F.col("aln_len") % 3 == 0, 0.0).when(F.col("aln_len") % 3 == 1, 2.5e-7).otherwise(0.25)
+    files.write_hits(line_hits(spark, sf_dir).withColumns(rest | {"evalue": e}), path)
+    return files.read_hits(spark, path).select("q", "s", "identity", "aln_len", "qst", "qed", "bit", "qlen", "slen", "evalue")
+
+
+@query("SELECT min('o' || lpad(o_orderkey::VARCHAR, 9, '0')) OVER (PARTITION BY o_custkey) AS group_id, 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS gene FROM orders")
+def group_scan(spark, sf_dir):
+    path = _folder(spark, "groups")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id"), F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("gene"))
+    files.write_groups(rows, path)
+    return files.read_groups(spark, path)
+
+
+@query("SELECT least(a, b) AS src, greatest(a, b) AS dst, max(w) AS w FROM (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2) GROUP BY 1, 2")
+def edge_scan(spark, sf_dir):
+    """Repeated edges added up, each undirected edge once, from a file of relations."""
+    path = _folder(spark, "edges")
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("OT").alias("rel"), F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.col("l_quantity").alias("weight"))
+    files.write_rows(rows, path)
+    return graphs.canonical_edges(graphs.sum_edges(files.read_edges(spark, path)))
+
+
+@query("SELECT 'GO:' || n_nationkey AS id, lower(n_name) AS name, 'R' || n_regionkey AS namespace, CASE WHEN n_nationkey % 4 = 0 THEN 'root' ELSE 'GO:' || (n_nationkey // 4) END AS parent FROM nation WHERE n_nationkey % 5 <> 3")
+def obo_scan(spark, sf_dir):
+    path = _folder(spark, "obo")
+    key = F.col("n_nationkey")
+    lines = [F.lit("[Term]"), F.concat(F.lit("id: GO:"), key), F.concat(F.lit("name: "), F.lower("n_name")), F.concat(F.lit("namespace: R"), "n_regionkey"), F.when(key % 4 != 0, F.concat(F.lit("is_a: GO:"), F.floor(key / 4), F.lit(" ! parent"))), F.when(key % 5 == 3, F.lit("is_obsolete: true"))]
+    table(spark, sf_dir, "nation").select(F.concat_ws("\n", *lines, F.lit("")).alias("value")).coalesce(1).write.text(path)
+    terms = files.read_obo(spark, path)
+    return terms.select("id", "name", "namespace").join(files.ontology_edges(terms).select("parent", F.col("child").alias("id")), "id")

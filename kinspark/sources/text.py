@@ -51,6 +51,11 @@ def write_hits(hits: DataFrame, path: str) -> None:
     hits.select(*[shown.get(c, F.col(c).cast("string")).alias(c) for c in names]).write.option("sep", "\t").option("quote", "\u0000").csv(path)
 
 
+def write_rows(rows: DataFrame, path: str) -> None:
+    """All columns as tab-separated text."""
+    rows.write.option("sep", "\t").option("quote", "\u0000").csv(path)
+
+
 def read_relations(spark: SparkSession, path: str) -> DataFrame:
     """(rel, a, b, weight)."""
     rows = spark.read.text(path).select(F.split("value", "\t").alias("f"))
