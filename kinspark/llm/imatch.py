@@ -209,7 +209,7 @@ def fingerprint_documents(docs: DataFrame, lexicon: np.ndarray, parts: int | Non
                 packed = [squeeze.compress(v.tobytes()) for v in views]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*(bisect_right(bounds, key) for key in keys), *(p for _, p, _ in more)], pa.int64()),
+                        pa.array([*(bisect_right(bounds, key) for key in keys), *(p for _, p, _ in more)], pa.int32()),
                         pa.array([0] * len(keys) + [1] * len(more), pa.int32()),
                         rows.column(0).take(at),
                         rows.column(1).take(at),
@@ -218,8 +218,8 @@ def fingerprint_documents(docs: DataFrame, lexicon: np.ndarray, parts: int | Non
                     names=["part", "guest", "doc_id", "h", "packed"],
                 )
 
-    dealt = read.mapInArrow(deal, f"part bigint, guest int, doc_id {kind}, h bigint, packed binary")
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "guest", "doc_id", "h").select("part", "guest", "doc_id", "packed")
+    dealt = read.mapInArrow(deal, f"part int, guest int, doc_id {kind}, h bigint, packed binary")
+    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "guest", "doc_id", "h").select("part", "guest", "doc_id", "packed")
     table = _member_table(lexicon)
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
