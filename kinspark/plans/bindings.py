@@ -310,7 +310,21 @@ def affinity_one_round(spark, sf_dir):
     return now.select("i", "k", F.round("r", 9).alias("r"), F.round("a", 9).alias("a"))
 
 
-@query()
+def _affinity_sql(rounds: int) -> str:
+    """The messages after enough rounds to rest, and the components of the links to exemplars."""
+    parts = ["t0 AS MATERIALIZED (SELECT a AS i, b AS k, w AS s, 0.0::DOUBLE AS r, 0.0::DOUBLE AS a FROM e2 UNION ALL SELECT a, a, 0.1, 0.0, 0.0 FROM e2 GROUP BY a)"]
+    for n in range(rounds):
+        parts.append(f"x{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r + a DESC, k) AS c FROM t{n})")
+        parts.append(f"y{n} AS MATERIALIZED (SELECT i, k, s, a, 0.5 * r + 0.5 * (s - CASE WHEN c = 1 THEN coalesce(max(CASE WHEN c = 2 THEN r + a END) OVER (PARTITION BY i), 0) ELSE max(CASE WHEN c = 1 THEN r + a END) OVER (PARTITION BY i) END) AS r FROM x{n})")
+        parts.append(f"z{n} AS MATERIALIZED (SELECT *, sum(CASE WHEN i <> k THEN greatest(r, 0) ELSE 0 END) OVER (PARTITION BY k) AS pos, max(CASE WHEN i = k THEN r END) OVER (PARTITION BY k) AS own FROM y{n})")
+        parts.append(f"t{n + 1} AS MATERIALIZED (SELECT i, k, s, r, 0.5 * a + 0.5 * CASE WHEN i = k THEN pos ELSE least(0, own + pos - greatest(r, 0)) END AS a FROM z{n})")
+    parts.append(f"ex AS (SELECT i, k FROM t{rounds} QUALIFY row_number() OVER (PARTITION BY i ORDER BY r + a DESC, k) = 1)")
+    parts.append("ends AS MATERIALIZED (SELECT i, k FROM ex UNION SELECT k, i FROM ex)")
+    parts.append("cl(x, y) AS (SELECT i, i FROM ends UNION SELECT cl.x, ends.k FROM cl JOIN ends ON cl.y = ends.i)")
+    return f"WITH RECURSIVE {EDGES}, {', '.join(parts)} SELECT x AS node, min(y) AS cluster FROM cl GROUP BY x"
+
+
+@query(_affinity_sql(60))
 def affinity_clusters(spark, sf_dir):
     return affinity.affinity(ortholog_edges(spark, sf_dir), Scratch(spark), 0.1)
 
@@ -326,10 +340,20 @@ def density_peaks_delta(spark, sf_dir):
     return density.peaks(d, 0.7).select("node", six("rho").alias("rho"), six("delta").alias("delta"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS},
+d AS MATERIALIZED (SELECT q AS x, s AS y, round(1 - score, 6) AS d FROM h),
+rho AS MATERIALIZED (SELECT x AS node, sum(exp(-pow(d / 0.7, 2))) AS rho FROM d GROUP BY x),
+p AS (SELECT d.x, d.y, d.d, a.rho AS rx, b.rho AS ry FROM d JOIN rho a ON a.node = x JOIN rho b ON b.node = y),
+n AS MATERIALIZED (SELECT x AS node, max(rx) AS rho, min(CASE WHEN ry > rx OR (ry = rx AND y < x) THEN struct_pack(d := d, y := y) END) AS up FROM p GROUP BY x),
+f AS MATERIALIZED (SELECT node, rho, coalesce(up.d, (SELECT max(up.d) FROM n)) AS delta, up.y AS higher FROM n),
+t AS MATERIALIZED (SELECT node, CASE WHEN higher IS NULL OR (rho > (SELECT avg(rho) FROM f) AND delta > (SELECT stddev_pop(delta) FROM f)) THEN node ELSE higher END AS up FROM f),
+w(node, root) AS (SELECT node, up FROM t UNION SELECT w.node, t.up FROM w JOIN t ON t.node = w.root),
+m AS MATERIALIZED (SELECT w.node, w.root AS cluster, rho, delta FROM w JOIN t ON t.node = w.root AND t.up = w.root JOIN f ON f.node = w.node),
+b AS (SELECT a.cluster, max((a.rho + c.rho) / 2) AS border FROM d JOIN m a ON a.node = d.x JOIN m c ON c.node = d.y WHERE d.d <= 0.7 AND a.cluster <> c.cluster GROUP BY 1)
+SELECT node, cluster, round(rho, 6) AS rho, round(delta, 6) AS delta, coalesce(rho < border, FALSE) AS halo FROM m LEFT JOIN b USING (cluster)""")
 def density_clusters(spark, sf_dir):
     d = vector_hits(spark, sf_dir).select(F.col("q").alias("x"), F.col("s").alias("y"), six(1 - F.col("score")).alias("d"))
-    return density.density_peaks(d, Scratch(spark), 0.7)
+    return density.density_peaks(d, Scratch(spark), 0.7).select("node", "cluster", six("rho").alias("rho"), six("delta").alias("delta"), "halo")
 
 
 # --- hit tables with alignment columns: line items as alignments --------------------------------
@@ -508,6 +532,37 @@ def banded_alignment(spark, sf_dir):
     return rows.mapInPandas(run, "a string, b string, raw int, aln_len int")
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ "
+PAIRED = ", ".join(str(int(align.TABLE[ord(x), ord(y)])) for x in LETTERS for y in LETTERS)
+
+
+def _codes_sql(column: str) -> str:
+    return f"list_transform(range(1, length({column}) + 1), lambda i: CASE WHEN ascii(substr({column}, i::INT, 1)) BETWEEN 65 AND 90 THEN ascii(substr({column}, i::INT, 1)) - 65 ELSE 26 END)"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT DISTINCT upper(replace(p_name, ' ', '')) AS a, upper(p_type) AS b FROM part),
+o AS (SELECT a, b, CASE WHEN length(a) < length(b) THEN a ELSE b END AS x, CASE WHEN length(a) < length(b) THEN b ELSE a END AS y FROM g),
+c AS MATERIALIZED (SELECT a, b, {_codes_sql('x')} AS x, {_codes_sql('y')} AS y FROM o),
+dp(a, b, x, y, i, top, s, v) AS (
+  SELECT a, b, x, y, 0, 0, list_transform(list_prepend(0, x), lambda z: 0), list_transform(list_prepend(0, x), lambda z: 0) FROM c
+  UNION ALL SELECT a, b, x, y, i + 1, greatest(top, list_max(r.s)), r.s, r.v FROM (SELECT *, list_reduce(
+    list_transform(range(1, len(x) + 1), lambda j: {{'s': CAST([] AS INT[]), 'v': CAST([] AS INT[]), 'd': s[j] + ([{PAIRED}])[y[i + 1] * 27 + x[j] + 1], 'u': s[j + 1] + CASE WHEN v[j + 1] = 3 THEN -1 ELSE -11 END}}),
+    lambda q, e: {{'s': list_append(q.s, greatest(0, e.d, q.s[-1] + CASE WHEN q.v[-1] = 2 THEN -1 ELSE -11 END, e.u)),
+      'v': list_append(q.v, CASE greatest(0, e.d, q.s[-1] + CASE WHEN q.v[-1] = 2 THEN -1 ELSE -11 END, e.u) WHEN e.d THEN 1 WHEN q.s[-1] + CASE WHEN q.v[-1] = 2 THEN -1 ELSE -11 END THEN 2 WHEN e.u THEN 3 ELSE 0 END), 'd': 0, 'u': 0}},
+    {{'s': CAST([0] AS INT[]), 'v': CAST([0] AS INT[]), 'd': 0, 'u': 0}}) AS r FROM dp WHERE i < len(y)))
+SELECT a, b, top AS raw FROM dp WHERE i = len(y)""")
+def alignment_scores(spark, sf_dir):
+    """Best local scores of whole pairs, without a band."""
+    rows = table(spark, sf_dir, "part").select(F.upper(F.regexp_replace("p_name", " ", "")).alias("a"), F.upper("p_type").alias("b")).distinct()
+
+    def run(parts):
+        for part in parts:
+            got = align.align_batch([(align.codes(x), align.codes(y)) for x, y in zip(part["a"], part["b"])], None)
+            yield pd.DataFrame({"a": part["a"], "b": part["b"], "raw": [g.raw for g in got]})
+
+    return rows.mapInPandas(run, "a string, b string, raw int")
+
+
 @query("SELECT string_agg(printf('d%07d', doc_id), ';;;' ORDER BY printf('d%07d', doc_id)) AS id, md5(text) AS digest FROM documents GROUP BY text")
 def dedupe_sequences(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.format_string("d%07d", "doc_id").alias("id"), F.col("text").alias("seq"))
