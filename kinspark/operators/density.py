@@ -14,8 +14,8 @@ def _both(distances: DataFrame) -> DataFrame:
 
 
 def cutoff(distances: DataFrame, quantile: float = 0.02) -> float:
-    """The distance below which ``quantile`` of the distances lie."""
-    return distances.agg(F.percentile("d", F.lit(quantile))).first()[0]
+    """The distance below which ``quantile`` of the distances lie, to one in a million of their number."""
+    return distances.agg(F.percentile_approx("d", F.lit(quantile), F.lit(1_000_000))).first()[0]
 
 
 def densities(distances: DataFrame, dc: float) -> DataFrame:

@@ -89,7 +89,7 @@ def rarefaction(profile: DataFrame, orders: DataFrame, low: float = 0.05, high:
     product of groups and prefixes.
     """
     n_taxa = orders.groupBy("perm").agg(F.max("place").alias("size"))
-    seen = profile.where("n > 0").select("group_id", "taxon").distinct().join(F.broadcast(orders), "taxon")
+    seen = profile.where("n > 0").select("group_id", "taxon").distinct().join(orders, "taxon")
     run = Window.partitionBy("perm", "group_id").orderBy("place")
     seen = seen.withColumn("y", F.row_number().over(run)).withColumn("next", F.lead("place").over(run))
     # core while y >= high * j, that is up to j = floor(y / high), from this place to the next

@@ -192,14 +192,13 @@ def cosine_hits(vectors: DataFrame, least: float, block: int = 1000, digits: int
     """(q, s, score): ordered pairs of vectors (id, vec) with a cosine over ``least``.
 
     All-against-all in blocks: rows are dealt to blocks by a hash, each pair of
-    blocks meets in one task as two matrices, and only pairs over ``least``
-    leave it.
+    blocks meets once, in one task as two matrices, and only pairs over ``least``
+    leave it.  Exact, so its work grows with the square of the vectors.
     """
     n_blocks = max(1, -(-vectors.count() // block))
     own = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = own.select("id", "vec", F.col("own").alias("i"), every.alias("j"))
-    right = own.select(F.col("id").alias("sid"), F.col("vec").alias("svec"), F.col("own").alias("j"), every.alias("i"))
+    left = own.select("id", "vec", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(n_blocks - 1))).alias("j"))
+    right = own.select(F.col("id").alias("sid"), F.col("vec").alias("svec"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -210,7 +209,10 @@ def cosine_hits(vectors: DataFrame, least: float, block: int = 1000, digits: int
         i, j = np.nonzero(score > least)
         q, s = a["id"].to_numpy()[i], b["sid"].to_numpy()[j]
         out = pd.DataFrame({"q": q, "s": s, "score": score[i, j]})
-        return out[out["q"] != out["s"]]
+        out = out[out["q"] != out["s"]]
+        if a["i"].iloc[0] == a["j"].iloc[0]:
+            return out
+        return pd.concat([out, out.rename(columns={"q": "s", "s": "q"})], ignore_index=True)[["q", "s", "score"]]
 
     kind = vectors.schema["id"].dataType.simpleString()
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, f"q {kind}, s {kind}, score double")

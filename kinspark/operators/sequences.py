@@ -40,6 +40,27 @@ def dedupe(records: DataFrame) -> DataFrame:
     return records.groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list("id")), JOINER).alias("id")).select("id", "seq")
 
 
+def memberships(records: DataFrame) -> DataFrame:
+    """(id, first): for every record the smallest id with its sequence.
+
+    The form to use where very many records share a sequence: no row grows.
+    """
+    first = records.groupBy("seq").agg(F.min("id").alias("first"))
+    return records.select("id", "seq").join(first, "seq").select("id", "first")
+
+
+def representatives(records: DataFrame) -> DataFrame:
+    """(id, seq): one record for each sequence, the one with the smallest id."""
+    return records.groupBy("seq").agg(F.min("id").alias("id")).select("id", "seq")
+
+
+def expand_members(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """Hits between representatives as hits between all records; other columns as they are."""
+    rest = [c for c in hits.columns if c not in ("q", "s")]
+    left, right = members.select(F.col("first").alias("q"), F.col("id").alias("_q")), members.select(F.col("first").alias("s"), F.col("id").alias("_s"))
+    return hits.join(left, "q").join(right, "s").select(F.col("_q").alias("q"), F.col("_s").alias("s"), *rest)
+
+
 def expand_hits(hits: DataFrame) -> DataFrame:
     """Hits between joined ids as hits between all their single ids; other columns as they are."""
     rest = [c for c in hits.columns if c not in ("q", "s")]
@@ -51,7 +72,7 @@ def label_by_file(records: DataFrame, column: str = "path") -> DataFrame:
     """Ids prefixed with the ordinal of their file, files in order of their path."""
     files = records.select(column).distinct()
     ranked = files.withColumn("_k", F.row_number().over(Window.orderBy(column)))  # one row for each file
-    return records.join(F.broadcast(ranked), column).withColumn("id", F.concat_ws("|", (F.col("_k") - 1).cast("string"), F.col("id"))).drop("_k")
+    return records.join(ranked, column).withColumn("id", F.concat_ws("|", (F.col("_k") - 1).cast("string"), F.col("id"))).drop("_k")
 
 
 def add_prefix(header: Column, path: Column, pattern: str) -> Column:
@@ -68,7 +89,7 @@ def concat_blocks(blocks: DataFrame, taxa: DataFrame) -> DataFrame:
     """
     sizes = blocks.groupBy("block_id").agg(F.max(F.length("aligned")).alias("size"))
     own = blocks.groupBy("block_id", "taxon").agg(F.min("aligned").alias("aligned"))
-    grid = sizes.join(F.broadcast(taxa.select("taxon").distinct()))
+    grid = sizes.join(taxa.select("taxon").distinct())
     filled = grid.join(own, ["block_id", "taxon"], "left").select("taxon", "block_id", F.coalesce("aligned", F.expr("repeat('-', size)")).alias("aligned"))
     rows = filled.groupBy("taxon").agg(F.array_sort(F.collect_list(F.struct("block_id", "aligned"))).alias("rows"))
     return rows.select("taxon", F.array_join(F.transform("rows", lambda r: r["aligned"]), "").alias("aligned"))

@@ -514,6 +514,25 @@ def search_all(spark, sf_dir):
     return search.search(own, own, pattern="1" * K, masked=False)
 
 
+@query()
+def orthology(spark, sf_dir):
+    """From sequences to groups: hits of the search, relations, staged Markov clusters; taxa are numbers of the items."""
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("T"), F.col("item_id") % 5, F.lit("|"), F.format_string("b%06d", "item_id")).alias("id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+    own, scratch = stored(spark, rows, "records"), Scratch(spark)
+    hits = scratch.keep(search.search(own, own, pattern="1" * K, masked=False), "hits")
+    best = scratch.keep(relations.best_per_pair(relations.normalise_scores(hits)), "best")
+    edges = relations.relations(best).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").alias("w"))
+    return merging.staged_mcl(edges, scratch)
+
+
+@query("""WITH g AS (SELECT text, min(printf('d%07d', doc_id)) AS first FROM documents GROUP BY text)
+SELECT a.q, b.q AS s, 1.5::DOUBLE AS score FROM (SELECT printf('d%07d', doc_id) AS q, first FROM documents JOIN g USING (text)) a JOIN (SELECT printf('d%07d', doc_id) AS q, first FROM documents JOIN g USING (text)) b USING (first)""")
+def expand_members(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.format_string("d%07d", "doc_id").alias("id"), F.col("text").alias("seq"))
+    own = sequences.representatives(rows).select(F.col("id").alias("q"), F.col("id").alias("s"), F.lit(1.5).alias("score"))
+    return sequences.expand_members(own, stored(spark, sequences.memberships(rows), "members"))
+
+
 @query()
 def low_complexity_mask(spark, sf_dir):
     rows = search.mask(items(spark, sf_dir))

@@ -35,9 +35,9 @@ def relations_to_groups(edges: DataFrame, scratch: Scratch, how: str = "mcl", in
 
 def sequences_to_hits(records: DataFrame, scratch: Scratch, dedupe: bool = True, **options) -> DataFrame:
     """All-against-all hits of records (id, seq); equal sequences are searched once."""
-    own = scratch.keep(sequences.dedupe(records) if dedupe else records.select("id", "seq"), "records")
+    own = scratch.keep(sequences.representatives(records) if dedupe else records.select("id", "seq"), "records")
     hits = search.search(own, own, **options)
-    return sequences.expand_hits(hits) if dedupe else hits
+    return sequences.expand_members(hits, scratch.keep(sequences.memberships(records), "members")) if dedupe else hits
 
 
 def run(spark: SparkSession, fasta: str, out: str, how: str = "mcl", operon_path: str | None = None, min_coverage: float = 0.5, min_identity: float = 50.0, norm: str = "no", inflation: float = 1.5, low: float = 0.05, high: float = 0.95, separator: str = "|", **options) -> None:
