@@ -83,7 +83,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return T.bounded(docs).select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, rare: float = 0.002, common: float = 0.1) -> np.ndarray:
@@ -186,7 +186,7 @@ def fingerprint_documents(docs: DataFrame, lexicon: np.ndarray, parts: int | Non
     The edited text is the text with its last quarter (n_chars // 4 code points)
     replaced by as many from the beginning of the next document.
     """
-    bounds, first = _ranges(docs, parts)
+    bounds, first = _ranges(T.bounded(docs), parts)
     filled = sorted(first)
     # where the first row of a range is sent besides: to the range before, of the first to the last
     also = {first[p]: (filled[k - 1], int(k == 0)) for k, p in enumerate(filled)}

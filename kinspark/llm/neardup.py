@@ -108,7 +108,7 @@ def digest(items: np.ndarray) -> tuple[int, int]:
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, hash of the text, n_shingles, d0 and d1 (the set's digest) and the bucket keys."""
-    read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    read = T.bounded(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = read.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from kinspark.llm import text as T
 from kinspark.llm.bpe import byte_letters
 from kinspark.llm.pretoken import Cache, segments
 from kinspark.scratch import Scratch
@@ -107,7 +108,7 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFr
     A document's ids end in ``end``.  One over ``size`` ids is cut; the first
     piece takes the remainder, the others are full.
     """
-    read = docs.select("doc_id", "text")
+    read = T.bounded(docs).select("doc_id", "text")
     kind = read.schema["doc_id"].dataType.simpleString()
     tail = np.array([end], "<u4").tobytes()
 

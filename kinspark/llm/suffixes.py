@@ -204,7 +204,7 @@ def _key() -> list[Column]:
 
 def distinct_texts(docs: DataFrame, work: Scratch, length: int) -> DataFrame:
     """w (1, or 2 for copies), k0, k1 and the compressed text of every text of ``length`` bytes or more, in buckets of k0."""
-    read = docs.where(F.octet_length("text") >= length).select(*_key(), "text")
+    read = T.bounded(docs).where(F.octet_length("text") >= length).select(*_key(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -458,7 +458,7 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, length: int = 200) -> DataF
     Bytes of a code point that was cut in two are left out; a null text becomes
     an empty one.
     """
-    found = _joined(docs, scratch, length)
+    found = _joined(T.bounded(docs), scratch, length)
     at = docs.columns.index("text")
     found = found.withColumn("text", F.coalesce("text", F.lit("")))
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 19
 GIANT = 1 << 22
+#: Rows of texts that a Python worker gets at once.
+BATCH_ROWS = 2000
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -156,6 +158,18 @@ class Chunk:
         return out
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session hands texts to Python in batches of BATCH_ROWS rows at most.
+
+    Spark's default of 10,000 is meant for narrow rows.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def parts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Slices of a string column as (first, last, byte views); a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -196,6 +210,7 @@ def map_texts(docs: DataFrame, columns: list[str], compute: Callable[[pa.Array],
 
     ``small``: hand over a few hundred rows at a time, for work on Python strings.
     """
+    bounded(docs)
     read = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,4 +231,4 @@ def keep_texts(docs: DataFrame, accept: Callable[[pa.Array], np.ndarray]) -> Dat
         for batch in batches:
             yield batch.filter(pa.array(accept(batch.column(at))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
