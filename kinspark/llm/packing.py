@@ -286,8 +286,10 @@ def pack(cut: DataFrame, scratch: Scratch, size: int = 1024) -> DataFrame:
     The driver holds the histogram of lengths and the plan, both bounded by
     ``size``; counts by length and task stay distributed.
     """
-    cut = scratch.keep(_numbered(cut.select("doc_id", "piece", "start", "length", "ids_crc32")), "pieces")
     work = scratch.child()
+    # written in between: one Python worker for each task is enough
+    cut = work.keep(cut.select("doc_id", "piece", "start", "length", "ids_crc32"), "cut")
+    cut = scratch.keep(_numbered(cut), "pieces")
     by_task = work.keep(cut.groupBy("length", "_part").agg(F.count("*").alias("_n")), "counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
