@@ -4,8 +4,7 @@ A text's words are lower-cased runs of letters, digits and non-ASCII bytes,
 joined by single spaces; rules are regular expressions over that, in order of
 priority: the SPDX tag of each license of the table, sentences of license texts
 and file headers, grants ("under the ..." and a license's name), and bare names.
-A text that contains none of the GATE keywords is not
-searched; in the others a rule runs only if one of its own keywords occurs, and
+A text that has none of the GATE words is not searched; in the others a rule runs only if one of its own keywords occurs, and
 whatever a pattern matches holds one of its keywords and one of the gate's.  Detections
 are word intervals.  One that lies within another, or shares its interval with
 one of higher priority, is suppressed.
@@ -348,16 +347,14 @@ TEXTS: list[tuple[str, str, str]] = [
     ("llama-community", "community license", r"llama [23] community license agreement"),
 ]
 GRANT = r"(?:licen[sc]ed|released|distributed|available|provided|published|offered|used|covered|work is licen[sc]ed) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?"
-#: A text without any of these (lower-cased, words apart by one space) has no detection.
+#: Words, lower-cased; a text without any of these has no detection.
 GATE = (
-    "licen", "spdx", " cc by ", " cc0 ", " cc zero ", "creative commons", "general public", " gpl", " lgpl", "public domain", "rights reserved", "bsd", "wtfpl", "historical permission", "llvm exception", "mit no attribution", " cecill ",
-    "permission", "permitted", "redistribut", "warrant", "copyright", "copies of the software", "the software", "this software", "free software", "open source", "creativecommons", "publicdomain", "substitute goods", "unauthorized copying", "same terms as",
-    "vim is charityware", "buy me a beer", "what the fuck", "reserved font name", "invariant sections", "installation information", "combined work", "covered work", "computer network", "anti circumvention", "work containing the program", "verbatim copies",
-    "technological measure", "plainly marked", "initial developer", "netscape public", "the png reference", "group 42", "php software", "making python", "eupl", "remote network interaction", "runtime library exception", "publicly available distribution",
-    "additional use grant", "commons clause", "appropriate credit", "the material", "as is basis", "non commercial use", "commercial use is prohibited", "confidential and proprietary", "may be reproduced", "personal use only", "special direct indirect",
-    "nasa open source", "openrail", "open rail", "with the library", "eclipse org", "apache org", "boost org", "temple place", "franklin street", "obtaining using and or copying", "make the functionality", "the bison parser",
-    "except as contained in this notice", "data files", "endorse or promote", "this product includes", "creativeml",
-)
+    "0bsd", "academic", "affero", "agpl", "anniversary", "apache", "beer", "bison", "bsd", "cc", "cc0", "cecill", "charityware", "circumvention", "commercial", "conditions", "consequential", "consortium",
+    "contributors", "copyright", "covered", "creative", "creativecommons", "creativeml", "developer", "domain", "eclipse", "eupl", "expat", "font", "fonts", "freebsd", "fuck", "functionality", "gcc", "gpl", "gpl2", "gpl3",
+    "gplv2", "gplv3", "historical", "interacting", "invariant", "lesser", "lgpl", "lgpl2", "lgpl3", "licence", "licences", "license", "licensed", "licensee", "licenses", "linking", "llvm", "merchantability",
+    "mit", "mozilla", "nasa", "openrail", "openssl", "permission", "permitted", "procurement", "proprietary", "publicdomain", "redistribute", "redistribution", "redistributions", "remix", "reserved", "royalty",
+    "software", "spdx", "unencumbered", "unlicence", "unlicense", "verbatim", "warranties", "warranty", "wtfpl", "x11", "linked",
+)
 
 
 def rule_table(base: dict[str, str]) -> list[tuple[int, str, list[str], str, float]]:
@@ -370,6 +367,11 @@ def rule_table(base: dict[str, str]) -> list[tuple[int, str, list[str], str, flo
     return [(p, label, keywords, f"(?<= )(?:{pattern})(?= )", score) for p, label, keywords, pattern, score in rules]
 
 
+def gate_words(base: dict[str, str]) -> list[str]:
+    """GATE and a word of each base phrase."""
+    return sorted({*GATE, *(max(phrase.split(), key=len) for phrase in base)})
+
+
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -416,9 +418,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str]) -> DataFrame:
     apart = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
     words = docs.select("doc_id", F.concat(F.lit(" "), F.trim(apart), F.lit(" ")).alias("words"))
     lower = F.lower("words")
-    gate = F.lit(False)
-    for keyword in GATE + tuple(f" {phrase} " for phrase in base):
-        gate = gate | lower.contains(keyword)
+    gate = F.arrays_overlap(F.split(lower, " "), F.array(*map(F.lit, gate_words(base))))
     words = words.select("doc_id", F.when(F.col("words") == "  ", 0).otherwise(_spaces(F.col("words")) - 1).cast("bigint").alias("n_words"), F.when(gate, F.translate("words", BIG, SMALL)).alias("words"))
     w = F.col("words")
     all_found = F.flatten(F.transform(F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(w, k))), lambda r: _detections(w, r)))
