@@ -45,12 +45,14 @@ def exemplars(table: DataFrame) -> DataFrame:
     return table.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(F.col("i").alias("node"), F.col("k").alias("exemplar"))
 
 
-def relational_affinity(edges: DataFrame, scratch: Scratch, preference: float, damping: float = 0.5, rounds: int = 100, patience: int = 15) -> DataFrame:
-    """(node, cluster) by rounds of windows, until exemplars rest for ``patience`` rounds."""
+def relational_affinity(edges: DataFrame, scratch: Scratch, preference: float, damping: float = 0.5, rounds: int = 100, patience: int | None = 15) -> DataFrame:
+    """(node, cluster) by rounds of windows, until exemplars rest for ``patience`` rounds; all rounds without."""
     now = messages(edges, preference)
     last, still = None, 0
     for _ in range(rounds):
         now = scratch.keep(step(now, damping), "ap")
+        if patience is None:
+            continue
         mark = exemplars(now).agg(F.sum(F.xxhash64("node", "exemplar").cast("decimal(38,0)"))).first()[0]
         still = still + 1 if mark == last else 0
         last = mark
@@ -60,7 +62,7 @@ def relational_affinity(edges: DataFrame, scratch: Scratch, preference: float, d
     return parts.select("node", F.col("component").alias("cluster"))
 
 
-def local_affinity(i: np.ndarray, k: np.ndarray, s: np.ndarray, n: int, damping: float = 0.5, rounds: int = 100, patience: int = 15) -> np.ndarray:
+def local_affinity(i: np.ndarray, k: np.ndarray, s: np.ndarray, n: int, damping: float = 0.5, rounds: int = 100, patience: int | None = 15) -> np.ndarray:
     """Exemplar of each of ``n`` nodes from entries that hold the diagonal; dense form."""
     sim = np.full((n, n), -np.inf)
     sim[i, k] = s
@@ -86,15 +88,17 @@ def local_affinity(i: np.ndarray, k: np.ndarray, s: np.ndarray, n: int, damping:
         new = np.where(there, r + a, -np.inf).argmax(1)
         still = still + 1 if label is not None and (new == label).all() else 0
         label = new
-        if still > patience:
+        if patience is not None and still > patience:
             break
     return label
 
 
-def affinity(edges: DataFrame, scratch: Scratch, preference: float, damping: float = 0.5, small: int = 1000) -> DataFrame:
+def affinity(edges: DataFrame, scratch: Scratch, preference: float, damping: float = 0.5, small: int = 1000, rounds: int = 100, patience: int | None = 15) -> DataFrame:
     """(node, cluster): components of the links to exemplars, named by their smallest node.
 
-    Components of up to ``small`` nodes are solved one by one in tasks.
+    Components of up to ``small`` nodes are solved one by one in tasks.  Exemplars
+    that rest for ``patience`` rounds may still change later; with None all
+    ``rounds`` are run.
     """
     given = scratch.keep(edges.where("src <> dst").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w")), "edges")
     parts = scratch.keep(connected_components(given, scratch), "parts")
@@ -110,7 +114,7 @@ def affinity(edges: DataFrame, scratch: Scratch, preference: float, damping: flo
         m = np.maximum(m, m.T)
         np.fill_diagonal(m, preference)
         i, k = np.nonzero(np.isfinite(m))
-        chosen = local_affinity(i, k, m[i, k], n, damping)
+        chosen = local_affinity(i, k, m[i, k], n, damping, rounds, patience)
         label = np.arange(n)
         while True:
             new = np.minimum(label, label[chosen])
@@ -123,7 +127,7 @@ def affinity(edges: DataFrame, scratch: Scratch, preference: float, damping: flo
     found = labelled.where(F.col("n") <= small).select("component", "src", "dst", "w").groupBy("component").applyInPandas(solve, "node string, cluster string")
     giant = labelled.where(F.col("n") > small).select("src", "dst", "w")
     if not giant.isEmpty():
-        found = found.unionByName(relational_affinity(giant, scratch, preference, damping))
+        found = found.unionByName(relational_affinity(giant, scratch, preference, damping, rounds, patience))
     return found
 
 

@@ -111,3 +111,12 @@ def test_components_of_paths_stars_and_loops(spark, scratch, monkeypatch, chunk)
 def test_components_of_structs_follow_their_order(spark, scratch):
     edges = spark.createDataFrame([((2, "b"), (2, "a")), ((2, "a"), (10, "a"))], "src struct<k: long, h: string>, dst struct<k: long, h: string>")
     assert {tuple(r.node): tuple(r.component) for r in components.connected_components(edges, scratch).collect()} == {k: (2, "a") for k in [(2, "a"), (2, "b"), (10, "a")]}
+
+
+def test_affinity_runs_the_rounds_it_is_asked_for(spark, scratch):
+    """Exemplars of this graph rest for more than 15 rounds, then change again."""
+    rng, n = np.random.default_rng(10), 8
+    m = np.triu(rng.uniform(0.3, 0.5, (n, n)) * (rng.random((n, n)) < 0.5), 1).round(3)
+    rows = [(f"n{i}", f"n{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m))]
+    found = affinity.affinity(spark.createDataFrame(rows, "src string, dst string, w double"), scratch, 0.1, rounds=60, patience=None)
+    assert as_sets(found) == [["n0", "n1", "n4", "n6", "n7"], ["n2", "n3", "n5"]]
