@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
 
 from kinspark.operators.graphs import mirrored
 from kinspark.scratch import Scratch
@@ -33,8 +35,13 @@ def peaks(distances: DataFrame, dc: float) -> DataFrame:
     pairs = _both(distances).join(rho.withColumnsRenamed({"node": "x", "rho": "rho_x"}), "x").join(rho.withColumnsRenamed({"node": "y", "rho": "rho_y"}), "y")
     denser = (F.col("rho_y") > F.col("rho_x")) | ((F.col("rho_y") == F.col("rho_x")) & (F.col("y") < F.col("x")))
     near = pairs.groupBy(F.col("x").alias("node")).agg(F.max("rho_x").alias("rho"), F.min(F.when(denser, F.struct("d", "y"))).alias("up"), F.max("d").alias("far"))
-    top = near.agg(F.coalesce(F.max("up.d"), F.max("far")).alias("top"))
-    return near.join(F.broadcast(top)).select("node", "rho", F.coalesce("up.d", "top").alias("delta"), F.col("up.y").alias("higher"))
+    return deltas(near.select("node", "rho", "up.d", "up.y", "far"))
+
+
+def deltas(near: DataFrame) -> DataFrame:
+    """(node, rho, delta, higher) of (node, rho, d, y, far): its nearest denser node if any, and its largest distance."""
+    top = near.agg(F.coalesce(F.max("d"), F.max("far")).alias("top"))
+    return near.join(F.broadcast(top)).select("node", "rho", F.coalesce("d", "top").alias("delta"), F.col("y").alias("higher"))
 
 
 def density_peaks(distances: DataFrame, scratch: Scratch, dc: float | None = None) -> DataFrame:
@@ -47,6 +54,16 @@ def density_peaks(distances: DataFrame, scratch: Scratch, dc: float | None = Non
     distances = scratch.keep(distances.select("x", "y", F.col("d").cast("double").alias("d")), "distances")
     dc = cutoff(distances) if dc is None else dc
     found = scratch.keep(peaks(distances, dc), "peaks")
+
+    def borders(own: DataFrame) -> DataFrame:
+        pairs = _both(distances).where(F.col("d") <= dc).join(own.select(F.col("node").alias("x"), F.col("cluster").alias("cx"), F.col("rho").alias("rx")), "x").join(own.select(F.col("node").alias("y"), F.col("cluster").alias("cy"), F.col("rho").alias("ry")), "y")
+        return pairs.where("cx <> cy").groupBy(F.col("cx").alias("cluster")).agg(F.max((F.col("rx") + F.col("ry")) / 2).alias("border"))
+
+    return clusters(found, scratch, borders)
+
+
+def clusters(found: DataFrame, scratch: Scratch, borders: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The clusters of peaks; ``borders`` gives (cluster, border) of (node, cluster, rho)."""
     limits = F.broadcast(found.agg(F.avg("rho").alias("mean_rho"), F.stddev_pop("delta").alias("sd_delta")))
     centre = F.col("higher").isNull() | ((F.col("rho") > F.col("mean_rho")) & (F.col("delta") > F.col("sd_delta")))
     tree = scratch.keep(found.join(limits).select("node", F.when(centre, F.col("node")).otherwise(F.col("higher")).alias("up")), "tree")
@@ -57,7 +74,5 @@ def density_peaks(distances: DataFrame, scratch: Scratch, dc: float | None = Non
         if jump.where("moved").isEmpty():
             break
     marks = found.join(tree.withColumnRenamed("up", "cluster"), "node")
-    own = marks.select("node", "cluster", "rho")
-    pairs = _both(distances).where(F.col("d") <= dc).join(own.select(F.col("node").alias("x"), F.col("cluster").alias("cx"), F.col("rho").alias("rx")), "x").join(own.select(F.col("node").alias("y"), F.col("cluster").alias("cy"), F.col("rho").alias("ry")), "y")
-    border = pairs.where("cx <> cy").groupBy(F.col("cx").alias("cluster")).agg(F.max((F.col("rx") + F.col("ry")) / 2).alias("border"))
+    border = borders(marks.select("node", "cluster", "rho"))
     return marks.join(border, "cluster", "left").select("node", "cluster", "rho", "delta", F.coalesce(F.col("rho") < F.col("border"), F.lit(False)).alias("halo"))

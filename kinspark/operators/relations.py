@@ -125,7 +125,11 @@ def relations(best: DataFrame, separator: str = "|") -> DataFrame:
     """(rel, a, b, weight): all relations with normalised weights."""
     found = classify(best, separator)
     ot, ip = reciprocal(found, "OT"), reciprocal(found, "IP")
-    co = expand_co(ot, ip, co_candidates(found))
+    return normalised(ot, ip, expand_co(ot, ip, co_candidates(found)), separator)
+
+
+def normalised(ot: DataFrame, ip: DataFrame, co: DataFrame, separator: str = "|") -> DataFrame:
+    """(rel, a, b, weight): the relations (a, b, weight) with weights over their means."""
     parts = {"IP": normalise_paralogs(ip, ot, separator), "OT": normalise_cross(ot, separator), "CO": normalise_cross(co, separator)}
     out = None
     for rel, edges in parts.items():
