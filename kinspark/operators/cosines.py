@@ -296,7 +296,7 @@ def with_densities(blocks: DataFrame, least: float, dc: float, scratch: Scratch)
     return beside(blocks, _summed(each_pair(blocks, least, run, "b long, part binary"), np.float64, np.add, "rho", 9), scratch)
 
 
-def peaks(blocks: DataFrame, least: float) -> DataFrame:
+def peaks(blocks: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(node, rho, delta, higher): as :func:`kinspark.operators.density.peaks`, of blocks with densities."""
 
     def prepare(block: Block) -> None:
@@ -333,7 +333,7 @@ def peaks(blocks: DataFrame, least: float) -> DataFrame:
 
     found = each_pair(blocks, least, run, "node string, rho double, far double, d double, y string", prepare)
     near = found.groupBy("node").agg(F.max("rho").alias("rho"), F.min(F.when(F.col("y").isNotNull(), F.struct("d", "y"))).alias("up"), F.max("far").alias("far"))
-    return deltas(near.select("node", "rho", "up.d", "up.y", "far"))
+    return deltas(scratch.keep(near.select("node", "rho", "up.d", "up.y", "far"), "near"))
 
 
 def borders(blocks: DataFrame, marks: DataFrame, least: float, dc: float, scratch: Scratch) -> DataFrame:
