@@ -44,7 +44,7 @@ class Block:
     beside: dict = field(default_factory=dict)
 
 
-def pack(vectors: DataFrame, scratch: Scratch, block: int | None = None) -> DataFrame:
+def pack(vectors: DataFrame, scratch: Scratch, block: int | None = None, in_file: int = 4) -> DataFrame:
     """(b, ids, vec, width): rows (id, vec) as blocks of up to ``block`` rows; null vectors have no cosine and are left out."""
     block = block or BLOCK
     narrow = vectors.schema["vec"].dataType.elementType.simpleString() == "float"
@@ -69,7 +69,7 @@ def pack(vectors: DataFrame, scratch: Scratch, block: int | None = None) -> Data
         if sum(x.num_rows for x in held):
             yield made(pa.Table.from_batches(held))
 
-    packed = given.coalesce(max(1, n // (4 * block))).mapInArrow(run, "ids array<string>, vec binary")
+    packed = given.coalesce(max(1, n // (in_file * block))).mapInArrow(run, "ids array<string>, vec binary")
     # the numbers stand in the table, so they are the same in all that reads it
     return scratch.keep(packed.select(F.monotonically_increasing_id().alias("b"), "ids", "vec", F.lit(np.dtype(kind).itemsize).alias("width")), "blocks")
 
@@ -272,6 +272,60 @@ def expanded(vectors: DataFrame, ot: DataFrame, ip: DataFrame, least: float, dig
     return both.select("a", "b", "va", "vb").mapInPandas(run, "a string, b string, weight double")
 
 
+def squared(blocks: DataFrame, least: float, digits: int = 6) -> DataFrame:
+    """(i, j, w): the square of the matrix of hits, whose entries are the cosines over ``least``, 0 or more.
+
+    A task makes one block of the square after another, from the matrices that
+    its two blocks have with every block, in the order of these.  Neither hits
+    nor products are shuffled or stored.
+    """
+    columns = [F.col(c) for c in ("b", "ids", "vec", "width")]
+    sides = [blocks.select(*[c.alias(f"{side}_{n}") for c, n in zip(columns, ("b", "ids", "vec", "width"))]) for side in "lrm"]
+    # one partition of the middle: every task meets all of it, for one pair after another
+    rows = sides[0].crossJoin(sides[1]).where("l_b <= r_b").join(sides[2].coalesce(1).hint("shuffle_replicate_nl"), how="cross")
+
+    def entries(x: Block, y: Block) -> np.ndarray:
+        score = np.round(x.unit @ y.unit.T, digits)
+        score[score <= least] = 0
+        if x.number == y.number:
+            np.fill_diagonal(score, 0)
+        return score
+
+    def made(x: Block, y: Block, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(w), 50):
+            i, j = np.nonzero(w[k : k + 50])
+            value = pa.array(w[k : k + 50][i, j])
+            p, q = x.ids.take(pa.array(i + k)), y.ids.take(pa.array(j))
+            for a, b in ((p, q), (q, p)) if x.number != y.number else ((p, q),):
+                yield pa.RecordBatch.from_arrays([a, b, value], names=["i", "j", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, Block] = OrderedDict()
+        now, w = None, None
+
+        def got(batch: pa.RecordBatch, k: int, side: str) -> Block:
+            number = batch.column(batch.schema.get_field_index(f"{side}b"))[k].as_py()
+            if number not in held:
+                held[number] = _block(batch, k, side, [])
+                if len(held) > HELD:
+                    held.popitem(last=False)
+            held.move_to_end(number)
+            return held[number]
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y, z = (got(batch, k, side) for side in ("l_", "r_", "m_"))
+                if now is None or (x.number, y.number) != (now[0].number, now[1].number):
+                    if now is not None:
+                        yield from made(*now, w)
+                    now, w = (x, y), np.zeros((len(x.names), len(y.names)))
+                w += entries(x, z) @ entries(z, y)
+        if now is not None:
+            yield from made(*now, w)
+
+    return rows.mapInArrow(run, "i string, j string, w double")
+
+
 # --- densities: distances are 1 - cosine -------------------------------------------------------
 
 
