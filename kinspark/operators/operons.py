@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinspark.scratch import Scratch
+
+#: Operons of a class that are told in one row.
+MEMBERS = 1000
+
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """(operon_id, strand, genes) of lines whose first field is a-->b or a<--b; headers are skipped."""
@@ -42,21 +47,37 @@ def overlaps(families: DataFrame, least: int = 3, cover: float = 0.5, with_self:
     ``families``: (operon_id, family).  Operons that share three families meet at
     a triple of them, so a family that many operons have makes no pairs by itself.
     Operons of more than ``longest`` families, which have many triples, meet the
-    others family by family; they are few.
+    others family by family; they are few.  Operons with equal families are
+    compared as one.
     """
+    scratch = Scratch(families.sparkSession)
     sets = families.groupBy("operon_id").agg(F.array_sort(F.collect_set("family")).alias("f")).where(F.size("f") >= least)
-    keys = sets.where(F.size("f") <= longest).select("operon_id", F.explode(_subsets(F.col("f"), min(least, 3))).alias("key"))
-    single = sets.select("operon_id", F.explode("f").alias("key"), (F.size("f") > longest).alias("long"))
-    order = F.col("a") <= F.col("b") if with_self else F.col("a") < F.col("b")
-    left, right = keys.select(F.col("operon_id").alias("a"), "key"), keys.select(F.col("operon_id").alias("b"), "key")
-    near = left.join(right, "key").where(order).select("a", "b")
-    far = single.where("long").select(F.col("operon_id").alias("x"), "key").join(single.select(F.col("operon_id").alias("y"), "key"), "key")
-    far = far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(order)
+    # operons with the same families are a class: classes are compared, and pairs of them told for their members
+    sets = scratch.keep(sets.select("operon_id", F.unhex(F.md5(F.to_json("f"))).alias("class"), "f"), "sets")
+    classes = scratch.keep(sets.groupBy("class").agg(F.any_value("f").alias("f"), F.count("*").alias("n")), "classes")
+    own = sets.select("operon_id", "class").join(classes.select("class", "n"), "class")
+    chunk = F.pmod(F.xxhash64("operon_id"), F.ceil(F.col("n") / MEMBERS))
+    parts = scratch.keep(own.groupBy("class", chunk.alias("chunk")).agg(F.collect_list("operon_id").alias("ids")), "members")
+    same = classes.where(F.lit(1.0) > cover).select(F.col("class").alias("ca"), F.col("class").alias("cb"), F.size("f").cast("bigint").alias("shared"), F.lit(1.0).alias("score"))
+    found = same.unionByName(_class_overlaps(classes.select("class", "f"), least, cover, longest))
+    ids = found.join(parts.select(F.col("class").alias("ca"), F.col("ids").alias("xs")), "ca").join(parts.select(F.col("class").alias("cb"), F.col("ids").alias("ys")), "cb")
+    each = ids.select("ca", "cb", "shared", "score", F.explode("xs").alias("x"), "ys").select("ca", "cb", "shared", "score", "x", F.explode("ys").alias("y"))
+    order = F.col("x") <= F.col("y") if with_self else F.col("x") < F.col("y")
+    return each.where((F.col("ca") != F.col("cb")) | order).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "score")
+
+
+def _class_overlaps(sets: DataFrame, least: int, cover: float, longest: int) -> DataFrame:
+    """(ca, cb, shared, score) of different classes (class, f)."""
+    keys = sets.where(F.size("f") <= longest).select("class", F.explode(_subsets(F.col("f"), min(least, 3))).alias("key"))
+    single = sets.select("class", F.explode("f").alias("key"), (F.size("f") > longest).alias("long"))
+    near = keys.select(F.col("class").alias("ca"), "key").join(keys.select(F.col("class").alias("cb"), "key"), "key").where("ca < cb").select("ca", "cb")
+    far = single.where("long").select(F.col("class").alias("x"), "key").join(single.select(F.col("class").alias("y"), "key"), "key")
+    far = far.select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).where("ca < cb")
     pairs = near.unionByName(far).distinct()
-    both = pairs.join(sets.select(F.col("operon_id").alias("a"), F.col("f").alias("fa")), "a").join(sets.select(F.col("operon_id").alias("b"), F.col("f").alias("fb")), "b")
-    sized = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).cast("bigint").alias("shared"), F.size("fa").alias("na"), F.size("fb").alias("nb")).where(F.col("shared") >= least)
+    both = pairs.join(sets.select(F.col("class").alias("ca"), F.col("f").alias("fa")), "ca").join(sets.select(F.col("class").alias("cb"), F.col("f").alias("fb")), "cb")
+    sized = both.select("ca", "cb", F.size(F.array_intersect("fa", "fb")).cast("bigint").alias("shared"), F.size("fa").alias("na"), F.size("fb").alias("nb")).where(F.col("shared") >= least)
     c0, c1 = F.col("shared") / F.col("na"), F.col("shared") / F.col("nb")
-    return sized.where(F.greatest(c0, c1) > cover).select("a", "b", "shared", harmonic(c0, c1).alias("score"))
+    return sized.where(F.greatest(c0, c1) > cover).select("ca", "cb", "shared", harmonic(c0, c1).alias("score"))
 
 
 def assign_families(operons: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -65,3 +65,16 @@ def test_operon_overlaps_match_all_pairs(spark):
     want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 3 and 2 * len(sets[a] & sets[b]) > min(len(sets[a]), len(sets[b]))}
     assert {(r.a, r.b): r.shared for r in operons.overlaps(df).collect()} == want
     assert (0 in sets) and all(r.a <= r.b for r in operons.overlaps(df, with_self=True).collect())
+
+
+def test_equal_operons_are_compared_once(spark, monkeypatch):
+    """The pairs of 2 x 30 copies come from the one pair of their classes, whatever the size of a chunk of members."""
+    compared = []
+    real = operons._class_overlaps
+    monkeypatch.setattr(operons, "_class_overlaps", lambda sets, *a: compared.append(sets.count()) or real(sets, *a))
+    monkeypatch.setattr(operons, "MEMBERS", 7)
+    sets = {k: {"f1", "f2", "f3"} if k < 30 else {"f1", "f2", "f3", "f4"} for k in range(60)}
+    df = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], "operon_id long, family string")
+    rows = operons.overlaps(df).collect()
+    assert compared == [2] and len(rows) == 60 * 59 // 2
+    assert {(r.a, r.b): r.shared for r in rows} == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
