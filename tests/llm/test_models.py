@@ -234,3 +234,19 @@ def test_samples_are_bounded_by_rows_and_bytes_and_hold_whole_texts(spark):
     assert (few["_y"] == 0).sum() == 4 and 1 <= (few["_y"] == 1).sum() <= 4
     with_corpus = samples.labelled_sample(df, df.where("quality = 1"), "quality", F.lit(True), 3, 1 << 30, 10)
     assert with_corpus["_corpus"].sum() == 10 and with_corpus["_y"].notna().sum() == 3
+
+
+def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
+    """The rows of every label are counted, also beyond 2000 of a class; a count is the same as so many rows."""
+    plain = " ".join(f"word{k}" for k in range(40))
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit(plain), F.lit(" "), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    real = rules.calibrate
+    monkeypatch.setattr(rules, "calibrate", lambda score, good, spare, weight=None: seen.append(len(score) if weight is None else int(weight.sum())) or (real(score, good, spare) if weight is None else real(score, good, spare, weight)))
+    rules.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert seen[0] == 5000
+    rng = np.random.default_rng(2)
+    score, good = np.round(rng.random(300), 2), rng.random(300) < 0.7
+    score[~good] += 0.3
+    keys, n = np.unique(np.stack([score, good]), axis=1, return_counts=True)
+    assert real(keys[0], keys[1] == 1, 0.005, n) == real(score, good, 0.005)
