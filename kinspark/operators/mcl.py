@@ -1,9 +1,10 @@
 """Markov clustering of weighted graphs.
 
-Two forms of one algorithm.  The relational form holds the matrix as a table of
+Three forms of one algorithm.  The relational form holds the matrix as a table of
 entries (i, j, w): expansion is a join on the inner index and a sum, inflation a
-power, normalisation a sum by column; it takes components of any size.  The
-local form runs numpy on one component at a time, for the many small ones.
+power, normalisation a sum by column; all products go through disk.  The form by
+columns (:mod:`kinspark.operators.columns`) takes large components without that.
+The local form runs numpy on one component at a time, for the many small ones.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from kinspark.operators import columns
 from kinspark.operators.components import connected_components
 from kinspark.operators.graphs import mirrored, prune_rows
 from kinspark.scratch import Scratch
@@ -107,7 +109,7 @@ def mcl(edges: DataFrame, scratch: Scratch, inflation: float = 1.5, small: int =
     """(node, cluster): clusters named by their smallest node.
 
     Clusters never cross components.  Those of up to ``small`` nodes are solved
-    one by one in tasks, the larger by joins.
+    one by one in tasks, the larger by blocks of columns.
     """
     given = scratch.keep(edges.where("src <> dst").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w")), "edges")
     parts = scratch.keep(connected_components(given, scratch), "parts")
@@ -122,5 +124,5 @@ def mcl(edges: DataFrame, scratch: Scratch, inflation: float = 1.5, small: int =
     found = labelled.where(F.col("n") <= small).select("component", "src", "dst", "w").groupBy("component").applyInPandas(solve, "node string, cluster string")
     giant = labelled.where(F.col("n") > small).select("src", "dst", "w")
     if not giant.isEmpty():
-        found = found.unionByName(relational_mcl(giant, scratch, inflation))
+        found = found.unionByName(columns.clusters(matrix(giant), scratch, inflation, 100, PRUNE))
     return found

@@ -39,12 +39,12 @@ class Scratch:
         self.tables: list[str] = []
         atexit.register(self.drop)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it again."""
+    def keep(self, df: DataFrame, name: str, in_file: int = 0) -> DataFrame:
+        """Write ``df``, with up to ``in_file`` rows in a file if that is not 0, and read it again."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", in_file).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def keep_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
