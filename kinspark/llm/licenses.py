@@ -351,9 +351,9 @@ GRANT = r"(?:licen[sc]ed|released|distributed|available|provided|published|offer
 GATE = (
     "0bsd", "academic", "affero", "agpl", "anniversary", "apache", "beer", "bison", "bsd", "cc", "cc0", "cecill", "charityware", "circumvention", "commercial", "conditions", "consequential", "consortium",
     "contributors", "copyright", "covered", "creative", "creativecommons", "creativeml", "developer", "domain", "eclipse", "eupl", "expat", "font", "fonts", "freebsd", "fuck", "functionality", "gcc", "gpl", "gpl2", "gpl3",
-    "gplv2", "gplv3", "historical", "interacting", "invariant", "lesser", "lgpl", "lgpl2", "lgpl3", "licence", "licences", "license", "licensed", "licensee", "licenses", "linking", "llvm", "merchantability",
-    "mit", "mozilla", "nasa", "openrail", "openssl", "permission", "permitted", "procurement", "proprietary", "publicdomain", "redistribute", "redistribution", "redistributions", "remix", "reserved", "royalty",
-    "software", "spdx", "unencumbered", "unlicence", "unlicense", "verbatim", "warranties", "warranty", "wtfpl", "x11", "linked",
+    "gplv2", "gplv3", "historical", "installation", "interacting", "invariant", "lesser", "lgpl", "lgpl2", "lgpl3", "licence", "licences", "license", "licensed", "licensee", "licenses", "linking", "llvm", "merchantability",
+    "mit", "mozilla", "nasa", "openrail", "openssl", "permission", "permitted", "png", "procurement", "proprietary", "publicdomain", "redistribute", "redistribution", "redistributions", "remix", "reserved", "royalty",
+    "software", "spdx", "unauthorized", "unencumbered", "unlicence", "unlicense", "verbatim", "warranties", "warranty", "wtfpl", "x11", "linked",
 )
 
 
