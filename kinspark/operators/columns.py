@@ -4,7 +4,8 @@ A column of the square is a sum of columns of the matrix, so a task that meets
 the whole matrix makes a block of columns alone: it squares, inflates and prunes
 them before they are written.  Neither products nor entries are shuffled; on
 disk are two matrices, the one before a round and the one after it.  A task
-holds up to PART entries at once and adds up what it gets from each part.
+holds up to PART entries at once and adds up what it gets from each part; what it
+adds up is bounded by the cells of its block.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from kinspark.operators.components import connected_components
 from kinspark.operators.sequences import add_ordinals
 from kinspark.scratch import Scratch
 
+#: Columns of a block, and cells: the more nodes there are, the fewer columns.
 COLUMNS = 1024
+BLOCK_CELLS = 50_000_000
 #: Entries of the matrix that a task holds, besides its own block.
 PART = 8_000_000
 #: Sums that a task holds as an array, and products that it makes at once.
@@ -224,10 +227,10 @@ def _links(now: DataFrame, prune: float, columns: int) -> DataFrame:
 
 def clusters(entries: DataFrame, scratch: Scratch, inflation: float, rounds: int, prune: float, columns: int | None = None) -> DataFrame:
     """(node, cluster) of a matrix (i, j, w), whose nodes all stand on the diagonal; every fifth round looks for convergence."""
-    columns = columns or COLUMNS
     entries = scratch.keep(entries, "entries")
     nodes = scratch.keep(add_ordinals(entries.select(F.col("i").alias("node")).distinct(), scratch, ["node"]), "nodes")
     n = nodes.count()
+    columns = columns or max(1, min(COLUMNS, BLOCK_CELLS // max(n, 1)))
     places = entries.join(nodes.withColumnsRenamed({"node": "i", "ordinal": "x"}), "i").join(nodes.withColumnsRenamed({"node": "j", "ordinal": "y"}), "j")
     held = scratch.child()
     now = pack(places.select(F.col("x").alias("i"), F.col("y").alias("j"), "w"), n, held, columns)
