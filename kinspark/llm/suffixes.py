@@ -363,8 +363,7 @@ def repeated_spans(texts: DataFrame, work: Scratch, length: int = 200) -> DataFr
         # within a level the strips of a bucket are many only where texts share the gram and little else
         crowded = work.keep(classes.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("bucket"), "crowded")
         cold = classes if not width else classes.join(crowded, "bucket", "left_anti")
-        strips = work.keep(_cut(_with_bytes(cold, texts), length), "bytes")
-        flagged = work.keep(_refined(strips, length), "flagged")
+        flagged = work.keep(_refined(_cut(_with_bytes(cold, texts), length), length), "flagged")
         start = first_of(F.col("place"))
         own = members.join(flagged, ["bucket", "content"]).select("t", tag_of(F.col("place")).alias("tag"), start.alias("first"), F.explode("ranges").alias("r"))
         own = own.select("t", "tag", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + length - 1).alias("hi"))

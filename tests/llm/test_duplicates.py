@@ -149,6 +149,13 @@ def test_stripped_documents_keep_their_columns(docs, texts, scratch, no_docs):
     assert suffixes.remove_repeats(no_docs, scratch).collect() == []
 
 
+def test_bytes_of_strips_are_not_written(docs, texts, scratch, monkeypatch):
+    seen, keep = [], type(scratch).keep
+    monkeypatch.setattr(type(scratch), "keep", lambda self, df, name, *more: seen.append(name) or keep(self, df, name, *more))
+    assert suffixes.strip_repeats(docs, scratch).count() == len(texts) + 1
+    assert "flagged" in seen and "bytes" not in seen
+
+
 def test_bucket_refinement_matches_a_dictionary():
     rng = random.Random(2)
     shared = bytes(rng.choice(b"ab") for _ in range(260))
