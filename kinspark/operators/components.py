@@ -7,9 +7,12 @@ is written to the shared scratch folder, so a lost executor costs one round.
 The smallest neighbours are written before they are joined with the edges: a
 join of two tables can be split where one node has a great part of all edges.
 
-Between rounds each task replaces the edges that it holds, up to CHUNK at a
-time, by stars around the smallest node of what they connect.  That changes no
-component, and leaves little for the rounds to do.
+Before the first round and between rounds each task replaces the edges that it
+holds, up to CHUNK at a time, by stars around the smallest node of what they
+connect.  That changes no component, and leaves little for the rounds to do.
+What is then left of a graph is solved by one task if it has at most FEW edges,
+so no task gets more than that; only larger ones need rounds, whose joins cost
+the same few seconds each however small the graph is.
 """
 
 from __future__ import annotations
@@ -19,13 +22,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinspark.scratch import Scratch
+
 CHUNK = 400_000
+#: Edges that one task solves.
+FEW = 100_000
 
-from kinspark.scratch import Scratch
 
+def stars(pairs: list[tuple], centres: bool = False) -> list[tuple]:
+    """(node, smallest node it is connected to) of the nodes that are not the smallest themselves.
 
-def stars(pairs: list[tuple]) -> list[tuple]:
-    """(node, smallest node it is connected to) of the nodes that are not the smallest themselves."""
+    A node that is connected with itself only points at itself; with ``centres`` every smallest node does.
+    """
     parent: dict = {}
 
     def root(x):
@@ -40,33 +48,36 @@ def stars(pairs: list[tuple]) -> list[tuple]:
         a, b = root(u), root(v)
         if a != b:
             parent[max(a, b)] = min(a, b)
-    return [(x, top) for x in parent if (top := root(x)) != x]
+    found = [(x, top) for x in parent if (top := root(x)) != x]
+    tops = {top for _, top in found}
+    return found + [(x, x) for x, top in parent.items() if x == top and (centres or x not in tops)]
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """The edges (u, v) of each task as stars."""
+def _contracted(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """The edges (u, v) of each task as stars; ``whole``: at once, with their centres."""
     kind = edges.schema["u"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            u, v = (table[c].to_pylist() for c in ("u", "v"))
-            struct = pa.types.is_struct(table.schema.field("u").type)
-            found = stars([(tuple(a.values()), tuple(b.values())) for a, b in zip(u, v)] if struct else list(zip(u, v)))
+            table = pa.Table.from_batches(held).combine_chunks()
+            kinds = [table.schema.field(c).type for c in ("u", "v")]
+            struct = pa.types.is_struct(kinds[0])
+            u, v = ([*zip(*(x.to_pylist() for x in table[c].chunk(0).flatten()))] if struct else table[c].to_pylist() for c in ("u", "v"))
+            found = stars([*zip(u, v)], whole)
             if struct:
-                names = table.schema.field("u").type.names
+                names = kinds[0].names
                 found = [(dict(zip(names, a)), dict(zip(names, b))) for a, b in found]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], table.schema.field(c).type) for k, c in enumerate(("u", "v"))], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names=["u", "v"])
 
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= CHUNK:
+            if size >= CHUNK and not whole:
                 yield flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
     return edges.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
@@ -100,14 +111,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", d
     """
     work = scratch.child()
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    loops = given.where("u = v").select(F.col("u").alias("node")).distinct()
-    down = given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = work.keep(_contracted(down), "edges")
-    while not _solved(now):
+    left = work.keep(_contracted(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+    loops, now = left.where("u = v"), left.where("u <> v")
+    while not (few := left.count() <= FEW) and not _solved(now):
         large = work.keep(_large_star(now, work), "large").where("u <> v").distinct()
         now = work.keep(_contracted(_small_star(large, work).where("u <> v").distinct()), "star")
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = found.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    out = scratch.keep(found.unionAll(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))), "components")
+        left = now.unionAll(loops)
+    if few:
+        found = _contracted(left.coalesce(1), whole=True).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    else:
+        found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        found = found.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        found = found.unionAll(loops.select(F.col("u").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    out = scratch.keep(found, "components")
     work.drop()
     return out

@@ -163,6 +163,34 @@ def test_components_of_paths_stars_and_loops(spark, scratch, monkeypatch, chunk)
     assert got == {k: 1 for k in range(1, 201)} | {k: 1000 for k in range(1000, 1100)} | {6000: 1000, 5000: 5000}
 
 
+@pytest.fixture
+def dealt(spark):
+    """Exchanges keep all their partitions, as those of large tables do."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_components_of_a_small_graph_need_no_rounds(spark, scratch, monkeypatch, dealt):
+    monkeypatch.setattr(components, "_large_star", None)
+    rows = [(f"a{k:03d}", f"a{k + 1:03d}") for k in range(200)] + [("b", "b"), ("c", "b"), ("d", "d"), ("d", "d"), ("e", None), ("b", "c")]
+    got = components.connected_components(spark.createDataFrame(rows, "src string, dst string").repartition(9), scratch).collect()
+    assert sorted(map(tuple, got)) == [(f"a{k:03d}", "a000") for k in range(201)] + [("b", "b"), ("c", "b"), ("d", "d")]
+
+
+@pytest.mark.parametrize("few", [0, 150, 100_000])
+def test_components_by_rounds_and_by_one_task_are_the_same(spark, scratch, monkeypatch, dealt, few):
+    monkeypatch.setattr(components, "FEW", few, raising=False)
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(k, k) for k in [5, 1050, 2000, 2000, 2001]]
+    want = dict(components.stars(rows))
+    want |= {x: x for r in rows for x in r if x not in want}
+    edges = spark.createDataFrame([((a, "x"), (b, "x")) for a, b in rows], "src struct<k: long, h: string>, dst struct<k: long, h: string>").repartition(6)
+    got = components.connected_components(edges, scratch).collect()
+    assert sorted((tuple(r.node), tuple(r.component)) for r in got) == sorted(((x, "x"), (top, "x")) for x, top in want.items())
+
+
 def test_components_of_structs_follow_their_order(spark, scratch):
     edges = spark.createDataFrame([((2, "b"), (2, "a")), ((2, "a"), (10, "a"))], "src struct<k: long, h: string>, dst struct<k: long, h: string>")
     assert {tuple(r.node): tuple(r.component) for r in components.connected_components(edges, scratch).collect()} == {k: (2, "a") for k in [(2, "a"), (2, "b"), (10, "a")]}
