@@ -105,11 +105,12 @@ def local_mcl(nodes: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray
         label = new
 
 
-def mcl(edges: DataFrame, scratch: Scratch, inflation: float = 1.5, small: int = 1000) -> DataFrame:
+def mcl(edges: DataFrame, scratch: Scratch, inflation: float = 1.5, small: int = 1000, rounds: int = 100) -> DataFrame:
     """(node, cluster): clusters named by their smallest node.
 
     Clusters never cross components.  Those of up to ``small`` nodes are solved
-    one by one in tasks, the larger by blocks of columns.
+    one by one in tasks, the larger by blocks of columns.  After ``rounds`` rounds
+    a matrix is read as it is, at rest or not.
     """
     given = scratch.keep(edges.where("src <> dst").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("w").cast("double").alias("w")), "edges")
     parts = scratch.keep(connected_components(given, scratch), "parts")
@@ -118,11 +119,11 @@ def mcl(edges: DataFrame, scratch: Scratch, inflation: float = 1.5, small: int =
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([rows["src"].to_numpy(str), rows["dst"].to_numpy(str)]))
-        label = local_mcl(nodes, rows["src"].to_numpy(str), rows["dst"].to_numpy(str), rows["w"].to_numpy(), inflation)
+        label = local_mcl(nodes, rows["src"].to_numpy(str), rows["dst"].to_numpy(str), rows["w"].to_numpy(), inflation, rounds)
         return pd.DataFrame({"node": nodes, "cluster": nodes[label]})
 
     found = labelled.where(F.col("n") <= small).select("component", "src", "dst", "w").groupBy("component").applyInPandas(solve, "node string, cluster string")
     giant = labelled.where(F.col("n") > small).select("src", "dst", "w")
     if not giant.isEmpty():
-        found = found.unionByName(columns.clusters(matrix(giant), scratch, inflation, 100, PRUNE))
+        found = found.unionByName(columns.clusters(matrix(giant), scratch, inflation, rounds, PRUNE))
     return found
