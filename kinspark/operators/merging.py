@@ -50,10 +50,10 @@ def merged_components(edges: DataFrame, scratch: Scratch, how: str = "connected"
     return merged.select("node", F.coalesce("merged", "component").alias("component"))
 
 
-def staged_mcl(edges: DataFrame, scratch: Scratch, how: str = "connected", inflation: float = 1.5, merge_inflation: float = 1.2, floor: float = 0.0) -> DataFrame:
-    """(node, cluster): Markov clusters within merged components."""
+def staged_mcl(edges: DataFrame, scratch: Scratch, how: str = "connected", inflation: float = 1.5, merge_inflation: float = 1.2, floor: float = 0.0, rounds: int = 100) -> DataFrame:
+    """(node, cluster): Markov clusters within merged components, after up to ``rounds`` rounds."""
     given = scratch.keep(edges.where("src <> dst").select("src", "dst", "w"), "edges")
     labels = scratch.keep(merged_components(given, scratch, how, merge_inflation, floor), "merged")
     src = labels.select(F.col("node").alias("src"), F.col("component").alias("cs"))
     dst = labels.select(F.col("node").alias("dst"), F.col("component").alias("cd"))
-    return mcl(given.join(src, "src").join(dst, "dst").where("cs = cd").select("src", "dst", "w"), scratch, inflation)
+    return mcl(given.join(src, "src").join(dst, "dst").where("cs = cd").select("src", "dst", "w"), scratch, inflation, rounds=rounds)
