@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinspark.scratch import Scratch
 
-#: Operons of a class that are told in one row.
+#: Members of two classes whose pairs are told at once.
 MEMBERS = 1000
+#: Keys of a block: subsets of its operons' families, these and members.
+KEYS = 2_000_000
+#: Candidates that a task holds at once, unless one class has more.
+PAIRS = 1_000_000
+#: Blocks that a task holds.
+HELD = 4
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -19,65 +33,284 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.xxhash64(field).alias("operon_id"), F.when(plus, "-->").otherwise("<--").alias("strand"), genes.alias("genes")).dropDuplicates(["operon_id"])
 
 
-def harmonic(c0: Column, c1: Column) -> Column:
+def harmonic(c0: Column | np.ndarray, c1: Column | np.ndarray) -> Column | np.ndarray:
     """Harmonic mean of the two coverages."""
     return 2 * c0 * c1 / (c0 + c1)
 
 
-def _subsets(families, size: int):
-    """All sorted subsets of ``size`` (1 to 3) of a sorted array, as strings."""
-    n = F.size(families)
+def _keys(n: Column, size: int, longest: int) -> Column:
+    """Keys of a set of ``n`` families, and its families."""
+    many = {1: n, 2: n * (n - 1) / 2, 3: n * (n - 1) * (n - 2) / 6}[size]
+    return (n + F.when(n <= longest, many).otherwise(n)).cast("long")
+
+
+@dataclass
+class Block:
+    """Classes of operons with equal families, by size: ``codes`` of the families of one after another, places in the sorted ``names``; ``ids`` of the members of one after another."""
+
+    number: int
+    ids: pa.Array
+    many: np.ndarray
+    sizes: np.ndarray
+    codes: np.ndarray
+    names: np.ndarray
+    held: dict = field(default_factory=dict)
+
+    def keys(self, k: int, longest: int, codes: np.ndarray | None = None, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(class, key) of all sorted subsets of ``k`` families of classes of up to ``longest``; ``codes`` for another block's names, -1 where it has none."""
+        own = codes is None
+        if own and (k, longest) in self.held:
+            return self.held[k, longest]
+        codes, base = (self.codes, len(self.names)) if own else (codes, base)
+        start = np.cumsum(self.sizes) - self.sizes
+        classes, keys = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for n in np.unique(self.sizes[self.sizes <= longest]):
+            at = np.flatnonzero(self.sizes == n)
+            rows = codes[start[at][:, None] + np.arange(n)].astype(np.int64)
+            key, there = np.int64(0), True
+            for places in np.array([*combinations(range(n), k)], np.int64).reshape(-1, k).T:
+                key, there = key * base + rows[:, places], there & (rows[:, places] >= 0)
+            owner = np.repeat(at.astype(np.int32), key.shape[1])
+            classes.append(owner if own else owner[there.ravel()])
+            keys.append(key.ravel() if own else key[there])
+        out = np.concatenate(classes), np.concatenate(keys)
+        if own:
+            self.held[k, longest] = out
+        return out
+
+    def index(self, k: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different keys in order, where the classes of each begin, and these."""
+        if ("index", k, longest) not in self.held:
+            classes, keys = self.keys(k, longest)
+            order = np.argsort(keys, kind="stable")
+            keys, first = np.unique(keys[order], return_index=True)
+            self.held["index", k, longest] = keys, np.append(first, len(order)), classes[order]
+        return self.held["index", k, longest]
+
+
+def _block(batch: pa.RecordBatch, k: int, side: str) -> Block:
+    b, ids, many, sizes, codes, names = (batch.column(batch.schema.get_field_index(side + c))[k] for c in ("b", "ids", "many", "sizes", "codes", "names"))
+    return Block(b.as_py(), ids.values, *(np.frombuffer(x.as_buffer(), np.int32) for x in (many, sizes, codes)), names.values.to_numpy(zero_copy_only=False))
+
+
+def _coded(sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names in order, the place there of each element, and the length of each set."""
+    coded = sets.flatten().dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(names)
+    return names[order], np.argsort(order)[coded.indices.to_numpy(zero_copy_only=False)], np.diff(sets.offsets.to_numpy())
+
+
+def _lists(values: pa.Array, lens: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), values)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows in tables whose ``keys`` add up to ``most`` at the most, or of one row."""
+    held: list[pa.RecordBatch] = []
+    weight = 0
+    for batch in batches:
+        begun, sums = 0, np.cumsum(batch.column(batch.schema.get_field_index("keys")).to_numpy())
+        while begun < batch.num_rows:
+            before = int(sums[begun - 1]) if begun else 0
+            end = max(int(np.searchsorted(sums, before + most - weight, "right")), begun + (not held))
+            if end > begun:
+                held.append(batch.slice(begun, end - begun))
+                weight += int(sums[end - 1]) - before
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, weight = [], 0
+            begun = end
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    found = table[name].combine_chunks()
+    return pa.concat_arrays([found])  # without an offset
+
 
-    def text(*places):
-        return F.concat_ws("\u0001", *[F.get(families, k).cast("string") for k in places])
+def _classes(sets: DataFrame, size: int, longest: int) -> DataFrame:
+    """(f, ids): operons with equal families as one row, unless they fall into two tasks or are too many for a block."""
+    sets = sets.withColumn("keys", _keys(F.size("f"), size, longest))
+    total, most = sets.agg(F.sum("keys")).first()[0] or 0, KEYS
+    kind = sets.schema["operon_id"].dataType.simpleString()
 
-    def upto(first, last):
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _bounded(batches, most):
+            names, codes, lens = _coded(_column(table, "f"))
+            codes = codes[np.lexsort((codes, np.repeat(np.arange(len(lens)), lens)))]
+            start = np.cumsum(lens) - lens
+            for n in np.unique(lens):
+                at = np.flatnonzero(lens == n)
+                rows, which = np.unique(codes[start[at][:, None] + np.arange(n)], axis=0, return_inverse=True)
+                ids = _column(table, "operon_id").take(pa.array(at[np.argsort(which.ravel(), kind="stable")]))
+                # in parts: lists of strings are long
+                many = np.bincount(which.ravel(), minlength=len(rows))
+                done = np.concatenate([[0], np.cumsum(many)])
+                for k in range(0, len(rows), 10_000):
+                    part = slice(k, k + 10_000)
+                    f = _lists(pa.array(names[rows[part].ravel()], pa.string()), np.full(len(rows[part]), n))
+                    yield pa.RecordBatch.from_arrays([f, _lists(ids[int(done[k]) : int(done[min(k + 10_000, len(rows))])], many[part])], names=["f", "ids"])
 
-    if size == 1:
-        return F.transform(upto(F.lit(0), n - 1), lambda i: text(i))
-    if size == 2:
-        return F.flatten(F.transform(upto(F.lit(0), n - 2), lambda i: F.transform(upto(i + 1, n - 1), lambda j: text(i, j))))
-    return F.flatten(F.transform(upto(F.lit(0), n - 3), lambda i: F.flatten(F.transform(upto(i + 1, n - 2), lambda j: F.transform(upto(j + 1, n - 1), lambda k: text(i, j, k))))))
+    # by families and then by operons, so no task gets all operons that have the same families
+    dealt = sets.repartitionByRange(max(1, -(-total // most)), "f", "operon_id")
+    return dealt.mapInArrow(run, f"f array<string>, ids array<{kind}>")
 
 
-def overlaps(families: DataFrame, least: int = 3, cover: float = 0.5, with_self: bool = False, longest: int = 40) -> DataFrame:
+def _pack(classes: DataFrame, size: int, longest: int, scratch: Scratch) -> DataFrame:
+    """Classes (f, ids) in blocks of up to KEYS keys."""
+    most = KEYS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _bounded(batches, most):
+            names, codes, sizes = _coded(_column(table, "f"))
+            ids = _column(table, "ids")
+            raw = [np.diff(ids.offsets.to_numpy()), sizes, codes]
+            lists = [_lists(x, [len(x)]) for x in (ids.flatten(), pa.array(names, pa.string()))]
+            yield pa.RecordBatch.from_arrays([lists[0], *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in raw), lists[1]], names=["ids", "many", "sizes", "codes", "names"])
+
+    kind = classes.schema["ids"].dataType.simpleString()
+    packed = classes.withColumn("keys", _keys(F.size("f"), size, longest) + F.size("ids")).mapInArrow(run, f"ids {kind}, many binary, sizes binary, codes binary, names array<string>")
+    # the numbers stand in the table, so they are the same in all that reads it
+    return scratch.keep(packed.select(F.monotonically_increasing_id().alias("b"), "*"), "blocks", 1)
+
+
+def _translated(x: Block, y: Block) -> np.ndarray:
+    """The codes of ``x`` by the names of ``y``, -1 for those that it has not."""
+    at = np.searchsorted(y.names, x.names)
+    at[at == len(y.names)] = 0
+    return np.where(y.names[at] == x.names, at, -1)[x.codes]
+
+
+def _counted(x: Block, y: Block, k: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(class of ``x``, class of ``y``, families that they share) of classes of up to ``longest`` families that share ``k`` or more."""
+    base = len(y.names)
+    owner, key = x.keys(k, longest) if x.number == y.number or np.array_equal(x.names, y.names) else x.keys(k, longest, _translated(x, y), base)
+    keys, first, classes = y.index(k, longest)
+    if not len(keys) or not len(key):
+        return
+    at = np.searchsorted(keys, key)
+    at[at == len(keys)] = 0
+    same = np.flatnonzero(keys[at] == key)
+    owner, at = owner[same], at[same]
+    many = first[at + 1] - first[at]
+    # subsets of k of what is shared: a pair comes once for each of them
+    subsets = np.array([comb(n, k) for n in range(longest + 1)])
+    ends = np.cumsum(many)
+    lasts = np.append(np.flatnonzero(np.diff(owner)), len(owner) - 1)  # a class is not cut
+    lo = 0
+    while lo < len(owner):
+        upto = np.searchsorted(ends[lasts], (ends[lo - 1] if lo else 0) + PAIRS)
+        hi = max(int(lasts[max(0, upto - 1)]) + 1, int(lasts[np.searchsorted(lasts, lo)]) + 1)
+        n = many[lo:hi]
+        places = np.repeat(first[at[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.repeat(owner[lo:hi].astype(np.int64) * len(y.sizes), n) + classes[places]
+        pair.sort()
+        begins = np.flatnonzero(np.diff(pair, prepend=-1))
+        times = np.diff(begins, append=len(pair))
+        pair = pair[begins]
+        i, j = pair // len(y.sizes), pair % len(y.sizes)
+        yield i, j, np.searchsorted(subsets, times)
+        lo = hi
+
+
+def _counted_long(x: Block, y: Block, longest: int, others: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of classes of ``x`` of over ``longest`` families and those of ``y`` of up to ``others``."""
+    long = np.flatnonzero(x.sizes > longest)
+    if not len(long):
+        return
+    _, first, classes = y.index(1, int(y.sizes.max(initial=0)))  # each name of a block is in one of its classes
+    codes, start = _translated(x, y), np.cumsum(x.sizes) - x.sizes
+    for i in long:
+        own = codes[start[i] : start[i] + x.sizes[i]]
+        shared = np.bincount(np.concatenate([classes[first[c] : first[c + 1]] for c in own[own >= 0]] or [np.empty(0, np.int32)]), minlength=len(y.sizes))
+        j = np.flatnonzero((shared > 0) & (y.sizes <= others))
+        yield np.full(len(j), i), j, shared[j]
+
+
+def overlaps(families: DataFrame, least: int = 3, cover: float = 0.5, with_self: bool = False, longest: int = 40, digits: int | None = None) -> DataFrame:
     """(a, b, shared, score) of operons that share ``least`` families or more and are covered by over ``cover`` on one side.
 
     ``families``: (operon_id, family).  Operons that share three families meet at
     a triple of them, so a family that many operons have makes no pairs by itself.
     Operons of more than ``longest`` families, which have many triples, meet the
     others family by family; they are few.  Operons with equal families are
-    compared as one.
+    compared as one.  Each pair of blocks of operons meets in one task, which
+    makes the pairs and tells them; pairs are neither shuffled nor stored.
+    ``digits`` rounds the scores half away from zero, as SQL does on doubles.
     """
-    scratch = Scratch(families.sparkSession)
-    sets = families.groupBy("operon_id").agg(F.array_sort(F.collect_set("family")).alias("f")).where(F.size("f") >= least)
-    # operons with the same families are a class: classes are compared, and pairs of them told for their members
-    sets = scratch.keep(sets.select("operon_id", F.unhex(F.md5(F.to_json("f"))).alias("class"), "f"), "sets")
-    classes = scratch.keep(sets.groupBy("class").agg(F.any_value("f").alias("f"), F.count("*").alias("n")), "classes")
-    own = sets.select("operon_id", "class").join(classes.select("class", "n"), "class")
-    chunk = F.pmod(F.xxhash64("operon_id"), F.ceil(F.col("n") / MEMBERS))
-    parts = scratch.keep(own.groupBy("class", chunk.alias("chunk")).agg(F.collect_list("operon_id").alias("ids")), "members")
-    same = classes.where(F.lit(1.0) > cover).select(F.col("class").alias("ca"), F.col("class").alias("cb"), F.size("f").cast("bigint").alias("shared"), F.lit(1.0).alias("score"))
-    found = same.unionByName(_class_overlaps(classes.select("class", "f"), least, cover, longest))
-    ids = found.join(parts.select(F.col("class").alias("ca"), F.col("ids").alias("xs")), "ca").join(parts.select(F.col("class").alias("cb"), F.col("ids").alias("ys")), "cb")
-    each = ids.select("ca", "cb", "shared", "score", F.explode("xs").alias("x"), "ys").select("ca", "cb", "shared", "score", "x", F.explode("ys").alias("y"))
-    order = F.col("x") <= F.col("y") if with_self else F.col("x") < F.col("y")
-    return each.where((F.col("ca") != F.col("cb")) | order).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "score")
-
-
-def _class_overlaps(sets: DataFrame, least: int, cover: float, longest: int) -> DataFrame:
-    """(ca, cb, shared, score) of different classes (class, f)."""
-    keys = sets.where(F.size("f") <= longest).select("class", F.explode(_subsets(F.col("f"), min(least, 3))).alias("key"))
-    single = sets.select("class", F.explode("f").alias("key"), (F.size("f") > longest).alias("long"))
-    near = keys.select(F.col("class").alias("ca"), "key").join(keys.select(F.col("class").alias("cb"), "key"), "key").where("ca < cb").select("ca", "cb")
-    far = single.where("long").select(F.col("class").alias("x"), "key").join(single.select(F.col("class").alias("y"), "key"), "key")
-    far = far.select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).where("ca < cb")
-    pairs = near.unionByName(far).distinct()
-    both = pairs.join(sets.select(F.col("class").alias("ca"), F.col("f").alias("fa")), "ca").join(sets.select(F.col("class").alias("cb"), F.col("f").alias("fb")), "cb")
-    sized = both.select("ca", "cb", F.size(F.array_intersect("fa", "fb")).cast("bigint").alias("shared"), F.size("fa").alias("na"), F.size("fb").alias("nb")).where(F.col("shared") >= least)
-    c0, c1 = F.col("shared") / F.col("na"), F.col("shared") / F.col("nb")
-    return sized.where(F.greatest(c0, c1) > cover).select("ca", "cb", "shared", harmonic(c0, c1).alias("score"))
+    scratch, work = Scratch(families.sparkSession), Scratch(families.sparkSession)
+    sets = families.where("operon_id is not null").groupBy("operon_id").agg(F.array_sort(F.collect_set(F.col("family").cast("string"))).alias("f")).where(F.size("f") >= max(least, 1))
+    size = max(1, min(least, 3))
+    found = _class_overlaps(_classes(work.keep(sets, "sets"), size, longest), scratch, size, least, cover, with_self, longest, digits)
+    work.drop()
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "score")
+
+
+def _class_overlaps(classes: DataFrame, scratch: Scratch, size: int, least: int, cover: float, with_self: bool, longest: int, digits: int | None) -> DataFrame:
+    """(x, y, shared, score) of the members of classes (f, ids)."""
+    blocks = _pack(classes, size, longest, scratch)
+    most = MEMBERS**2
+
+    def told(x: Block, y: Block, i: np.ndarray, j: np.ndarray, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+        c0, c1 = shared / x.sizes[i], shared / y.sizes[j]
+        good = (shared >= least) & (np.maximum(c0, c1) > cover)
+        if x.number == y.number:
+            good &= i <= j
+        i, j, shared, c0, c1 = (v[good] for v in (i, j, shared, c0, c1))
+        score = harmonic(c0, c1)
+        if digits is not None:
+            scaled = score * 10.0**digits
+            score = (np.floor(scaled) + (scaled - np.floor(scaled) >= 0.5)) / 10.0**digits
+        starts = [np.cumsum(v.many) - v.many for v in (x, y)]
+        width = y.many[j].astype(np.int64)
+        ends = np.cumsum(x.many[i] * width)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, most):
+            # members of the pairs of classes lo to hi: rows of the product of the two lists
+            hi = min(lo + most, int(ends[-1]))
+            a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi - 1, "right") + 1
+            begin = np.concatenate([[0], ends])[a:b]
+            rows = np.minimum(ends[a:b], hi) - np.maximum(begin, lo)
+            p = np.repeat(np.arange(a, b), rows)
+            place = np.arange(lo, hi) - np.repeat(begin, rows)
+            m, n = starts[0][i[p]] + place // width[p], starts[1][j[p]] + place % width[p]
+            if x.number == y.number:
+                one = (i[p] != j[p]) | ((m <= n) if with_self else (m < n))
+                p, m, n = p[one], m[one], n[one]
+            yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(m)), y.ids.take(pa.array(n)), pa.array(shared[p].astype(np.int64)), pa.array(score[p])], names=["x", "y", "shared", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, Block] = OrderedDict()
+
+        def got(batch: pa.RecordBatch, k: int, side: str) -> Block:
+            number = batch.column(batch.schema.get_field_index(f"{side}b"))[k].as_py()
+            if number not in held:
+                held[number] = _block(batch, k, side)
+                if len(held) > HELD:
+                    held.popitem(last=False)
+            held.move_to_end(number)
+            return held[number]
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = got(batch, row, "l_"), got(batch, row, "r_")
+                k = size if max(len(x.names), len(y.names)) < 2_000_000 else min(size, 2)
+                for found in _counted(x, y, k, longest):
+                    yield from told(x, y, *found)
+                for found in _counted_long(x, y, longest, int(y.sizes.max())):
+                    i, j, shared = found
+                    if x.number == y.number:  # two long ones come twice
+                        once = (y.sizes[j] <= longest) | (i <= j)
+                        i, j, shared = np.minimum(i, j)[once], np.maximum(i, j)[once], shared[once]
+                    yield from told(x, y, i, j, shared)
+                if x.number != y.number:
+                    for j, i, shared in _counted_long(y, x, longest, longest):
+                        yield from told(x, y, i, j, shared)
+
+    left, right = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "lr")
+    kind = classes.schema["ids"].dataType.elementType.simpleString()
+    return left.join(right.hint("shuffle_replicate_nl"), how="cross").where("l_b <= r_b").mapInArrow(run, f"x {kind}, y {kind}, shared long, score double")
 
 
 def assign_families(operons: DataFrame, grouped: DataFrame) -> DataFrame:
